@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import op9_sharding
+from tidewell.llm import op4_language, op5_quality, op6_mpeg, op7_packing, op9_sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_hyperdimensional_language": op4_language.op4_hyperdimensional_language,
+        "op5_subword_quality": op5_quality.op5_subword_quality,
+        "op6_mpeg_frames": op6_mpeg.op6_mpeg_frames,
+        "op7_configuration_packing": op7_packing.op7_configuration_packing,
         "op9_rendezvous_shards": op9_sharding.op9_rendezvous_shards,
     }
 
