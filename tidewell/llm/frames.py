@@ -53,3 +53,8 @@ def posterior_floor(n: int, threshold: float, tolerance: float) -> int:
         if above >= tolerance:
             return m
     return n + 1
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is computed once: as a lambda's variable it can't be inlined into loops over it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -1,6 +1,7 @@
 """Quality classifier: supervised subword embeddings, trained by numpy stochastic gradient descent.
 
-A document's features are its white-space tokens and all its runs of 3 and of 5 bytes, hashed into buckets.
+A document's features are its white-space tokens, whether each repeats the one before, and all its runs of 3 and
+of 5 bytes, hashed into buckets.
 Each bucket has a learned vector; a document is the mean of its features' vectors, and a softmax layer gives
 the label. Vectors and layer are learned together, document by document. For scoring, the layer is folded
 into the vectors, which leaves one number a bucket, and every text is read whole.
@@ -46,7 +47,13 @@ def _features(batch: pa.RecordBatch, col: str) -> Iterator[tuple[np.ndarray, np.
             inside[at[(at >= 0) & (at < len(h))]] = False
         yield ((h ^ BYTES[n]) >> np.uint64(64 - BITS)).astype(np.int64), np.arange(len(h)), inside, offsets
     start, end = runs(data > 32, offsets)
-    yield (strings.of(start, end) >> np.uint64(64 - BITS)).astype(np.int64), start, np.ones(len(start), bool), offsets
+    tokens = strings.of(start, end)
+    yield (tokens >> np.uint64(64 - BITS)).astype(np.int64), start, np.ones(len(start), bool), offsets
+    # Two buckets of their own: tokens that repeat the one before, and those that do not.
+    again = np.zeros(len(start), np.int64)
+    if len(start):
+        again[1:] = (tokens[1:] == tokens[:-1]) & (np.searchsorted(offsets, start[1:], "right") == np.searchsorted(offsets, start[:-1], "right"))
+    yield (1 << BITS) + again, start, np.ones(len(start), bool), offsets
 
 
 def fit(labelled: DataFrame, text: str, label: str, dim: int = 16, epochs: int = 6, rate: float = 0.5, seed: int = 5) -> Model:
@@ -77,7 +84,7 @@ def fit(labelled: DataFrame, text: str, label: str, dim: int = 16, epochs: int =
     share = (positive + 0.5) / (len(docs) + 1)
     bias = np.array([0.0, float(np.log(share / (1 - share)))])
     rng = np.random.default_rng(seed)
-    vectors = rng.uniform(-1 / dim, 1 / dim, (1 << BITS, dim)).astype(np.float32)
+    vectors = rng.uniform(-1 / dim, 1 / dim, ((1 << BITS) + 2, dim)).astype(np.float32)
     layer = rng.normal(0, 0.5, (2, dim)).astype(np.float32)
     if 0 < positive < len(docs):
         for epoch in range(epochs):

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import op4_language, op5_quality, op6_mpeg, op7_packing, op9_sharding
+from tidewell.llm import op4_language, op5_quality, op6_mpeg, op7_packing, op8_decontamination, op9_sharding, op10_surrogates
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,9 +15,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_subword_quality": op5_quality.op5_subword_quality,
         "op6_mpeg_frames": op6_mpeg.op6_mpeg_frames,
         "op7_configuration_packing": op7_packing.op7_configuration_packing,
+        "op8_winnowing": op8_decontamination.op8_winnowing,
         "op9_rendezvous_shards": op9_sharding.op9_rendezvous_shards,
+        "op10_surrogates": op10_surrogates.op10_surrogates,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_winnowing": op8_decontamination.ORACLE}
