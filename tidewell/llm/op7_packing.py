@@ -9,11 +9,14 @@ grow with the rows; the pieces then look up their places by their rank among the
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,41 +26,66 @@ from tidewell.llm.vec import steps
 from tidewell.tables import materialize, table
 
 SIZE = 2048
-#: Words of which a worker remembers the ids.
-CACHE = 300_000
+#: Words and white-space chunks of which a worker remembers the ids.
+WORDS, CHUNKS = 600_000, 300_000
+# How the tokenizer file tells words apart, after lower-casing.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+#: Texts with a character outside Latin letters, with one that only Python takes for white space, or with a
+#: special token, are encoded at once.
+OTHER = re.compile("[^\x00-\x1b\x20-\u012f\u0131-\u024f]|<\\|")
+
+
+def _byte_letters() -> list[str]:
+    """The letter that byte-level vocabularies use for each byte: itself if it prints, else the next from 256 on."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in prints]
+    return [chr(b) if b in prints else chr(256 + others.index(b)) for b in range(256)]
 
 
 class WordIds:
-    """Ids of whole texts, put together from those of their white-space words, which never depend on each other.
+    """Ids of whole texts, put together from those of their words, which the tokenizer's model encodes one by one.
 
-    The tokenizer's pattern never crosses white space and drops it, so this gives what encoding the text at once
-    gives. Texts with the four separators that Python alone takes for white space are encoded at once.
+    The tokenizer never looks across words, so this gives what encoding the text at once gives, and a word
+    that was seen before costs one look-up.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        self.model = self.tokenizer.model
+        self.split = regex.compile(PATTERN).findall
+        self.letters = _byte_letters()
+        self.words: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
+
+    def word(self, word: str) -> bytes:
+        found = self.words.get(word)
+        if found is None:
+            spelled = word if word.isascii() and word.isprintable() else "".join(self.letters[b] for b in word.encode())
+            found = self.words[word] = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+        return found
+
+    def text(self, text: str) -> bytes:
+        if OTHER.search(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
+        chunks = text.lower().split()
+        known, word = self.chunks, self.word
+        for c in set(chunks).difference(known):
+            if c.isalpha():
+                known[c] = word(c)
+            elif c[-1] in ".,!" and c[:-1].isalpha():
+                known[c] = word(c[:-1]) + word(c[-1])
+            else:
+                known[c] = b"".join(map(word, self.split(c)))
+        return b"".join([known[c] for c in chunks])
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        split = [None if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts]
-        missing: set[str] = set()
-        if len(self.known) > CACHE:
-            self.known.clear()
-        for words in split:
-            if words:
-                missing.update(w for w in set(words) if w not in self.known)
-        if missing:
-            new = list(missing)
-            for at in range(0, len(new), 20_000):
-                part = new[at : at + 20_000]
-                self.known.update(zip(part, self._encode(part)))
-        find = self.known.__getitem__
-        return [self._encode([t])[0] if words is None else b"".join(map(find, words)) for t, words in zip(texts, split)]
+        if len(self.words) > WORDS:
+            self.words.clear()
+        if len(self.chunks) > CHUNKS:
+            self.chunks.clear()
+        return list(map(self.text, texts))
 
 
 _workers: dict[str, WordIds] = {}

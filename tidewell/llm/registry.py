@@ -6,11 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import op4_language, op5_quality, op6_mpeg, op7_packing, op8_decontamination, op9_sharding, op10_surrogates
+from tidewell.llm import (
+    op1_toxicity,
+    op2_jaccard,
+    op4_language,
+    op5_quality,
+    op6_mpeg,
+    op7_packing,
+    op8_decontamination,
+    op9_sharding,
+    op10_surrogates,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_noisy_channel_toxicity": op1_toxicity.op1_noisy_channel_toxicity,
+        "op2_bayesian_jaccard": op2_jaccard.op2_bayesian_jaccard,
         "op4_hyperdimensional_language": op4_language.op4_hyperdimensional_language,
         "op5_subword_quality": op5_quality.op5_subword_quality,
         "op6_mpeg_frames": op6_mpeg.op6_mpeg_frames,
