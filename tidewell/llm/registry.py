@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidewell.llm import (
     op1_toxicity,
     op2_jaccard,
+    op3_suffix_dedup,
     op4_language,
     op5_quality,
     op6_mpeg,
@@ -23,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_noisy_channel_toxicity": op1_toxicity.op1_noisy_channel_toxicity,
         "op2_bayesian_jaccard": op2_jaccard.op2_bayesian_jaccard,
+        "op3_suffix_dedup": op3_suffix_dedup.op3_suffix_dedup,
         "op4_hyperdimensional_language": op4_language.op4_hyperdimensional_language,
         "op5_subword_quality": op5_quality.op5_subword_quality,
         "op6_mpeg_frames": op6_mpeg.op6_mpeg_frames,
