@@ -1,56 +1,88 @@
-"""Exact nearest neighbours under the Euclidean distance, as block against block."""
+"""Exact nearest neighbours and Chamfer sums, as block against block."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Rows of one block. A pair of blocks is one unit of work: two matrices of this height and their product.
 BLOCK = 2048
 
 
-def _blocks(df: DataFrame, id_col: str, n: int) -> DataFrame:
-    """Deal rows into ``n`` blocks by a hash of the id and pack each block into one row."""
-    return (
-        df.where("vec IS NOT NULL")
-        .withColumn("blk", F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int"))
-        .select("blk", F.col(id_col).cast("long").alias("id"), "vec")
-    )
+def closest(u: np.ndarray, v: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of ``u`` the place of its nearest row of ``v`` and the squared distance; ties go to the least of ``ids``.
+
+    The matrix product that finds candidates loses digits for close pairs, so all within its error are measured again.
+    """
+    near = (u * u).sum(1)[:, None] + (v * v).sum(1)[None, :] - 2 * (u @ v.T)
+    slack = 1e-9 * (1 + (u * u).sum(1) + (v * v).sum(1).max())
+    rows, cols = np.nonzero(near <= (near.min(1) + slack)[:, None])
+    exact = ((u[rows] - v[cols]) ** 2).sum(1)
+    order = np.lexsort((ids[cols], exact, rows))
+    first = order[np.unique(rows[order], return_index=True)[1]]
+    return cols[first], exact[first]
+
+
+def _dealt(df: DataFrame, by: list[str], id_col: str, own: int, other: int, side: int) -> DataFrame:
+    block = F.pmod(F.xxhash64(F.col(id_col)), F.lit(own)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(other - 1)))
+    mine, theirs = ("i", "j") if side == 0 else ("j", "i")
+    return df.where("vec IS NOT NULL").select(*by, block.alias(mine), F.lit(side).alias("side"), F.col(id_col).cast("long").alias("id"), "vec", every.alias(theirs)).select(*by, "i", "j", "side", "id", "vec")
 
 
-def nearest(a: DataFrame, b: DataFrame, a_id: str = "a_id", b_id: str = "b_id", block: int = BLOCK) -> DataFrame:
-    """For each row of ``a`` its nearest row of ``b``: (a_id, b_id, dist); ties go to the smallest ``b_id``.
+def nearest(a: DataFrame, b: DataFrame, a_id: str = "a_id", b_id: str = "b_id", by: list[str] | None = None, block: int = BLOCK) -> DataFrame:
+    """For each row of ``a`` its nearest row of ``b``: (*by, a_id, b_id, dist); ties go to the smallest ``b_id``.
 
-    ``a`` and ``b`` hold an id and ``vec``. The rows of each side are dealt into blocks of bounded size by a
-    hash of their id, and a pair of blocks is one group: each side is sent once to every block of the other,
-    so a task never holds more than two blocks, whatever the sizes. Partial minima are then merged by id.
-    Rows with a null vector are left out; an empty ``b`` gives no rows.
+    ``a`` and ``b`` hold an id, ``vec`` and the columns ``by``, within whose values neighbours are sought. Each side is
+    dealt into blocks of bounded size by a hash of the id and sent once to every block of the other, so a task never
+    holds more than two blocks, whatever the sizes. Partial minima are merged by id. Rows with a null vector are
+    left out; where ``b`` is empty there are no rows.
     """
-    n_a = max(1, -(-a.count() // block))
-    n_b = max(1, -(-b.count() // block))
-    left = _blocks(a, a_id, n_a).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n_b - 1)))).select(
-        F.col("blk").alias("i"), F.col("other").alias("j"), F.lit(0).alias("side"), "id", "vec")
-    right = _blocks(b, b_id, n_b).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n_a - 1)))).select(
-        F.col("other").alias("i"), F.col("blk").alias("j"), F.lit(1).alias("side"), "id", "vec")
-
-    def closest(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = pdf[pdf.side == 0], pdf[pdf.side == 1].sort_values("id")
+    by = by or []
+    if by:
+        most = lambda df: (df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0)
+    else:
+        most = lambda df: df.count()
+    n_a, n_b = max(1, -(-most(a) // block)), max(1, -(-most(b) // block))
+    both = _dealt(a, by, a_id, n_a, n_b, 0).unionByName(_dealt(b, by, b_id, n_b, n_a, 1))
+    kinds = {f.name: f.dataType.simpleString() for f in a.schema.fields}
+    schema = "".join(f"{c} {kinds[c]}, " for c in by) + "id long, other long, sq double"
+    names = [*by, "id", "other", "sq"]
+
+    def pair(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = pdf[pdf.side == 0], pdf[pdf.side == 1]
         if not len(x) or not len(y):
-            return pd.DataFrame({"id": [], "other": [], "sq": []}).astype({"id": "int64", "other": "int64", "sq": "float64"})
-        u, v = np.stack(x.vec.to_numpy()).astype(np.float64), np.stack(y.vec.to_numpy()).astype(np.float64)
-        near = (u * u).sum(1)[:, None] + (v * v).sum(1)[None, :] - 2 * (u @ v.T)
-        # The product loses digits for close pairs: all candidates within its error are measured again.
-        slack = 1e-9 * (1 + (u * u).sum(1) + (v * v).sum(1).max())
-        rows, cols = np.nonzero(near <= (near.min(1) + slack)[:, None])
-        exact = ((u[rows] - v[cols]) ** 2).sum(1)
-        order = np.lexsort((y.id.to_numpy()[cols], exact, rows))
-        first = order[np.unique(rows[order], return_index=True)[1]]
-        return pd.DataFrame({"id": x.id.to_numpy()[rows[first]], "other": y.id.to_numpy()[cols[first]], "sq": exact[first]})
-
-    parts = left.unionByName(right).groupBy("i", "j").applyInPandas(closest, "id long, other long, sq double")
-    best = parts.groupBy("id").agg(F.min(F.struct("sq", "other")).alias("m"))
-    return best.select(F.col("id").alias(a_id), F.col("m.other").alias(b_id), F.sqrt("m.sq").alias("dist"))
+            return pd.DataFrame({n: pd.Series(dtype=pdf[n].dtype if n in pdf else "int64" if n == "other" else "float64") for n in names})
+        u, v = (np.stack(s.vec.to_numpy()).astype(np.float64) for s in (x, y))
+        at, sq = closest(u, v, y.id.to_numpy())
+        out = {c: [pdf[c].iloc[0]] * len(x) for c in by}
+        return pd.DataFrame(out | {"id": x.id.to_numpy(), "other": y.id.to_numpy()[at], "sq": sq})[names]
+
+    parts = both.groupBy(*by, "i", "j").applyInPandas(pair, schema)
+    best = parts.groupBy(*by, "id").agg(F.min(F.struct("sq", "other")).alias("m"))
+    return best.select(*by, F.col("id").alias(a_id), F.col("m.other").alias(b_id), F.sqrt("m.sq").alias("dist"))
+
+
+def chamfer(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row: the sum of nearest distances and the rows of ``a``. No rows of ``a``: 0; none of ``b``: infinite."""
+    n_a = a.where("vec IS NOT NULL").count()
+    total: Column = F.coalesce(F.sum("dist"), F.lit(float("inf") if n_a else 0.0))
+    return nearest(a, b).agg(total.alias("chamfer"), F.lit(n_a).cast("long").alias("n_a"))
+
+
+def with_exact_match(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows of ``a`` whose very coordinates are in ``b``."""
+    return a.join(b.select("vec").distinct(), "vec", "left_semi")
+
+
+def without_exact_match(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows of ``a`` at a positive distance from all of ``b``."""
+    return a.join(b.select("vec").distinct(), "vec", "left_anti")
+
+
+def cells(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Distinct coordinates with their counts on both sides."""
+    both = a.select("vec", F.lit(1).alias("x"), F.lit(0).alias("y")).unionByName(b.select("vec", F.lit(0).alias("x"), F.lit(1).alias("y")))
+    return both.groupBy("vec").agg(F.sum("x").alias("a_count"), F.sum("y").alias("b_count"))
