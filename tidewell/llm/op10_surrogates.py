@@ -197,18 +197,18 @@ def attempts(units: DataFrame, key: str) -> DataFrame:
 def replace_entities(docs: DataFrame, text: str = "text", key: str = "tidewell") -> DataFrame:
     """``docs`` with surrogates in ``text`` and, added, ``_found``, the kinds of what was replaced in order.
 
-    A null text stays null. A text is rewritten where it stands: it is never shuffled unless one of its
+    A null text stays null; a column ``_found`` is replaced, names with two leading underscores are reserved. A text is rewritten where it stands: it is never shuffled unless one of its
     entities needed a second draw and such documents are too many to broadcast.
     """
     seen = docs.select(F.explode(_units(text)).alias("u")).select("u.kind", "u.unit").distinct()
     odd = materialize(attempts(seen, key).where("attempt > 0").select("kind", "unit", "attempt"))
     work, again = docs, F.lit(None).cast("map<string,int>")
     if not odd.isEmpty():
-        keys = {"_k1": F.xxhash64(text), "_k2": F.xxhash64(F.lit(3), F.col(text))}
-        keyed = docs.withColumns(keys).select("_k1", "_k2", F.explode(_units(text)).alias("u")).select("_k1", "_k2", "u.kind", "u.unit").distinct()
-        hit = keyed.join(_small(odd), ["kind", "unit"]).groupBy("_k1", "_k2")
-        hit = _small(materialize(hit.agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws(":", "kind", "unit"), F.col("attempt")))).alias("_again"))))
-        work, again = docs.withColumns(keys).join(hit, ["_k1", "_k2"], "left").drop("_k1", "_k2"), F.col("_again")
+        keys = {"__k1": F.xxhash64(text), "__k2": F.xxhash64(F.lit(3), F.col(text))}
+        keyed = docs.withColumns(keys).select("__k1", "__k2", F.explode(_units(text)).alias("u")).select("__k1", "__k2", "u.kind", "u.unit").distinct()
+        hit = keyed.join(_small(odd), ["kind", "unit"]).groupBy("__k1", "__k2")
+        hit = _small(materialize(hit.agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws(":", "kind", "unit"), F.col("attempt")))).alias("__again"))))
+        work, again = docs.withColumns(keys).join(hit, ["__k1", "__k2"], "left").drop("__k1", "__k2"), F.col("__again")
 
     def mention(e: Column) -> Column:
         def known(kind: Column) -> Column:
@@ -226,9 +226,9 @@ def replace_entities(docs: DataFrame, text: str = "text", key: str = "tidewell")
         filled = F.zip_with(F.split(F.col(text), ANY, -1), found, lambda p, s: F.concat(p, F.coalesce(s["new"], F.lit(""))))
         return F.struct(F.when(F.size(found) > 0, F.array_join(filled, "")).otherwise(F.col(text)).alias("text"), F.transform(found, lambda f: f["kind"]).alias("kinds"))
 
-    work = work.withColumn("_done", let(F.transform(_entities(text), mention), rewrite))
-    order = [F.col("_done.text").alias(c) if c == text else F.col(c) for c in docs.columns]
-    return work.select(*order, F.col("_done.kinds").alias("_found"))
+    work = work.withColumn("__done", let(F.transform(_entities(text), mention), rewrite))
+    order = [F.col("__done.text").alias(c) if c == text else F.col(c) for c in docs.columns if c != "_found"]
+    return work.select(*order, F.col("__done.kinds").alias("_found"))
 
 
 def _units(text: str) -> Column:

@@ -103,11 +103,11 @@ def sketch(docs: DataFrame, id_col: str, text: str) -> DataFrame:
                 bands = pa.array([keys[i] if n[i] else keys[i][:0] for i in range(len(n))], pa.list_(pa.int64()))
                 low = values.astype(np.uint16)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(part.schema.get_field_index(id_col)).cast(pa.int64()), part.column(part.schema.get_field_index("_r")), pa.array(set_ids(grams, offsets), pa.binary()), pa.array(n), bands, pa.array([v.tobytes() for v in low], pa.binary())],
+                    [part.column(part.schema.get_field_index(id_col)).cast(pa.int64()), part.column(part.schema.get_field_index("__r")), pa.array(set_ids(grams, offsets), pa.binary()), pa.array(n), bands, pa.array([v.tobytes() for v in low], pa.binary())],
                     names=["doc", "r", "id", "n", "bands", "sig"],
                 )
 
-    return docs.select(id_col, text, F.xxhash64(text).alias("_r")).mapInArrow(run, "doc long, r long, id binary, n long, bands array<long>, sig binary")
+    return docs.select(id_col, text, F.xxhash64(text).alias("__r")).mapInArrow(run, "doc long, r long, id binary, n long, bands array<long>, sig binary")
 
 
 def in_blocks(rows: DataFrame, key: str, size: Column, name: Column) -> DataFrame:
@@ -302,8 +302,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     """``docs`` with one document of each class: the one of the least id; of rows that share it, that of the least hash of its text."""
     found = materialize(similar(docs, id_col, text).select("doc", "r", "class_id"))
     heads = found.where(F.col("doc").eqNullSafe(F.col("class_id")))
-    keep = materialize(heads.groupBy("class_id").agg(F.min("r").alias("_r"), F.count(F.lit(1)).alias("n")).withColumnRenamed("class_id", "_doc"))
-    row = (F.col(id_col).eqNullSafe(F.col("_doc"))) & (F.xxhash64(text) == F.col("_r"))
+    keep = materialize(heads.groupBy("class_id").agg(F.min("r").alias("__r"), F.count(F.lit(1)).alias("n")).withColumnRenamed("class_id", "__doc"))
+    row = (F.col(id_col).eqNullSafe(F.col("__doc"))) & (F.xxhash64(text) == F.col("__r"))
     kept = docs.join(keep, row, "left_semi")
     # Rows repeat only if some id does; then equal ones are made one.
     return kept if keep.where("n > 1").isEmpty() else kept.dropDuplicates([id_col, text])

@@ -102,7 +102,8 @@ def fit(df: DataFrame, text: str, lang: str, dim: int = DIM) -> dict[str, np.nda
 
 
 def identify(df: DataFrame, text: str, profiles: dict[str, np.ndarray]) -> DataFrame:
-    """Add ``lang_pred`` and ``score``, the cosine (below 0: 0). Ties go to the first language by name."""
+    """Add ``lang_pred`` and ``score``, the cosine (below 0: 0). Ties go to the first language by name. Columns of those names are replaced."""
+    df = df.drop("lang_pred", "score")
     names = sorted(profiles)
     matrix = np.array([profiles[n] / max(np.linalg.norm(profiles[n]), 1e-12) for n in names]).astype(np.float32)
     dim = matrix.shape[1] if names else DIM

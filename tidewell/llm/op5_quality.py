@@ -109,7 +109,8 @@ def fit(labelled: DataFrame, text: str, label: str, dim: int = 16, epochs: int =
 
 
 def score(df: DataFrame, text: str, model: Model, name: str = "score") -> DataFrame:
-    """Add the probability of label 1 in ``name``, from the whole text. Other columns stay; nothing is shuffled."""
+    """Add the probability of label 1 in ``name``, from the whole text. Other columns stay, but one of that name; nothing is shuffled."""
+    df = df.drop(name)
     bias = model.bias
     shared = df.sparkSession.sparkContext.broadcast(model.weights)
 

@@ -215,7 +215,7 @@ def feature(s: Stream) -> str:
 
 def store(df: DataFrame, text: str) -> DataFrame:
     """``df`` without ``text``, with the stream ``media`` that holds its padded bytes. Null is empty, empty is one unit of spaces."""
-    kept = [f for f in df.schema.fields if f.name != text]
+    kept = [f for f in df.schema.fields if f.name not in (text, "n_bytes", "media")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,7 +234,8 @@ def store(df: DataFrame, text: str) -> DataFrame:
 
 def describe(df: DataFrame, media: str = "media") -> DataFrame:
     """Read each stream back: payload digests, the stream's digest and its features, in place of ``media``."""
-    kept = [f for f in df.schema.fields if f.name != media]
+    made_names = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    kept = [f for f in df.schema.fields if f.name not in (media, *made_names)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -246,7 +247,7 @@ def describe(df: DataFrame, media: str = "media") -> DataFrame:
             own = [batch.column(batch.schema.get_field_index(f.name)) for f in kept]
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             made = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([*own, *made], names=[*(f.name for f in kept), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+            yield pa.RecordBatch.from_arrays([*own, *made], names=[*(f.name for f in kept), *made_names])
 
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept)
     return df.mapInArrow(run, f"{fields}payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

@@ -95,8 +95,9 @@ def pieces(df: DataFrame, text: str, tokenizer: str, size: int = SIZE, end_id: i
     """One row a piece: the other columns, then piece, start, length, ids_crc32, and (part, local), its rank among its task's pieces of this length.
 
     A document is its ids and ``end_id``; null is empty. Only documents of more than ``size`` ids are cut.
+    Columns of the names that are made here or by ``pack`` are replaced.
     """
-    kept = [f for f in df.schema.fields if f.name != text]
+    kept = [f for f in df.schema.fields if f.name not in (text, "piece", "start", "length", "ids_crc32", "part", "local", "rank", "sequence_id", "offset")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = _workers.get(tokenizer) or _workers.setdefault(tokenizer, WordIds(tokenizer))

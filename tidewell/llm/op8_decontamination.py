@@ -130,11 +130,11 @@ def covered(spans: str) -> Column:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", id_col: str = "doc_id", item_text: str = "text", item_id: str = "item_id") -> DataFrame:
-    """``docs`` without the rows in which a benchmark window occurs. All columns stay; repeated rows stay or go alike."""
+    """``docs`` without the rows in which a benchmark window occurs. All columns stay; repeated rows stay or go alike. Names with two leading underscores are reserved."""
     _, hits = find_hits(docs, text, id_col, Benchmark(items, item_text, item_id))
-    gone = hits.select(F.col("r1").alias("_r1"), F.col("r2").alias("_r2"))
-    keyed = docs.withColumns({"_k1": F.xxhash64(F.col(id_col), F.col(text), F.col(id_col).isNull()), "_k2": F.xxhash64(F.lit(7), F.col(text), F.col(id_col), F.col(text).isNull())})
-    return keyed.join(_small(gone), (F.col("_k1") == F.col("_r1")) & (F.col("_k2") == F.col("_r2")), "left_anti").drop("_k1", "_k2")
+    gone = hits.select(F.col("r1").alias("__r1"), F.col("r2").alias("__r2"))
+    keyed = docs.withColumns({"__k1": F.xxhash64(F.col(id_col), F.col(text), F.col(id_col).isNull()), "__k2": F.xxhash64(F.lit(7), F.col(text), F.col(id_col), F.col(text).isNull())})
+    return keyed.join(_small(gone), (F.col("__k1") == F.col("__r1")) & (F.col("__k2") == F.col("__r2")), "left_anti").drop("__k1", "__k2")
 
 
 def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
