@@ -11,6 +11,10 @@ from pyspark.sql.window import Window
 from tidewell.operators.exact import BLOCK, nearest
 
 
+#: Distances that a task holds at once.
+CELLS = 1 << 22
+
+
 def is_query_step(step: Column | str, window: int, every: int) -> Column:
     """Steps at which a query is asked: not before the window is full, each ``every``-th."""
     s = F.col(step) if isinstance(step, str) else step
@@ -26,8 +30,8 @@ def sliding_nearest(a: DataFrame, b: DataFrame, window: int, every: int, block:
     """(step, a_id, dist) for each query step: the nearest of the last ``window`` rows of ``b``. ``a``: a_id, vec; ``b``: step, vec.
 
     B is cut into segments of at least a window's length, each with the window before it; a segment against a block of
-    A is one task, in which every distance is computed once and the minima slide. Cost: |A| (|B| + overlap), not
-    |A| |B| window.
+    A is one task. There every distance is computed once, at most twice over all tasks, however many windows hold the
+    pair; a query step then takes the least of its stretch of the matrix.
     """
     length = max(window, 1024)
     n_a = max(1, -(-a.count() // block))
@@ -45,12 +49,16 @@ def sliding_nearest(a: DataFrame, b: DataFrame, window: int, every: int, block:
             u, v = (np.stack(s.vec.to_numpy()).astype(np.float64) for s in (x, y))
             steps, seg = y.id.to_numpy(), int(pdf.seg.iloc[0])
             ask = [s for s in range(seg * length, (seg + 1) * length) if s >= window and s % every == 0 and s <= steps[-1]]
-            for s in ask:
-                live = v[np.searchsorted(steps, s - window, "right") : np.searchsorted(steps, s, "right")]
-                if len(live):
-                    near = (u * u).sum(1)[:, None] + (live * live).sum(1)[None, :] - 2 * (u @ live.T)
-                    at = near.argmin(1)
-                    out.append(pd.DataFrame({"step": s, "a_id": x.id.to_numpy(), "dist": np.sqrt(((u - live[at]) ** 2).sum(1))}))
+            ends = [(s, np.searchsorted(steps, s - window, "right"), np.searchsorted(steps, s, "right")) for s in ask]
+            squares = (v * v).sum(1)
+            # As many rows of A at once as keep the matrix of distances small, whatever the window.
+            for at in range(0, len(u), max(1, CELLS // len(v))):
+                w = u[at : at + max(1, CELLS // len(v))]
+                near = squares[None, :] - 2 * (w @ v.T)
+                for s, lo, hi in ends:
+                    if hi > lo:
+                        best = lo + near[:, lo:hi].argmin(1)
+                        out.append(pd.DataFrame({"step": s, "a_id": x.id.to_numpy()[at : at + len(w)], "dist": np.sqrt(((w - v[best]) ** 2).sum(1))}))
         return pd.concat(out) if out else pd.DataFrame({"step": np.zeros(0, "int64"), "a_id": np.zeros(0, "int64"), "dist": np.zeros(0)})
 
     return left.unionByName(right).groupBy("i", "seg").applyInPandas(slide, "step long, a_id long, dist double")
