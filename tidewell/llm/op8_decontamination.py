@@ -20,6 +20,8 @@ WINDOW = SPAN - GRAM + 1
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Rows of the benchmark side up to which it is broadcast, after they have been counted; beyond, both sides are shuffled.
 BROADCAST_ROWS = 200_000
+#: Keys and fingerprints of suspect documents up to which they are broadcast.
+BROADCAST_NUMBERS = 2_000_000
 
 
 def words(text: str) -> Column:
@@ -95,7 +97,9 @@ def find_hits(docs: DataFrame, text: str, id_col: str, bench: Benchmark) -> tupl
     seen = materialize(shared.join(_small(bench.fingerprints), "fp", "left_semi"))
     rows = seen.where("fp = 0").drop("fp").withColumnRenamed("_id", id_col)
     suspects = seen.where("fp <> 0").groupBy("r1", "r2").agg(F.collect_set("fp").alias("fps"))
-    again = keyed.select("r1", "r2", "_text").join(_small(materialize(suspects)), ["r1", "r2"])
+    suspects = materialize(suspects)
+    few = (suspects.agg(F.sum(F.size("fps") + 2)).first()[0] or 0) <= BROADCAST_NUMBERS
+    again = keyed.select("r1", "r2", "_text").join(F.broadcast(suspects) if few else suspects, ["r1", "r2"])
 
     def span(w: Column, n: int):
         return lambda s: F.struct(s.cast("int").alias("s"), F.lit(n).alias("len"), F.array_join(F.slice(w, s + 1, F.lit(n)), " ").alias("span"))
