@@ -116,3 +116,22 @@ def test_logs(spark, tmp_path):
     assert text_and_archives.read_cache_meta(spark, str(tmp_path / "c")).first()["value"] == "100"
     text_and_archives.write_timing({"seed": 1, "per_update_ms": {"lsh": 0.5}}, str(tmp_path / "t.json"))
     assert text_and_archives.read_timing(spark, str(tmp_path / "t.json")).first()["per_update_ms"]["lsh"] == 0.5
+
+
+def test_config():
+    from tidewell.config import ChamferConfig
+
+    assert ChamferConfig("x").windows(1178) == (58, 21)
+    for wrong in ({"hashing_only": True, "grid_only": True}, {"with_importance": True}, {"inject_outlier": True, "no_outlier": True}, {"window": 0}):
+        with pytest.raises(ValueError):
+            ChamferConfig("x", **wrong)
+
+
+def test_missing_exact_value_is_an_error(spark):
+    from tidewell.operators import evaluate
+
+    estimates = spark.createDataFrame([(1, 2.0), (2, 3.0)], "step long, estimate double")
+    known = spark.createDataFrame([(1, 2.0)], "step long, chamfer double")
+    assert evaluate.against_exact(estimates.where("step = 1"), known).first()["chamfer"] == 2.0
+    with pytest.raises(Exception, match="no exact value for step 2"):
+        evaluate.against_exact(estimates, known).collect()

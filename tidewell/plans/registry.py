@@ -129,26 +129,33 @@ def sliding_min_by_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.block_sliding_min(rows, "o_custkey", "step", "o_totalprice", 3, "least").select("o_custkey", "step", "least")
 
 
-_SCHEDULE = """ia AS (SELECT vec_id // 2 AS idx, embedding::DOUBLE[] AS vec FROM embeddings WHERE vec_id % 2 = 0),
-ib AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS idx, embedding::DOUBLE[] AS vec FROM embeddings WHERE vec_id % 6 = 1),
+_SCHEDULE = """ia AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS idx, embedding::DOUBLE[] AS vec FROM embeddings WHERE vec_id % 4 <> 1),
+ib AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS idx, embedding::DOUBLE[] AS vec FROM embeddings WHERE vec_id % 4 = 1),
 n AS (SELECT (SELECT count(*) FROM ia) AS na, (SELECT count(*) FROM ib) AS nb),
 sch AS (SELECT row_number() OVER (ORDER BY k, side) - 1 AS pos, side, idx, vec FROM (
   SELECT (idx + 1) * nb AS k, 'A' AS side, idx, vec FROM ia, n UNION ALL SELECT (idx + 1) * na, 'B', idx, vec FROM ib, n))"""
 
 
-def _scheduled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _uneven(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All embeddings, three of four in A and the fourth in B, each side numbered from 0 (vec_id is gapless)."""
     e = table(spark, sf_dir, "embeddings")
-    a = e.where("vec_id % 2 = 0").select((F.col("vec_id") / 2).cast("long").alias("idx"), F.col("embedding").alias("vec"))
-    b = e.where("vec_id % 6 = 1").select(F.floor(F.col("vec_id") / 6).cast("long").alias("idx"), F.col("embedding").alias("vec"))
-    s = windows.merge_schedule(a, b)
+    of_four = F.col("vec_id") % 4
+    index = F.floor(F.col("vec_id") / 4)
+    a = e.where(of_four != 1).select((3 * index + F.greatest(of_four - 1, F.lit(0))).cast("long").alias("idx"), F.col("embedding").alias("vec"))
+    return a, e.where(of_four == 1).select(index.cast("long").alias("idx"), F.col("embedding").alias("vec"))
+
+
+def _scheduled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    a, b = _uneven(spark, sf_dir)
+    s = windows.merge_schedule(a.select("idx"), b.select("idx"))
     own = lambda df, side: s.where(F.col("side") == side).join(df, "idx").select("pos", "vec")
     return own(a, "A"), own(b, "B")
 
 
 @_query(f"WITH {_SCHEDULE} SELECT pos, side, idx FROM sch")
 def merge_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings")
-    return windows.merge_schedule(e.where("vec_id % 2 = 0").select((F.col("vec_id") / 2).cast("long").alias("idx")), e.where("vec_id % 6 = 1").select(F.floor(F.col("vec_id") / 6).cast("long").alias("idx")))
+    a, b = _uneven(spark, sf_dir)
+    return windows.merge_schedule(a.select("idx"), b.select("idx"))
 
 
 _DUAL = f"""WITH {_SCHEDULE}, q AS (SELECT pos AS s FROM sch WHERE pos >= 60 AND pos % 20 = 0),
@@ -558,6 +565,39 @@ def stream_sliding_chamfer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(parts.schema).parquet(f"{base}/out").groupBy("step").agg(F.round(F.sum("part"), 4).alias("chamfer"), F.sum("n").alias("n_a"))
 
 
+@_query(f"""WITH {_AB}, la AS (SELECT * FROM a WHERE a_id % 10 <> 0), q AS (SELECT step AS s FROM b WHERE step >= {WINDOW} AND step % {EVERY} = 0 AND step % 7 <> 3),
+m AS (SELECT s, a_id, min(list_distance(la.vec, b.vec)) AS dist FROM q, b, la WHERE b.step > s - {WINDOW} AND b.step <= s AND b.step % 7 <> 3 GROUP BY s, a_id)
+SELECT s AS step, round(sum(dist), 4) AS chamfer, count(*) AS n_a FROM m GROUP BY s""")
+def stream_with_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stream after every tenth row of A is deleted and some steps of B never come."""
+    source = f"{sf_dir}/embeddings.parquet"
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    odd, step = F.col("vec_id") % 2 == 1, ((F.col("vec_id") - 1) / 2).cast("long")
+    rows = spark.read.parquet(source)
+    live = rows.where(~odd | (step % 7 != 3)).select(F.when(odd, "B").otherwise("A").alias("side"), F.when(odd, step).otherwise(F.col("vec_id")).alias("id"), F.col("embedding").alias("vec"))
+    gone = rows.where("vec_id % 10 = 0").select(F.lit("A-").alias("side"), F.col("vec_id").alias("id"), F.lit(None).cast("array<float>").alias("vec"))
+    events = live.unionByName(gone)
+    events.write.parquet(f"{base}/in")
+    parts = sliding_parts(spark.readStream.schema(events.schema).parquet(f"{base}/in"), WINDOW, EVERY)
+    parts.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/check").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(parts.schema).parquet(f"{base}/out").groupBy("step").agg(F.round(F.sum("part"), 4).alias("chamfer"), F.sum("n").alias("n_a"))
+
+
+@_query(f"{_SLIDE}, x AS (SELECT s AS step, sum(dist) AS chamfer FROM m GROUP BY s) SELECT step, round((1.1 * x.chamfer - x.chamfer) / x.chamfer, 6) AS err FROM x")
+def estimate_against_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Estimates joined to the exact values of their steps; here each is a tenth too high."""
+    exact_ = windows.sliding_nearest(_a(spark, sf_dir), _b(spark, sf_dir).select("step", "vec"), WINDOW, EVERY).groupBy("step").agg(F.sum("dist").alias("chamfer"))
+    estimates = exact_.select("step", (1.1 * F.col("chamfer")).alias("estimate"))
+    return evaluate.against_exact(estimates, exact_).select("step", F.round(evaluate.relative_error("estimate", "chamfer"), 6).alias("err"))
+
+
+@_query(f"WITH {_ERR}, x AS (SELECT kind, seed, step, avg(err) AS err FROM e GROUP BY ALL) SELECT o.seed, o.step, round(o.err, 6) AS one, round(p.err, 6) AS other FROM x o JOIN x p USING (seed, step) WHERE o.kind = 'view' AND p.kind = 'click'")
+def split_log_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mean = _errors(spark, sf_dir).groupBy("kind", "seed", "step").agg(F.round(F.avg("err"), 6).alias("err"))
+    own = lambda kind, name: mean.where(F.col("kind") == kind).select("seed", "step", F.col("err").alias(name))
+    return evaluate.merge_logs(own("view", "one"), own("click", "other"), ["seed", "step"])
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
