@@ -44,11 +44,11 @@ def bind(grams: np.ndarray, dim: int = DIM) -> np.ndarray:
 def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Trigrams of all texts, the text each is from, and which texts have a letter. Small letters, and one break for all between words."""
     small = [(t or "").lower() for t in texts]
-    codes = np.frombuffer("\n".join(small).encode("utf-32-le", "surrogatepass"), np.uint32)
+    codes = np.frombuffer("".join(t + "\n" for t in small).encode("utf-32-le", "surrogatepass"), np.uint32)
     if not len(codes):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(len(texts), bool)
     lengths = np.array([len(t) + 1 for t in small])
-    row = np.repeat(np.arange(len(small)), lengths)[: len(codes)]
+    row = np.repeat(np.arange(len(small)), lengths)
     own, where = np.unique(codes, return_inverse=True)
     alpha = np.array([chr(c).isalpha() if not 0xD800 <= c < 0xE000 else False for c in own])
     known = np.where(alpha, own, 0).astype(np.uint64)[where]
