@@ -23,7 +23,7 @@ from tidewell.tables import materialize, table
 LENGTH = 100
 ANCHOR = 32
 #: Bytes of text that a shard is meant to hold; one anchor's stretches are never parted, so it may be larger.
-SHARD = 4 << 20
+SHARD = 2 << 20
 #: Stretches of one task that are compared with each other before they leave it.
 LOCAL = 400_000
 _FIELDS = ["kind", "anchor", "body", "doc", "tie", "lo", "hi"]
@@ -240,7 +240,7 @@ def sort_shards(bodies: DataFrame, length: int, memory: int) -> DataFrame:
     return ordered.mapInArrow(run, "doc long, tie long, lo long, hi long")
 
 
-def repeated(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, shard: int = SHARD, memory: int = 256 << 20) -> DataFrame:
+def repeated(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, shard: int = SHARD, memory: int = 64 << 20) -> DataFrame:
     """(doc, tie, lo, hi): all starts of strings of ``length`` bytes that also begin at an earlier place. ``docs``: doc, tie, text.
 
     Ranges may overlap. Rows with equal doc and tie are one document.
