@@ -14,6 +14,7 @@ from tidewell.functions.vectors import unit_draw
 from tidewell.operators.allocate import allocation_stats
 from tidewell.operators.exact import nearest
 from tidewell.operators.lsh import Projection, scale, strata
+from tidewell.tables import materialize
 
 
 def stratified_draws(collisions: DataFrame, allocation: DataFrame, seed: int, a_id: str = "a_id") -> DataFrame:
@@ -33,8 +34,10 @@ def distances_of(draws: DataFrame, a: DataFrame, b: DataFrame, a_id: str = "a_id
 
 def stratified(a: DataFrame, b: DataFrame, collisions: DataFrame, p: Projection, total: int, seed: int) -> DataFrame:
     """One row, ``estimate``: of each stratum its full sum, or the mean of its draws times its size."""
-    allocation = allocation_stats(strata(collisions, p), total)
-    measured = distances_of(stratified_draws(collisions, allocation, seed), a, b)
+    # Both are read several times: collisions are costly, and the allocation is one row a layer.
+    collisions = materialize(collisions)
+    allocation = materialize(allocation_stats(strata(collisions, p), total))
+    measured = distances_of(materialize(stratified_draws(collisions, allocation, seed)), a, b)
     sums = measured.groupBy("layer").agg(F.sum("dist").alias("s"))
     part = F.when(F.col("is_full"), F.col("s")).otherwise(F.col("n") / F.col("t_i") * F.col("s"))
     return allocation.join(sums, "layer").agg(F.coalesce(F.sum(part), F.lit(0.0)).alias("estimate"))
@@ -54,7 +57,7 @@ def importance_draws(collisions: DataFrame, p: Projection, total: int, seed: int
 
 def importance(a: DataFrame, b: DataFrame, collisions: DataFrame, p: Projection, total: int, seed: int) -> DataFrame:
     """One row, ``estimate``: the mean of factor times distance over the draws; 0 where all of A is in B."""
-    measured = distances_of(importance_draws(collisions, p, total, seed), a, b)
+    measured = distances_of(materialize(importance_draws(materialize(collisions), p, total, seed)), a, b)
     return measured.agg(F.coalesce(F.avg(F.col("factor") * F.col("dist")), F.lit(0.0)).alias("estimate"))
 
 
@@ -68,7 +71,7 @@ def uniform_draws(a: DataFrame, total: int, seed: int, a_id: str = "a_id") -> Da
 def uniform(a: DataFrame, b: DataFrame, total: int, seed: int) -> DataFrame:
     """One row, ``estimate``: |A| times the mean distance of uniform draws with replacement; 0 if A is empty."""
     n = a.count()
-    measured = distances_of(uniform_draws(a, total, seed), a, b)
+    measured = distances_of(materialize(uniform_draws(a, total, seed)), a, b)
     return measured.agg(F.coalesce(F.lit(n) / F.lit(total) * F.sum("dist"), F.lit(0.0)).alias("estimate"))
 
 
