@@ -100,7 +100,7 @@ def lattice(token: str) -> list[list[tuple[int, int, float]]]:
         options: list[tuple[int, int, float]] = []
         if c in _CODE and c != "#":
             k = _CODE[c]
-            options = [(k, -1, 0.0 if n == 1 else -3.0 if n == 2 else -0.5)]
+            options = [(k, -1, 0.0 if n == 1 else -5.0 if n == 2 else -0.5)]
             if n > 1:
                 options.append((k, k, 0.0 if n == 2 else -1.0))
         else:
@@ -110,7 +110,7 @@ def lattice(token: str) -> list[list[tuple[int, int, float]]]:
                     options.append((_CODE[r], _CODE[r], -1.6))
         if i < first or i > last or not options:
             # At the edge a sign may be no letter at all; one without a reading is none anywhere.
-            options.append((0, -1, 0.0 if not options else -4.0 if n == 1 else -1.2))
+            options.append((0, -1, 0.0 if not options else -9.0 if n == 1 else -6.0 if n == 2 else -2.0))
         out.append(options[:CHOICES])
     # Inside a word a sign without a reading was between the letters only: it is left out.
     kept = [o for i, o in enumerate(out) if not (first < i < last and o == [(0, -1, 0.0)])]
@@ -205,7 +205,7 @@ class Restorer:
             core = t.strip(EDGES)
             spelled = {MARKS.sub("", core), MARKS.sub("", t.lstrip(EDGES.replace("!", "")).rstrip(EDGES))}
             spelled = {s for s in spelled if len(s) > 2 and not s.isdigit()}
-            self.known[t] = tuple(words)
+            self.known[t] = (*words, *(s for s in spelled if s.isalpha() and s not in words))
             odd += [(t, lattice(s)) for s in spelled]
         for (t, _), word in zip(odd, viterbi([x for _, x in odd], self.model)):
             if len(word) > 2 and word not in self.known[t]:
@@ -229,8 +229,8 @@ def features(word: str) -> list[str]:
     return ["=" + word, *(word[:n] for n in BEGINNINGS if len(word) >= n)]
 
 
-def fit(labelled: DataFrame, text: str, label: str, model: np.ndarray, least: float = 0.025, rounds: int = 400) -> tuple[dict[str, float], float]:
-    """Weights of words and beginnings and the bias, from a bounded table of whole texts with labels 0 and 1.
+def fit(labelled: DataFrame, text: str, label: str, model: np.ndarray, least: float = 0.025, rounds: int = 2500) -> tuple[dict[str, float], dict[str, float], float]:
+    """Weights of words and beginnings, what a single one of them tells, and the bias, from a bounded table of whole texts with labels 0 and 1.
 
     A feature counts only if it is in at least three, and the share ``least``, of the documents of label 1, so
     the wording of a few copied documents is not learned, and if it is three times as frequent there as overall.
@@ -246,18 +246,22 @@ def fit(labelled: DataFrame, text: str, label: str, model: np.ndarray, least: fl
                 yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(label)).cast(pa.int32()), pa.array([" ".join(sorted(w)) for w in words])], names=["label", "words"])
 
     rows = labelled.select(label, text).mapInArrow(run, "label int, words string").collect()
-    docs = [(r["label"], {f for w in r["words"].split() for f in features(w)}) for r in rows]
-    y = np.array([d[0] for d in docs], float)
+    y = np.array([r["label"] for r in rows], float)
     share = (y.sum() + 0.5) / (len(y) + 1)
     bias = float(np.log(share / (1 - share)))
     if not 0 < y.sum() < len(y):
-        return {}, bias
+        return {}, {}, bias
+    # Documents are taken one after another, so that only counts of what can matter are held.
+    own_features = lambda r: {f for w in r["words"].split() for f in features(w)}
     inside, overall = Counter(), Counter()
-    for label_, own in docs:
-        overall.update(own)
-        if label_:
-            inside.update(own)
-    kept = {f for f, n in inside.items() if n >= max(3, least * y.sum()) and n / overall[f] >= min(0.9, 3 * share)}
+    for r in rows:
+        if r["label"]:
+            inside.update(own_features(r))
+    enough = max(3, least * y.sum())
+    inside = Counter({f: n for f, n in inside.items() if n >= enough})
+    for r in rows:
+        overall.update(f for f in own_features(r) if f in inside)
+    kept = {f for f, n in inside.items() if n / overall[f] >= min(0.9, 3 * share)}
     # A beginning counts only where it stands for several words and for more than its longer forms.
     word, longer = Counter(), Counter()
     for f, n in inside.items():
@@ -268,11 +272,11 @@ def fit(labelled: DataFrame, text: str, label: str, model: np.ndarray, least: fl
             longer[f[:-1]] = max(longer[f[:-1]], n)
     names = sorted(f for f in kept if f[0] == "=" or inside[f] >= 1.5 * word[f] and longer[f] < 0.95 * inside[f])
     index = {f: i for i, f in enumerate(names)}
-    pairs = [(i, index[f]) for i, (_, own) in enumerate(docs) for f in own if f in index]
+    pairs = [(i, index[f]) for i, r in enumerate(rows) for f in sorted(own_features(r)) if f in index]
     w, doc, feat = np.zeros(len(names)), np.array([p[0] for p in pairs], int), np.array([p[1] for p in pairs], int)
     speed, memory, b_memory = np.zeros(len(names)), np.zeros(len(names)), 0.0
     for _ in range(rounds):
-        z = bias + np.bincount(doc, w[feat], len(docs))
+        z = bias + np.bincount(doc, w[feat], len(y))
         wrong = 1 / (1 + np.exp(-z)) - y
         g = np.bincount(feat, wrong[doc], len(names)) + 0.02 * w
         speed = 0.8 * speed + 0.2 * g
@@ -282,15 +286,21 @@ def fit(labelled: DataFrame, text: str, label: str, model: np.ndarray, least: fl
         w = np.sign(w) * np.maximum(np.abs(w) - 0.0005, 0)
         b_memory += wrong.sum() ** 2
         bias -= 0.5 * wrong.sum() / np.sqrt(b_memory + 1e-6)
-    return {f: float(w[i]) for f, i in index.items() if w[i]}, float(bias)
+    alone = {f: float(np.log((inside[f] + 0.5) / (overall[f] - inside[f] + 2))) for f in names}
+    return {f: float(w[i]) for f, i in index.items() if w[i]}, {f: z for f, z in alone.items() if z > 0}, float(bias)
 
 
-def score(df: DataFrame, text: str, model: np.ndarray, weights: dict[str, float], bias: float, name: str = "score") -> DataFrame:
-    """Add the probability of label 1 from the restored words of the whole text, and them, those with weight, as ``evidence``."""
-    shared = df.sparkSession.sparkContext.broadcast((model, weights))
+def score(df: DataFrame, text: str, model: np.ndarray, weights: dict[str, float], alone: dict[str, float], bias: float, name: str = "score") -> DataFrame:
+    """Add the probability of label 1 from the restored words of the whole text, and them, those with weight, as ``evidence``.
+
+    It is that of the model, or that which the most telling word has alone, if that is higher: one word is enough,
+    though most documents that the model has learned from hold several.
+    """
+    df = df.drop(name, "evidence")
+    shared = df.sparkSession.sparkContext.broadcast((model, weights, alone))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table_, own = shared.value
+        table_, own, single = shared.value
         restorer = Restorer(table_)
         judged: dict[str, float] = {}
         for batch in batches:
@@ -301,9 +311,10 @@ def score(df: DataFrame, text: str, model: np.ndarray, weights: dict[str, float]
                 for words in restorer.words([t or "" for t in part.column(part.schema.get_field_index(text)).to_pylist()]):
                     for w in words:
                         if w not in judged:
-                            judged[w] = 0.0 if not any(f in own for f in features(w)) else 1.0
+                            judged[w] = float(any(f in own or f in single for f in features(w)))
                     marked = sorted(w for w in words if judged[w])
-                    z.append(bias + sum(own.get(f, 0.0) for f in sorted({f for w in marked for f in features(w)})))
+                    told = sorted({f for w in marked for f in features(w)})
+                    z.append(max(bias + sum(own.get(f, 0.0) for f in told), max((single[f] for f in told if f in single), default=bias)))
                     said.append(marked)
                 p = 1 / (1 + np.exp(-np.clip(np.array(z, float), -60, 60)))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p), pa.array(said, pa.list_(pa.string()))], names=[*part.schema.names, name, "evidence"])
