@@ -95,7 +95,7 @@ def test_restored_words():
         for a, b, c in zip(code, code[1:], code[2:]):
             counts[a, b, c] += 1
     r = op1_toxicity.Restorer(op1_toxicity.language_model(counts))
-    for written, meant in {"1d10t": "idiot", "$tup1d": "stupid", "m0r0n": "moron", "l o s e r": "loser", "l-0-s-3-r": "loser", "stuuuupid": "stupid"}.items():
+    for written, meant in {"1d10t": "idiot", "$tup1d": "stupid", "m0r0n": "moron", "l o s e r": "loser", "l-0-s-3-r": "loser", "stuuuupid": "stupid", "l  o  s  e  r": "loser", "m\u043er\u043en": "moron", "s\u200bt\u200bu\u200bpid": "stupid"}.items():
         assert meant in r.words([f"so {written} it is"])[0], written
     assert r.words([""]) == [set()]
 

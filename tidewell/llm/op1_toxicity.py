@@ -36,8 +36,8 @@ NEVER = -1e9
 _CODE = {c: i for i, c in enumerate(LETTERS)}
 #: Labelled rows that the words' weights are fitted on, at most.
 SAMPLE = 8000
-#: Single characters set apart by one space: at least four in a row.
-APART = re.compile(r"(?<!\S)[\w@$!|+(](?: [\w@$!|+(]){3,}(?!\S)")
+#: Single characters set apart by up to three spaces: at least four in a row.
+APART = re.compile(r"(?<!\S)[\w@$!|+(](?:[ \t]{1,3}[\w@$!|+(]){3,}(?!\S)")
 #: A plain token: letters, with usual punctuation around, nothing three times in a row.
 PLAIN = re.compile(r"[(\"'“«¿¡]*([^\W\d_]+)[.,;:!?)\"'”»]*\Z")
 THRICE = re.compile(r"(.)\1\1")
@@ -46,6 +46,11 @@ EDGES = ".,;:?!)\"'”»“«¿*%&#~^/\\[]{}=-_<>"
 WORDS = re.compile(r"[^\W\d_]+")
 
 
+def _mixed(word: str) -> bool:
+    """Whether a word has letters of other scripts that look like Latin ones among Latin ones."""
+    return not word.isascii() and any(c in READINGS for c in word) and any(c.isascii() for c in word)
+
+
 def count_trigrams(df: DataFrame, text: str) -> np.ndarray:
     """Counts of letter trigrams of all words of all rows: at most one number for each triple of letters."""
 
@@ -187,7 +192,7 @@ class Restorer:
         """The distinct tokens of a text, small, with those that were set apart by spaces as one."""
         text = text.lower()
         found = set(text.split())
-        found.update(m.replace(" ", "") for m in APART.findall(text))
+        found.update("".join(m.split()) for m in APART.findall(text))
         return found
 
     def learn(self, tokens: set[str]) -> None:
@@ -198,7 +203,7 @@ class Restorer:
             if t in self.known:
                 continue
             m = PLAIN.match(t)
-            if m and not THRICE.search(t):
+            if m and not THRICE.search(t) and not _mixed(m[1]):
                 self.known[t] = (m[1],)
                 continue
             words = WORDS.findall(t)
