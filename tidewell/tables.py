@@ -23,12 +23,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Whether Spark drops a query's shuffle files as soon as it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
-    The result has a short lineage and known statistics, and survives the loss of any executor.
+    The result has a short lineage and known statistics, and survives the loss of any executor. Shuffle files of the
+    write are dropped when it has ended: the table stands for them.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
