@@ -24,7 +24,7 @@ from tidewell.tables import table
 BITS = 17
 WINDOWS = (3, 5)
 #: Labelled rows that a model is fitted on, at most: a fixed draw by a hash of doc_id.
-SAMPLE = 3000
+SAMPLE = 2000
 
 
 @dataclass
