@@ -224,6 +224,30 @@ def test_repeats_equal_brute_force(spark, docs, none):
     assert op3_suffix_dedup.remove_repeats(none).count() == 0
 
 
+def test_a_hot_anchor_is_split(spark, monkeypatch):
+    rng = np.random.default_rng(16)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 5))
+    passage = " ".join(word() for _ in range(30))
+    texts = []
+    for i in range(240):
+        around = [" ".join(word() for _ in range(30)) for _ in range(2)]
+        texts.append(around[0] + (" " + passage + " " if i % 3 == 0 else " ") + around[1])
+    texts += [texts[0], texts[3][40:], texts[6][:-30] + "ends otherwise"]
+    docs = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "doc long, tie long, text string").repartition(4)
+    dealt, sort_shards = [], op3_suffix_dedup.sort_shards
+    monkeypatch.setattr(op3_suffix_dedup, "sort_shards", lambda bodies, *a: dealt.append(bodies) or sort_shards(bodies, *a))
+    starts = defaultdict(set)
+    for r in op3_suffix_dedup.repeated(docs, shard=3000, memory=2000).collect():
+        starts[r["doc"]].update(range(r["lo"], r["hi"] + 1))
+    seen = set()
+    for i, t in enumerate(texts):
+        own = [t[k : k + 100] for k in range(len(t) - 99)]
+        assert starts[i] == {k for k, x in enumerate(own) if x in seen or x in own[:k]}, i
+        seen.update(own)
+    sizes = [r["n"] for r in dealt[0].groupBy("shard").agg(F.sum(F.length("body")).alias("n")).collect()]
+    assert max(sizes, default=0) <= 4 * 3000
+
+
 # 4, 5
 
 

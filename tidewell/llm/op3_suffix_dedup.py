@@ -4,7 +4,8 @@ Which bytes can repeat is found first. Of the hashes of all 32-byte windows in a
 anchor; equal strings have equal anchors. All neighbouring strings of one anchor are a stretch of text. Stretches
 with an anchor of their own can't repeat and are dropped; of stretches with equal bytes all but the first repeat
 it whole. What is left, different stretches around one anchor, is dealt into shards by anchor, so all places of
-any string meet in one shard, and there the induced suffix order with its common prefixes tells the repeats.
+any string meet in one shard, and there the induced suffix order with its common prefixes tells the repeats. An
+anchor whose stretches would fill a shard alone is hot: its strings are dealt out one by one, by their own hash.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm.suffixes import repeats
@@ -22,10 +23,14 @@ from tidewell.tables import materialize, table
 
 LENGTH = 100
 ANCHOR = 32
-#: Bytes of text that a shard is meant to hold; one anchor's stretches are never parted, so it may be larger.
+#: Bytes of text that a shard is meant to hold; an anchor with more than that is not dealt into shards.
 SHARD = 2 << 20
 #: Stretches of one task that are compared with each other before they leave it.
 LOCAL = 400_000
+#: Stretches of hot anchors whose strings are hashed at once.
+HASHED = 4000
+#: Rows up to which a counted table is broadcast.
+BROADCAST_ROWS = 200_000
 _FIELDS = ["kind", "anchor", "body", "doc", "tie", "lo", "hi"]
 _SCHEMA = "kind int, anchor long, body long, doc long, tie long, lo long, hi long"
 _TYPES = [pa.int32(), *[pa.int64()] * 6]
@@ -86,21 +91,23 @@ def _marks(doc, tie, lo, hi) -> pa.RecordBatch:
     return _batch(1, spread, np.zeros(len(doc)), doc, tie, lo, hi)
 
 
+def _settled(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+    """Kind 0: of rows with one anchor and content the first, kind 1: ranges of the others' starts."""
+    doc, tie, lo, hi, a, b = (np.concatenate([h[i] for h in held]) for i in range(6))
+    order = np.lexsort((lo, tie, doc, b, a))
+    doc, tie, lo, hi, a, b = doc[order], tie[order], lo[order], hi[order], a[order], b[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    first = np.flatnonzero(new)[np.cumsum(new) - 1]
+    late = ~new & ((doc != doc[first]) | (tie != tie[first]) | (lo != lo[first]))
+    yield _batch(0, a[new].view(np.int64), b[new].view(np.int64), doc[new], tie[new], lo[new], hi[new])
+    if late.any():
+        yield _marks(doc[late], tie[late], lo[late], hi[late])
+
+
 def find_stretches(docs: DataFrame, length: int, anchor: int) -> DataFrame:
     """Of ``docs`` (doc, tie, text): stretches, kind 0, and ranges of starts that repeat one of the same task, kind 1."""
 
-    def settle(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        doc, tie, lo, hi, a, b = (np.concatenate([h[i] for h in held]) for i in range(6))
-        order = np.lexsort((lo, tie, doc, b, a))
-        doc, tie, lo, hi, a, b = doc[order], tie[order], lo[order], hi[order], a[order], b[order]
-        new = np.ones(len(doc), bool)
-        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        first = np.flatnonzero(new)[np.cumsum(new) - 1]
-        late = ~new & ((doc != doc[first]) | (tie != tie[first]) | (lo != lo[first]))
-        yield _batch(0, a[new].view(np.int64), b[new].view(np.int64), doc[new], tie[new], lo[new], hi[new])
-        if late.any():
-            yield _marks(doc[late], tie[late], lo[late], hi[late])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
@@ -109,10 +116,10 @@ def find_stretches(docs: DataFrame, length: int, anchor: int) -> DataFrame:
                 row, lo, hi, a, b = stretches(*buffers(get("text")), length, anchor)
                 held.append((get("doc").to_numpy()[row], get("tie").to_numpy()[row], lo, hi, a, b))
                 if sum(len(h[0]) for h in held) >= LOCAL:
-                    yield from settle(held)
+                    yield from _settled(held)
                     held = []
         if held:
-            yield from settle(held)
+            yield from _settled(held)
 
     return docs.mapInArrow(run, _SCHEMA)
 
@@ -192,6 +199,34 @@ def cut_stretches(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     return rows.select("doc", "tie", "text", "own").mapInArrow(run, "shard long, doc long, tie long, lo long, body binary")
 
 
+def hash_starts(bodies: DataFrame, length: int) -> DataFrame:
+    """Of ``bodies``, with the anchor as ``shard``: each string as a stretch of its own, for compare_stretches.
+
+    Equal strings have one anchor and one hash. The hash takes the anchor's place, by which rows are dealt, and the
+    anchor that of the content, so however many strings share an anchor, only equal ones meet.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        for batch in batches:
+            for s in range(0, batch.num_rows, HASHED):
+                part = batch.slice(s, HASHED)
+                anchor, doc, tie, lo = (part.column(i).to_numpy() for i in range(4))
+                data, offsets = buffers(part.column(4))
+                count = np.diff(offsets) - length + 1
+                row = np.repeat(np.arange(len(count)), count)
+                inside = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+                own = Substrings(data).each(length)[offsets[row] + inside]
+                held.append((doc[row], tie[row], lo[row] + inside, lo[row] + inside, own, anchor.view(np.uint64)[row]))
+                if sum(len(h[0]) for h in held) >= LOCAL:
+                    yield from _settled(held)
+                    held = []
+        if held:
+            yield from _settled(held)
+
+    return bodies.mapInArrow(run, _SCHEMA)
+
+
 def sort_shards(bodies: DataFrame, length: int, memory: int) -> DataFrame:
     """(doc, tie, lo, hi): starts of strings that also begin earlier in their shard, from its sorted suffixes."""
 
@@ -252,8 +287,20 @@ def repeated(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, shard:
     if not total:
         return marks
     shards = max(1, -(-total // shard))
-    wanted = open_.groupBy("doc", "tie").agg(F.collect_list(F.struct(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"), "lo", "hi")).alias("own"))
-    return marks.unionByName(sort_shards(cut_stretches(docs, wanted, length), length, memory))
+    found = ["doc", "tie", "lo", "hi"]
+
+    def bodies(rows: DataFrame, name: Column) -> DataFrame:
+        return cut_stretches(docs, rows.groupBy("doc", "tie").agg(F.collect_list(F.struct(name.alias("shard"), "lo", "hi")).alias("own")), length)
+
+    hot = open_.groupBy("anchor").agg(F.sum(F.col("hi") - F.col("lo") + length).alias("n")).where(F.col("n") > shard).select("anchor")
+    hot = materialize(hot)
+    n_hot = hot.count()
+    if n_hot:
+        hot = F.broadcast(hot) if n_hot <= BROADCAST_ROWS else hot
+        single = compare_stretches(hash_starts(bodies(open_.join(hot, "anchor", "left_semi"), F.col("anchor")), length))
+        marks = marks.unionByName(materialize(single.where("kind = 1").select(found)))
+        open_ = open_.join(hot, "anchor", "left_anti")
+    return marks.unionByName(sort_shards(bodies(open_, F.pmod(F.xxhash64("anchor"), F.lit(shards))), length, memory))
 
 
 def numbered(df: DataFrame, id_col: str, text: str) -> DataFrame:
