@@ -426,6 +426,22 @@ def test_surrogates_stay_distinct(spark, monkeypatch):
     assert len({r["drawn"] for r in rows}) == 60 and max(r["attempt"] for r in rows) > 0
 
 
+def test_persons_stay_distinct(spark):
+    male = [f"{a}{b}" for a in ("Ja", "Pe", "To", "Wi", "Ro") for b in ("mes", "ter", "nas", "lm", "lf", "ko", "bin", "ris")]
+    text = " and ".join(f"Mr {g} Smith" for g in male) + "; Dr Anna Weber, Frau Anna Weber, Prof Anna Weber; Mr Kim Weber, Ms Kim Weber; Mr Smith"
+    rows = op10_surrogates.replace_entities(spark.createDataFrame([(1, text), (2, "Mr Wilm Smith"), (3, "Dr Anna Weber")], "doc_id long, text string")).collect()
+    new, again, alone = (r["text"] for r in sorted(rows, key=lambda r: r["doc_id"]))
+    people, anna, kim, short = new.split("; ")
+    people = people.split(" and ")
+    assert len(set(people)) == len(male) == 40
+    assert len({p.split()[-1] for p in people} | {short.split()[-1]}) == 1
+    assert all(part in op10_surrogates.GIVEN["m"] for p in people for part in p.split()[1].split("-"))
+    assert again == people[male.index("Wilm")]
+    assert len({tuple(p.split()[1:]) for p in [*anna.split(", "), alone]}) == 1
+    assert all(part in op10_surrogates.GIVEN["f"] for part in alone.split()[1].split("-"))
+    assert len({tuple(p.split()[1:]) for p in kim.split(", ")}) == 1
+
+
 def test_set_names_and_shingles():
     grams, offsets = op2_jaccard.shingles(pa.array(["a b c d e f", "A, b c d e f!", None, "x", "a b c d e f a b c d e f"]))
     ids = op2_jaccard.set_ids(grams, offsets)

@@ -3,8 +3,9 @@
 Every entity found (mail and network addresses, phone, card, account and social-security numbers, keys, tokens,
 passwords, titled names) gets a replacement drawn by a keyed hash of its normal form, so one entity has one
 surrogate in every document, however it is punctuated. Digits become digits, letters letters of the same script
-and case, and the marks between them stay; given names keep the gender their title tells. A surrogate that
-another entity has too, or that is an entity of the corpus itself, is drawn anew until all are distinct.
+and case, and the marks between them stay. A person is a family name with a given name; given names keep the
+gender that the titles of all mentions tell. A surrogate that another entity has too, or that is an entity of the
+corpus itself, is drawn anew until all are distinct.
 """
 
 from __future__ import annotations
@@ -86,6 +87,32 @@ def unit_of(kind: Column, entity: Column) -> Column:
     )
 
 
+def _title(entity: Column) -> Column:
+    """The title a name begins with, and the space after it."""
+    return F.regexp_extract(entity, rf"^(?:{_TITLE})\.? ", 0)
+
+
+def gender_of(entity: Column) -> Column:
+    """The place in GIVEN of the gender that a name's title tells."""
+    told = lambda g: _title(entity).rlike(rf"^(?:{'|'.join(TITLES[g])})\b")
+    return F.when(told("m"), F.lit(0)).when(told("f"), F.lit(1)).otherwise(F.lit(2))
+
+
+def person_of(entity: Column) -> Column:
+    """Family and given names of a titled name with both, as one unit of the kind "given"; null without given names."""
+    name = F.substr(entity, F.length(_title(entity)) + 1, F.length(entity))
+    family = F.substring_index(name, " ", -1)
+    return F.when(name.contains(" "), F.concat(family, F.lit(" "), F.substr(name, F.lit(1), F.length(name) - F.length(family) - 1)))
+
+
+def draw_given(key: str, unit: Column, attempt: Column) -> Column:
+    """The given name of a person, whose gender is ``attempt`` modulo 3. Each third attempt adds a name, so they never run out."""
+    pools = F.array(*(F.array(*map(F.lit, names)) for names in GIVEN.values()))
+    pool = F.get(pools, (attempt % 3).cast("int"))
+    one = lambda i: F.get(pool, _byte(_hash(key, unit, F.lit("g"), attempt, i), F.lit(0)) % F.size(pool))
+    return F.array_join(F.transform(F.sequence(F.lit(0), F.floor(attempt / 3).cast("int")), one), "-")
+
+
 def _hash(key: str, *parts: Column) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(key), *(p.cast("string") for p in parts)), 256)
 
@@ -111,7 +138,7 @@ def _disguise(key: str, value: Column, seed: Column, attempt: Column, alphabets:
 
 
 def draw(key: str, kind: Column, unit: Column, attempt: Column) -> Column:
-    """The surrogate of a normal form: of a person a family name; cards keep first digit and check, phones and accounts their country."""
+    """The surrogate of a normal form: of a person a family name, of "given" the unit with another given name; cards keep first digit and check, phones and accounts their country."""
     plain = _disguise(key, unit, unit, attempt)
     hexadecimal = _disguise(key, unit, unit, attempt, HEX)
 
@@ -129,6 +156,7 @@ def draw(key: str, kind: Column, unit: Column, attempt: Column) -> Column:
     country = F.regexp_extract(unit, r"^(\+1|\+[0-9]{2}|)", 1)
     return (
         F.when(kind == "email", let(F.substring_index(unit, "@", -1), email))
+        .when(kind == "given", F.concat_ws(" ", F.substring_index(unit, " ", 1), draw_given(key, unit, attempt)))
         .when(kind == "ip", octets)
         .when(kind == "card", let(plain, card))
         .when(kind == "ip6", hexadecimal)
@@ -140,8 +168,8 @@ def draw(key: str, kind: Column, unit: Column, attempt: Column) -> Column:
     )
 
 
-def render(key: str, kind: Column, entity: Column, drawn: Column) -> Column:
-    """``drawn`` in the punctuation and case of the mention; of a person, with title and a given name of the same gender."""
+def render(kind: Column, entity: Column, drawn: Column, given: Column) -> Column:
+    """``drawn`` in the punctuation and case of the mention; of a person, with title and ``given`` unless that is null."""
     number = kind.isin("phone", "card", "ssn", "iban")
 
     def lay(c: Column, i: Column) -> Column:
@@ -152,17 +180,9 @@ def render(key: str, kind: Column, entity: Column, drawn: Column) -> Column:
         own = F.substr(drawn, i + 1, F.lit(1))
         return F.when(c.rlike("[A-Z]"), F.upper(own)).otherwise(own)
 
-    def person(parts: Column) -> Column:
-        title = F.get(parts, F.lit(0))
-        bare = F.regexp_replace(title, r"\.", "")
-        given = F.when(F.size(parts) > 2, F.get(parts, F.lit(1)))
-        pick = lambda names: F.element_at(F.array(*map(F.lit, names)), _byte(_hash(key, given, F.lit("g")), F.lit(0)) % len(names) + 1)
-        first = F.when(bare.isin(*TITLES["m"]), pick(GIVEN["m"])).when(bare.isin(*TITLES["f"]), pick(GIVEN["f"])).otherwise(pick(GIVEN["n"]))
-        return F.concat_ws(" ", title, F.when(given.isNotNull(), first), drawn)
-
     spelled = lambda how: F.array_join(F.transform(F.split(entity, ""), how), "")
     return (
-        F.when(kind == "person", let(F.split(entity, " "), person))
+        F.when(kind == "person", F.concat(_title(entity), F.concat_ws(" ", given, drawn)))
         .when(number, spelled(lay))
         .when(kind.isin("email", "ip6") & (entity != F.lower(entity)), spelled(raise_case))
         .otherwise(drawn)
@@ -178,10 +198,11 @@ def _entities(text: str) -> Column:
 def attempts(units: DataFrame, key: str) -> DataFrame:
     """(kind, unit, attempt, drawn) of distinct units, with all ``drawn`` of a kind distinct and none a unit itself.
 
-    Of units that drew alike the least keeps its draw. Each round is an aggregation over all units.
+    Of units that drew alike the least keeps its draw. Each round is an aggregation over all units. ``units`` may have
+    the first attempt of each, and other columns, which stay.
     """
     again = lambda df: df.withColumn("drawn", draw(key, F.col("kind"), F.col("unit"), F.col("attempt")))
-    now = materialize(again(units.withColumn("attempt", F.lit(0))))
+    now = materialize(again(units if "attempt" in units.columns else units.withColumn("attempt", F.lit(0))))
     for _ in range(ATTEMPTS):
         shared = now.groupBy("kind", "drawn").agg(F.min("unit").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("kind", "drawn", "first")
         real = now.select("kind", F.col("unit").alias("drawn")).distinct()
@@ -189,7 +210,7 @@ def attempts(units: DataFrame, key: str) -> DataFrame:
         lost = materialize(lost.unionByName(now.join(real, ["kind", "drawn"], "left_semi").select("kind", "unit")).distinct())
         if lost.isEmpty():
             return now
-        redrawn = again(now.join(lost, ["kind", "unit"], "left_semi").withColumn("attempt", F.col("attempt") + 1).drop("drawn"))
+        redrawn = again(now.join(lost, ["kind", "unit"], "left_semi").withColumn("attempt", F.col("attempt") + F.when(F.col("kind") == "given", 3).otherwise(1)).drop("drawn"))
         now = materialize(now.join(lost, ["kind", "unit"], "left_anti").unionByName(redrawn))
     raise ValueError("surrogates of some kind have run out")
 
@@ -200,8 +221,12 @@ def replace_entities(docs: DataFrame, text: str = "text", key: str = "tidewell")
     A null text stays null; a column ``_found`` is replaced, names with two leading underscores are reserved. A text is rewritten where it stands: it is never shuffled unless one of its
     entities needed a second draw and such documents are too many to broadcast.
     """
-    seen = docs.select(F.explode(_units(text)).alias("u")).select("u.kind", "u.unit").distinct()
-    odd = materialize(attempts(seen, key).where("attempt > 0").select("kind", "unit", "attempt"))
+    seen = docs.select(F.explode(_units(text)).alias("u")).select("u.kind", "u.unit", "u.attempt").groupBy("kind", "unit")
+    seen = seen.agg(F.bool_or(F.col("attempt") == 0).alias("m"), F.bool_or(F.col("attempt") == 1).alias("f"), (F.min("attempt") < F.max("attempt")).alias("mixed"))
+    # A person whose titles tell no gender, or both, has a given name of either.
+    settled = F.when(F.col("m") & F.col("f"), 2).when(F.col("m"), 0).when(F.col("f"), 1).otherwise(2)
+    done = attempts(seen.select("kind", "unit", settled.alias("attempt"), "mixed"), key)
+    odd = materialize(done.where((F.col("attempt") >= F.when(F.col("kind") == "given", 3).otherwise(1)) | F.col("mixed")).select("kind", "unit", "attempt"))
     work, again = docs, F.lit(None).cast("map<string,int>")
     if not odd.isEmpty():
         keys = {"__k1": F.xxhash64(text), "__k2": F.xxhash64(F.lit(3), F.col(text))}
@@ -214,7 +239,8 @@ def replace_entities(docs: DataFrame, text: str = "text", key: str = "tidewell")
         def known(kind: Column) -> Column:
             def of(unit: Column) -> Column:
                 attempt = F.coalesce(again[F.concat_ws(":", kind, unit)], F.lit(0))
-                new = let(draw(key, kind, unit, attempt), lambda drawn: render(key, kind, e, drawn))
+                given = F.when(kind == "person", let(person_of(e), lambda p: F.when(p.isNotNull(), draw_given(key, p, F.coalesce(again[F.concat_ws(":", F.lit("given"), p)], gender_of(e))))))
+                new = let(draw(key, kind, unit, attempt), lambda drawn: render(kind, e, drawn, given))
                 return F.struct(kind.alias("kind"), new.alias("new"))
 
             return let(unit_of(kind, e), of)
@@ -232,9 +258,14 @@ def replace_entities(docs: DataFrame, text: str = "text", key: str = "tidewell")
 
 
 def _units(text: str) -> Column:
-    """The distinct (kind, unit) of a text."""
-    of = lambda e: let(kind_of(e), lambda k: F.struct(k.alias("kind"), unit_of(k, e).alias("unit")))
-    return F.array_distinct(F.transform(_entities(text), of))
+    """The distinct (kind, unit, first attempt) of a text; a name with given names is two, of the kinds person and given."""
+
+    def of(e: Column) -> Column:
+        own = lambda k: F.struct(k.alias("kind"), unit_of(k, e).alias("unit"), F.lit(0).alias("attempt"))
+        both = lambda k: F.array(own(k), F.when(k == "person", F.struct(F.lit("given").alias("kind"), person_of(e).alias("unit"), gender_of(e).alias("attempt"))))
+        return let(kind_of(e), both)
+
+    return F.array_distinct(F.filter(F.flatten(F.transform(_entities(text), of)), lambda u: u["unit"].isNotNull()))
 
 
 def _small(df: DataFrame) -> DataFrame:
