@@ -442,6 +442,26 @@ def test_persons_stay_distinct(spark):
     assert len({tuple(p.split()[1:]) for p in kim.split(", ")}) == 1
 
 
+def test_surrogates_cover_whole_entities(spark):
+    names = ["Dr Anna Maria Schmidt", "Dr Anna-Maria Schmidt", "Mr McDonald", "Mr O'Brien", "Mr John F. Kennedy", "Mr J. R. R. Tolkien", "Herr Ludwig van Beethoven", "Prof. Dr. Anna Weber"]
+    secret, token, mail = "Aq7" * 20_000, "eyJhbGci.Zx9_" * 40, "Name.Part" * 20 + "@Mail." + "sub." * 12 + "example.com"
+    long = f'password={secret} and token = "{token}" to {mail} end'
+    texts = [*(f"So {n} said, as {n}'s friend did" for n in names), long, "4111 1111 1111 1111.foo@bar.com"]
+    rows = op10_surrogates.replace_entities(spark.createDataFrame(list(enumerate(texts)), "id long, text string")).collect()
+    new = {r["id"]: r["text"] for r in rows}
+    assert {r["id"]: r["_found"] for r in rows} == {**{i: ["person"] * 2 for i in range(len(names))}, len(names): ["secret", "secret", "email"], len(names) + 1: ["card", "email"]}
+    for i, n in enumerate(names):
+        first, second = re.fullmatch(r"So (.*) said, as (.*)'s friend did", new[i]).groups()
+        assert first == second
+        for part in re.findall(r"\w{4,}", n.replace("Prof", "").replace("Herr", "")):
+            assert part not in new[i], n
+    got = re.fullmatch(r'password=(\S+) and token = "(\S+)" to (\S+)@(\S+) end', new[len(names)]).groups()
+    assert len(got[0]) == len(secret) and len(got[1]) == len(token) and len(got[2]) == 180
+    for gone in ("Aq7Aq7", "eyJhbGci", "Zx9_Zx9", "Name.Part", "sub.sub", "example"):
+        assert gone not in new[len(names)]
+    assert "foo" not in new[len(names) + 1]
+
+
 def test_set_names_and_shingles():
     grams, offsets = op2_jaccard.shingles(pa.array(["a b c d e f", "A, b c d e f!", None, "x", "a b c d e f a b c d e f"]))
     ids = op2_jaccard.set_ids(grams, offsets)

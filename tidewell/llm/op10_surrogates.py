@@ -37,20 +37,29 @@ ALPHABETS = (
 HEX = ("0123456789abcdef",)
 
 _TITLE = "|".join(t for group in TITLES.values() for t in group)
-_NAME = r"\p{Lu}\p{Ll}{1,30}"
+_MAIL = r"[A-Za-z0-9._%+\-]"
+#: Words in small letters that a name may have before one of its parts.
+_PARTICLE = "van|von|vom|de|del|della|der|den|des|di|da|do|dos|du|la|le|ten|ter|zu|zum|zur|af|av|bin|ibn|al|el"
+#: A part of a name: O'Brien, McDonald, Anna-Maria. A mark is within it only before a capital or after a single one.
+_PART = r"\p{Lu}(?:['’]\p{L})?[\p{L}\p{M}]++(?:['’\-]\p{Lu}[\p{L}\p{M}]*+)*+"
+#: Parts of a name, any number, each behind a space and perhaps initials and particles. Possessive loops need no stack.
+_NAME = rf"(?: (?:(?:(?:\p{{Lu}}\.)++|{_PARTICLE}) )*+{_PART})++"
+#: One title or several in a row; the last is not one if no name follows.
+_TITLES = rf"(?:{_TITLE})\.?(?: (?:{_TITLE})\.?(?= (?:\p{{Lu}}|(?:{_PARTICLE}) )))*+"
 #: What counts as an entity; of two that begin at one place, the first in this list.
 PATTERNS = (
-    r"[A-Za-z0-9._%+\-]{1,64}@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){1,8}",
+    # Tried only where such a run begins or a match has ended, so that a long run is read once.
+    rf"(?:\G|(?<!{_MAIL})){_MAIL}++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)++",
     r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b",
-    r"(?<=password=|passwd=|secret=|api_key=)[^\s\"'&;,]{4,128}",
-    r"(?<=token = \"|token=\"|secret = \"|api_key = \")[^\"\s]{8,256}(?=\")",
+    r"(?<=password=|passwd=|secret=|api_key=)[^\s\"'&;,]{4,}+",
+    r"(?<=token = \"|token=\"|secret = \"|api_key = \")[^\"\s]{8,}+(?=\")",
     r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
     r"\b[0-9]{4}(?:[ \-]?[0-9]{4}){2}[ \-]?[0-9]{1,7}\b",
     r"\b(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?:\.(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})){3}\b",
     r"\b(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}\b",
     r"\+[0-9]{1,3}(?:[ .\-]?\(?[0-9]{1,4}\)?){2,6}|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|\b[0-9]{3}-[0-9]{3}-[0-9]{4}\b",
-    rf"\b(?:{_TITLE})\.? {_NAME}(?: {_NAME})?",
+    rf"\b{_TITLES}{_NAME}",
 )
 ANY = "|".join(f"(?:{p})" for p in PATTERNS)
 #: A text in which this is nowhere has no entity; the long pattern is then skipped.
@@ -65,7 +74,7 @@ def kind_of(entity: Column) -> Column:
     digits = F.length(F.regexp_replace(entity, "[^0-9]", ""))
     return (
         F.when(entity.rlike(r"^[^@\s]+@[^@\s]+\.[^@\s]+$"), F.lit("email"))
-        .when(entity.rlike(rf"^(?:{_TITLE})\.? {_NAME}"), F.lit("person"))
+        .when(entity.rlike(rf"^{_TITLES}{_NAME}"), F.lit("person"))
         .when(entity.rlike(r"^(AKIA|ASIA)[A-Z0-9]{16}$"), F.lit("aws"))
         .when(entity.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), F.lit("ssn"))
         .when(entity.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"), F.lit("ip"))
@@ -88,13 +97,13 @@ def unit_of(kind: Column, entity: Column) -> Column:
 
 
 def _title(entity: Column) -> Column:
-    """The title a name begins with, and the space after it."""
-    return F.regexp_extract(entity, rf"^(?:{_TITLE})\.? ", 0)
+    """The titles a name begins with, and the space after them."""
+    return F.regexp_extract(entity, rf"^{_TITLES} ", 0)
 
 
 def gender_of(entity: Column) -> Column:
     """The place in GIVEN of the gender that a name's title tells."""
-    told = lambda g: _title(entity).rlike(rf"^(?:{'|'.join(TITLES[g])})\b")
+    told = lambda g: _title(entity).rlike(rf"(?:^| )(?:{'|'.join(TITLES[g])})\.? ")
     return F.when(told("m"), F.lit(0)).when(told("f"), F.lit(1)).otherwise(F.lit(2))
 
 
@@ -123,13 +132,13 @@ def _byte(bits: Column, i: Column) -> Column:
 
 def _disguise(key: str, value: Column, seed: Column, attempt: Column, alphabets: tuple[str, ...] = ALPHABETS) -> Column:
     """``value`` with each digit and letter replaced by a keyed one of its own alphabet; other characters stay."""
-    stream = F.array_join(F.transform(F.sequence(F.lit(0), F.floor(F.length(value) / 32).cast("int")), lambda i: _hash(key, seed, attempt, i)), "")
+    stream = F.transform(F.sequence(F.lit(0), F.floor(F.length(value) / 32).cast("int")), lambda i: _hash(key, seed, attempt, i))
 
     def one(bits: Column):
         def swap(c: Column, i: Column) -> Column:
             out = F.when(c == "", c)
             for a in alphabets:
-                out = out.when(F.instr(F.lit(a), c) > 0, F.substr(F.lit(a), _byte(bits, i) % len(a) + 1, F.lit(1)))
+                out = out.when(F.instr(F.lit(a), c) > 0, F.substr(F.lit(a), _byte(F.get(bits, F.floor(i / 32).cast("int")), i % 32) % len(a) + 1, F.lit(1)))
             return out.otherwise(c)
 
         return swap
@@ -176,15 +185,12 @@ def render(kind: Column, entity: Column, drawn: Column, given: Column) -> Column
         own = F.substr(drawn, F.length(F.regexp_replace(F.substr(entity, F.lit(1), i + 1), "[^0-9A-Za-z+]", "")), F.lit(1))
         return F.when(~c.rlike("[0-9A-Za-z+]"), c).otherwise(own)
 
-    def raise_case(c: Column, i: Column) -> Column:
-        own = F.substr(drawn, i + 1, F.lit(1))
-        return F.when(c.rlike("[A-Z]"), F.upper(own)).otherwise(own)
-
+    raise_case = lambda c, own: F.when(c.rlike("[A-Z]"), F.upper(own)).otherwise(own)
     spelled = lambda how: F.array_join(F.transform(F.split(entity, ""), how), "")
     return (
         F.when(kind == "person", F.concat(_title(entity), F.concat_ws(" ", given, drawn)))
         .when(number, spelled(lay))
-        .when(kind.isin("email", "ip6") & (entity != F.lower(entity)), spelled(raise_case))
+        .when(kind.isin("email", "ip6") & (entity != F.lower(entity)), F.array_join(F.zip_with(F.split(entity, ""), F.split(drawn, ""), raise_case), ""))
         .otherwise(drawn)
     )
 
