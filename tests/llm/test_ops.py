@@ -279,14 +279,83 @@ def test_quality(spark, docs, none):
 
 
 def test_mpeg_round_trip(docs, none):
-    rows = op6_mpeg.describe(op6_mpeg.store(docs.select("doc_id", "text"), "text")).collect()
+    rows = op6_mpeg.index(op6_mpeg.store(docs, "text")).collect()
     have = Counter()
     for _, text, _ in ROWS:
         raw = (text or "").encode()
         payload = raw + b" " * (max(1, -(-len(raw) // 192)) * 192 - len(raw))
-        have[len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:])] += 1
-    assert Counter((r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) for r in rows) == have
-    assert op6_mpeg.describe(op6_mpeg.store(none, "text")).count() == 0
+        have[len(raw), payload] += 1
+    assert Counter((r["n_bytes"], bytes(r["payload"])) for r in rows) == have
+    for r in rows:
+        n = len(r["payload"]) // 192
+        assert r["n_samples"] == 1152 * n and r["duration_numerator"] / r["duration_denominator"] == pytest.approx(0.024 * n)
+        assert r["frame_offsets"] == [len(r["media"]) - 240 * (n - i) for i in range(n)] and r["frame_samples"] == [1152 * i for i in range(n)]
+        assert (r["crc_checked"], r["crc_wrong"], r["skipped_bytes"]) == (n, 0, 0) and dict(r["tags"])["TIT2"] == "payload"
+    assert op6_mpeg.index(op6_mpeg.store(none, "text")).count() == 0
+    bare = op6_mpeg.index(docs.selectExpr("doc_id", "cast(null AS binary) AS media")).first()
+    assert bare["payload"] == b"" and bare["frame_offsets"] == []
+
+
+def test_mpeg_query_equals_the_text(spark, duck):
+    rows = {r["doc_id"]: r for r in registry.queries()["op6_mpeg_frames"](spark, DATA).collect()}
+    for i, text in duck.sql("SELECT doc_id, text FROM documents").fetchall():
+        raw = (text or "").encode()
+        payload = raw + b" " * (max(1, -(-len(raw) // 192)) * 192 - len(raw))
+        media = op6_mpeg.write(payload)
+        r = rows[i]
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+        assert (r["media_bytes"], r["media_sha256"]) == (len(media), hashlib.sha256(media).hexdigest())
+        n = len(payload) // 192
+        assert f"frames={n};samples={1152 * n};" in r["feature"] and f";checked={n};wrong=0;vbr_frames={n};" in r["feature"]
+
+
+def test_marks_of_the_format_within_a_payload():
+    for mark in (b"TAG", b"ID3\4\0\0\0\0\0\7", b"Xing\0\0\0\7", b"VBRI", op6_mpeg.HEAD, b"\xff"):
+        for at in range(192):
+            unit = (b"x" * at + mark).ljust(192, b"y")[:192]
+            for payload in (unit, unit + b"z" * 192, b"z" * 192 + unit):
+                got, stream = op6_mpeg.read(op6_mpeg.write(payload))
+                assert got == payload and not {"id3v1"} & set(stream.tags), (mark, at)
+
+
+def _frame(four, rng):
+    """A frame of random bytes with a right checksum, from the bits of the format by hand."""
+    h = op6_mpeg.header(four)
+    body = bytearray(four + b"\0\0" + rng.integers(0, 256, h.length - 6).astype(np.uint8).tobytes())
+    if h.layer == 3:
+        bits = 8 * h.side
+    elif h.layer == 1:
+        bits = 4 * ((1 if h.mono else 2) * min(32, h.bound) + 32 - min(32, h.bound))
+    else:
+        bits = op6_mpeg.protected(bytes(body), h)
+    stream = "".join(f"{b:08b}" for b in body[2:4]) + "".join(f"{b:08b}" for b in body[6:])[:bits]
+    register = 0xFFFF
+    for bit in stream:
+        top = register >> 15 ^ int(bit)
+        register = register << 1 & 0xFFFF
+        register ^= 0x8005 * top
+    body[4], body[5] = register >> 8, register & 255
+    return bytes(body)
+
+
+def test_mpeg_layers_tags_and_tables():
+    rng = np.random.default_rng(3)
+    for four in (b"\xff\xfe\x84\x10", b"\xff\xfc\xa0\x00", b"\xff\xfc\x44\xc0", b"\xff\xfc\xa8\x50", b"\xff\xf4\x84\x00", b"\xff\xfa\x90\x40", b"\xff\xf2\x84\xc0"):
+        h = op6_mpeg.header(four)
+        frames = [_frame(four, rng) for _ in range(40)]
+        title = "Prüfung".encode("utf-16")
+        tag = b"ID3\x03\0\0" + bytes((0, 0, 0, 11 + len(title))) + b"TPE1" + bytes((0, 0, 0, 1 + len(title), 0, 0, 1)) + title
+        last = b"TAG" + b"A title".ljust(30, b"\0") + b"B" * 30 + b"C".ljust(30) + b"1999" + b"note".ljust(28, b"\0") + b"\0\x07\x11"
+        s = op6_mpeg.parse(tag + b"junk\xff\xfa" + b"".join(frames) + last)
+        assert (len(s.at), s.checked, s.wrong, s.skipped) == (40, 40, 0, 6), four
+        assert s.duration * h.rate == 40 * h.samples and s.seek(h.samples * 3) == s.at[3] == len(tag) + 6 + 3 * h.length
+        assert s.tags["TPE1"] == "Prüfung" and s.tags["title"] == "A title" and s.tags["artist"] == "B" * 30 and s.tags["track"] == "7" and s.tags["year"] == "1999"
+        frames[5] = frames[5][:6] + bytes((frames[5][6] ^ 16,)) + frames[5][7:]
+        assert op6_mpeg.parse(b"".join(frames)).wrong >= 1
+    first = bytearray(_frame(b"\xff\xfb\x90\x40", rng))
+    first[36:68] = b"VBRI\0\1\0\2\0\3" + (1000).to_bytes(4, "big") + (9).to_bytes(4, "big") + b"\0\3\0\2\0\2\0\4" + b"\0\1\0\2\0\3"
+    s = op6_mpeg.parse(bytes(first) + b"".join(_frame(b"\xff\xfb\x90\x40", rng) for _ in range(9)))
+    assert len(s.at) == 9 and s.vbr["frames"] == 9 and s.vbr["bytes"] == 1000 and s.toc == [2, 4, 6]
 
 
 def test_mpeg_resynchronises():
@@ -300,7 +369,7 @@ def test_mpeg_resynchronises():
     assert len(again.at) == 3 and again.skipped == 6
     hit = bytearray(good)
     hit[second + 8] ^= 1
-    assert op6_mpeg.parse(bytes(hit)).wrong == 1
+    assert op6_mpeg.parse(bytes(hit)).wrong == 1 and op6_mpeg.read(bytes(hit))[0] is None
     assert len(op6_mpeg.parse(b"").at) == 0 and len(op6_mpeg.parse(b"\xff" * 50).at) == 0
 
 
