@@ -382,7 +382,21 @@ def test_ids_equal_whole_texts():
     path = op7_packing.default_tokenizer()
     whole, own = Tokenizer.from_file(path), op7_packing.WordIds(path)
     for text in ["", " ", "It's a TEST_of-things 1234, don't!", "ÀÉ ß Straße\u0085x\xa0y", "a\x1cb", "<|endoftext|> İ Σ日本", "x'll'd!!?? ½²", "é"]:
-        assert own.text(text) == np.array(whole.encode(text, add_special_tokens=False).ids, np.uint32).tobytes(), text
+        assert own.by_words and own.text(text) == np.array(whole.encode(text, add_special_tokens=False).ids, np.uint32).tobytes(), text
+
+
+def test_ids_of_another_tokenizer(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    told = json.loads(open(op7_packing.default_tokenizer()).read())
+    told["normalizer"]["normalizers"].pop()
+    path = tmp_path / "cased.json"
+    path.write_text(json.dumps(told))
+    whole, own = Tokenizer.from_file(str(path)), op7_packing.WordIds(str(path))
+    for text in ["It's a TEST", "Straße Über 12"]:
+        assert not own.by_words and own.text(text) == np.array(whole.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
 
 
 def test_plan_fills_sequences():
@@ -395,15 +409,62 @@ def test_plan_fills_sequences():
         for n, m in content:
             placed[n] += count * m
     assert placed == lengths
-    assert plan.sequences <= 1.005 * -(-sum(n * m for n, m in lengths.items()) // 2048) + 1
+    assert plan.lower >= -(-sum(n * m for n, m in lengths.items()) // 2048)
+    assert plan.by_program >= 0.8 * lengths.total() and plan.sequences <= 1.002 * plan.lower + 1
     assert op7_packing.solve({}).sequences == 0
+    for odd in ({1500: 70}, {2048: 3}, {1: 5000}, {1025: 9, 1023: 9, 1024: 3}, {2047: 4, 1: 4, 2: 1}, {700: 1}):
+        plan = op7_packing.solve(odd)
+        assert plan.sequences == plan.lower, odd
+    assert op7_packing.solve({1500: 70}).by_program == 70
+
+
+def test_program_against_all_packings():
+    def fewest(pieces, size):
+        """By trying every place for every piece."""
+        best = [len(pieces)]
+
+        def put(k, free):
+            if len(free) >= best[0]:
+                return
+            if k == len(pieces):
+                best[0] = len(free)
+                return
+            for i, f in enumerate(free):
+                if f >= pieces[k] and f not in free[:i]:
+                    put(k + 1, free[:i] + [f - pieces[k]] + free[i + 1 :])
+            put(k + 1, [*free, size - pieces[k]])
+
+        put(0, [])
+        return best[0]
+
+    rng = np.random.default_rng(17)
+    for _ in range(25):
+        pieces = sorted(rng.integers(1, 13, 9).tolist(), reverse=True)
+        plan, true = op7_packing.solve(dict(Counter(pieces)), 16), fewest(pieces, 16)
+        assert plan.lower <= true <= plan.sequences <= true + 1, pieces
+
+
+def test_plan_of_documents_comes_from_the_program(spark):
+    lengths = spark.read.parquet(f"{DATA}/documents.parquet").selectExpr("least(2048, 1 + cast(length(text) / 6 AS int)) AS n").groupBy("n").count().collect()
+    plan = op7_packing.solve({r["n"]: r["count"] for r in lengths})
+    assert plan.by_program >= 0.6 * sum(r["count"] for r in lengths) and plan.sequences <= plan.lower + 3
 
 
 def test_packing(docs, none):
+    from tokenizers import Tokenizer
+
     from tidewell.tables import materialize
 
-    rows = op7_packing.pack(materialize(op7_packing.pieces(docs.select("doc_id", "text"), "text", op7_packing.default_tokenizer()))).collect()
-    assert sum(r["piece"] == 0 for r in rows) == len(ROWS)
+    path = op7_packing.default_tokenizer()
+    rows = op7_packing.pack(materialize(op7_packing.pieces(docs, "text", path))).collect()
+    want = Counter()
+    for doc_id, text, _ in ROWS:
+        ids = [*Tokenizer.from_file(path).encode(text or "", add_special_tokens=False).ids, 0]
+        for k in range(0, len(ids), 2048):
+            own = ids[k : k + 2048]
+            want[doc_id, k // 2048, k, len(own), zlib.crc32(np.array(own, "<u4").tobytes())] += 1
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows) == want
+    assert len({r["sequence_id"] for r in rows}) <= -(-sum(r["length"] for r in rows) // 2048) + 1
     by = defaultdict(list)
     for r in rows:
         by[r["sequence_id"]].append((r["offset"], r["length"]))

@@ -1,17 +1,22 @@
 """Packing pieces into sequences: a configuration linear program over the length histogram.
 
-The program's variables are configurations, multisets of lengths that fit one sequence. It is solved by
-multiplicative weights: each round prices the lengths by how far they lag behind, a knapsack over the prices
-finds the best configuration, and it takes its share. Rounding down leaves few pieces; those are put
-best-fit into what the configurations leave free. All this works on counts by length, so its cost does not
-grow with the rows; the pieces then look up their places by their rank among the pieces of their length.
+The program's variables are configurations, multisets of lengths that fit one sequence; each length has to be
+covered as often as there are pieces of it. It is solved by multiplicative weights: a round prices the lengths by
+their weights, a knapsack over the prices finds the configurations that are worth the most, those take fractions
+of the round's share, and the weights of lengths that are left behind are multiplied up. The prices bound the
+program's value from below. The fractions are rounded to whole sequences; the few pieces that remain are put
+best-fit into what is free. All this works on counts by length, so its cost does not grow with the rows; the
+pieces then look up their places by their rank among the pieces of their length.
 """
 
 from __future__ import annotations
 
+import json
+import math
 import re
 import zlib
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +33,11 @@ from tidewell.tables import materialize, table
 SIZE = 2048
 #: Words and white-space chunks of which a worker remembers the ids.
 WORDS, CHUNKS = 600_000, 300_000
-# How the tokenizer file tells words apart, after lower-casing.
+# How the tokenizer file tells words apart, after lower-casing, and what it says about that.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+LETTERING = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
 #: Texts with a character outside Latin letters, with one that only Python takes for white space, or with a
 #: special token, are encoded at once.
 OTHER = re.compile("[^\x00-\x1b\x20-\u012f\u0131-\u024f]|<\\|")
@@ -45,8 +53,8 @@ def _byte_letters() -> list[str]:
 class WordIds:
     """Ids of whole texts, put together from those of their words, which the tokenizer's model encodes one by one.
 
-    The tokenizer never looks across words, so this gives what encoding the text at once gives, and a word
-    that was seen before costs one look-up.
+    A tokenizer of the known kind never looks across words, so this gives what encoding the text at once gives, and
+    a word that was seen before costs one look-up. With any other tokenizer file whole texts are encoded at once.
     """
 
     def __init__(self, path: str):
@@ -54,6 +62,10 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        told = json.loads(self.tokenizer.to_str())
+        plain = all(t["content"].startswith("<|") and not t["normalized"] for t in told["added_tokens"])
+        parts = [(told[k] or {}).get(v) for k, v in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))]
+        self.by_words = plain and parts == [NORMALIZER, [SPLIT, LETTERING]] and told["model"]["type"] == "BPE"
         self.split = regex.compile(PATTERN).findall
         self.letters = _byte_letters()
         self.words: dict[str, bytes] = {}
@@ -67,7 +79,7 @@ class WordIds:
         return found
 
     def text(self, text: str) -> bytes:
-        if OTHER.search(text):
+        if not self.by_words or OTHER.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
         chunks = text.lower().split()
         known, word = self.chunks, self.word
@@ -129,6 +141,7 @@ class Plan:
     def __init__(self, size: int):
         self.size = size
         self.groups: list[list] = []
+        self.lower = self.by_program = 0
 
     def add(self, content: list[tuple[int, int]], count: int) -> None:
         self.groups.append([count, list(content), self.size - sum(n * m for n, m in content)])
@@ -169,52 +182,123 @@ class Plan:
         return sum(g[0] for g in self.groups)
 
 
-def _knapsack(lengths: np.ndarray, prices: np.ndarray, limits: np.ndarray, size: int) -> list[tuple[int, int]]:
-    """The configuration of the highest price by dynamic programming; then no length above its limit."""
-    best, choice = np.zeros(size + 1), np.full(size + 1, -1)
+def _knapsack(lengths: np.ndarray, prices: np.ndarray, size: int) -> np.ndarray:
+    """The highest price that fits each space up to ``size``, any number of each length, by dynamic programming. ``lengths`` ascend."""
+    best = np.zeros(size + 1)
     for c in range(int(lengths[0]), size + 1):
         k = np.searchsorted(lengths, c, "right")
-        value = best[c - lengths[:k]] + prices[:k]
-        j = int(value.argmax())
-        best[c], choice[c] = value[j], j
-    c, count = int(best.argmax()), {}
-    while c >= lengths[0] and choice[c] >= 0:
-        j = int(choice[c])
-        if count.get(j, 0) < limits[j]:
-            count[j] = count.get(j, 0) + 1
-        c -= int(lengths[j])
-    return [(int(lengths[j]), m) for j, m in sorted(count.items(), reverse=True)]
-
-
-def solve(histogram: dict[int, int], size: int = SIZE, rounds: int = 250, rate: float = 0.5) -> Plan:
-    """Sequences for a histogram {length: pieces}: multiplicative weights, rounding down, best fit for the rest."""
+        best[c] = (best[c - lengths[:k]] + prices[:k]).max()
+    return best
+
+
+class Program:
+    """The configuration program of a histogram: fractions by configuration, ((index of length, how many), ...), and a lower bound.
+
+    ``rounds`` rounds take an equal share each; in a round the knapsack is solved anew up to ``again`` times, over the
+    lengths that still have room. A configuration is taken if it is worth the best price but for ``loose`` of it.
+    """
+
+    def __init__(self, lengths: np.ndarray, need: np.ndarray, size: int, rounds: int = 24, rate: float = 0.02, loose: float = 0.001, again: int = 6):
+        self.lengths, self.need, self.size = lengths, need, size
+        self.fractions: Counter[tuple[tuple[int, int], ...]] = Counter()
+        self.lower = 0.0
+        covered, weights = np.zeros(len(lengths)), np.ones(len(lengths))
+        tokens = float((lengths * need).sum())
+        whole = tokens / size
+        for t in range(1, rounds + 1):
+            prices = lengths * weights
+            top = _knapsack(lengths, prices, size)[size]
+            # No sequence holds more than ``top``, so the pieces need at least so many.
+            self.lower = max(self.lower, float((prices * need).sum()) / top)
+            # A length may run ahead of its share by a fiftieth.
+            room = np.maximum(0, need * t / rounds * 1.02 - covered)
+            share = max(whole, self.lower) * t / rounds - self.fractions.total()
+            for _ in range(again):
+                own = np.flatnonzero(room > 1e-9 * need)
+                if not len(own) or share <= 1e-6 * whole:
+                    break
+                taken = self._take(own, prices[own], room, covered, share, loose, top)
+                if not taken:
+                    break
+                share -= taken
+            behind = t / rounds - covered / need
+            weights = np.exp(rate * rounds / t * behind)
+            weights *= tokens / (weights * need * lengths).sum()
+
+    def _take(self, own: np.ndarray, prices: np.ndarray, room: np.ndarray, covered: np.ndarray, share: float, loose: float, top: float) -> float:
+        """Let the best configurations of the lengths ``own`` take fractions until their room or the share is used up."""
+        lengths, size = self.lengths[own], self.size
+        best = _knapsack(lengths, prices, size)
+        if best[size] < 0.95 * top:
+            return 0.0
+        bound, taken = loose * best[size], 0.0
+        free, limit = room[own], self.need[own]
+        least = 1e-9 * limit
+        losses = best[size] - best[size - lengths] - prices
+        for first in np.argsort(-free * lengths, kind="stable").tolist():
+            while losses[first] <= bound and free[first] > least[first] and taken < share:
+                count, space, lost = Counter({first: 1}), size - int(lengths[first]), float(losses[first])
+                while space >= lengths[0]:
+                    k = np.searchsorted(lengths, space, "right")
+                    loss = best[space] - best[space - lengths[:k]] - prices[:k]
+                    fits = np.flatnonzero((loss <= bound - lost) & (free[:k] > least[:k]))
+                    if not len(fits):
+                        break
+                    j = int(fits[np.argmax(free[fits] * lengths[fits])])
+                    if count[j] >= limit[j]:
+                        break
+                    count[j] += 1
+                    space -= int(lengths[j])
+                    lost += max(0.0, float(loss[j]))
+                if best[size] - sum(float(prices[j]) * m for j, m in count.items()) > bound * 1.0001:
+                    break
+                part = min(share - taken, min(float(free[j]) / m for j, m in count.items()))
+                self.fractions[tuple(sorted((int(own[j]), m) for j, m in count.items()))] += part
+                taken += part
+                for j, m in count.items():
+                    free[j] -= m * part
+                    covered[own[j]] += m * part
+        room[own] = free
+        return taken
+
+    def rounded(self) -> tuple[list[tuple[tuple[tuple[int, int], ...], int]], np.ndarray]:
+        """Whole numbers of sequences by configuration, and what pieces remain: fractions rounded down, then up by their size while pieces last."""
+        rest, whole = self.need.astype(np.int64), Counter()
+
+        def use(config: tuple[tuple[int, int], ...], count: int) -> None:
+            count = min([count, *(int(rest[j]) // m for j, m in config)])
+            if count > 0:
+                whole[config] += count
+                for j, m in config:
+                    rest[j] -= m * count
+
+        order = sorted(self.fractions.items(), key=lambda x: (-x[1], x[0]))
+        for config, x in order:
+            use(config, int(x))
+        for config, _ in sorted(order, key=lambda x: (-(x[1] % 1), x[0])):
+            use(config, 1)
+        return sorted(whole.items()), rest
+
+
+def solve(histogram: dict[int, int], size: int = SIZE) -> Plan:
+    """Sequences for a histogram {length: pieces}: the program's rounded solution, best fit for the rest.
+
+    ``plan.by_program``: the pieces that configurations hold; ``plan.lower``: no packing has fewer sequences.
+    """
     plan = Plan(size)
     left = {n: m for n, m in histogram.items() if m > 0}
+    plan.lower = plan.by_program = left.get(size, 0)
     if left.get(size):
         plan.add([(size, 1)], left.pop(size))
     if left:
         lengths = np.array(sorted(left))
-        need = np.array([left[n] for n in lengths], float)
-        rest = need.copy()
-        lower = -(-int((lengths * need).sum()) // size)
-        share = max(1, lower // rounds)
-        weights = np.ones(len(lengths))
-        for _ in range(2 * rounds):
-            open_ = rest >= share
-            if not open_.any():
-                break
-            own = np.flatnonzero(open_)
-            config = _knapsack(lengths[own], lengths[own] * weights[own], rest[own] // share, size)
-            if not config or size - sum(n * m for n, m in config) > size // 16:
-                break
-            plan.add(config, share)
-            for n, m in config:
-                j = int(np.searchsorted(lengths, n))
-                rest[j] -= m * share
-            # A length that is further behind in its coverage than the others rises in price.
-            behind = rest / need
-            weights = np.exp(rate * (behind - behind.mean()))
+        program = Program(lengths, np.array([left[n] for n in lengths.tolist()], float), size)
+        whole, rest = program.rounded()
+        for config, count in whole:
+            plan.add([(int(lengths[j]), m) for j, m in reversed(config)], count)
         left = {int(n): int(r) for n, r in zip(lengths, rest) if r > 0}
+        plan.by_program = sum(histogram.values()) - sum(left.values())
+        plan.lower += math.ceil(program.lower - 1e-6)
     plan.fill(left)
     return plan
 
@@ -223,7 +307,7 @@ def pack(rows: DataFrame, size: int = SIZE) -> DataFrame:
     """Give each piece its sequence_id and offset. ``rows``: a written table of ``pieces``; no piece is lost, none is cut again.
 
     Ranks come from counts by task and length. The driver gets the histogram, at most ``size`` rows, and sends
-    back the plan, at most a few thousand runs of ranks, whatever the number of pieces.
+    back the plan, some ten thousand runs of ranks, whatever the number of pieces. Columns of the added names are replaced.
     """
     counts = rows.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
