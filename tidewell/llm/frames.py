@@ -19,6 +19,15 @@ def fold(col: str, n: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(col).cast("string").cast("binary")), F.lit(n)), F.lit(0)).cast("int")
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """``names`` with as many underscores behind each as keep them apart from all columns of ``df``, whatever their case."""
+    taken = {c.lower() for c in df.columns}
+    names = list(names)
+    while taken & {n.lower() for n in names}:
+        names = [n + "_" for n in names]
+    return names
+
+
 def number_in_groups(df: DataFrame, group: list[str], order: list[str], name: str, buckets: int = 4096) -> DataFrame:
     """Add ``name``: gapless numbers from 0 within each group, though one group may hold most rows.
 

@@ -1,19 +1,23 @@
 """Surrogates for personal data: keyed, type-consistent replacements, from DataFrame expressions only.
 
 Every entity found (mail and network addresses, phone, card, account and social-security numbers, keys, tokens,
-passwords, titled names) gets a replacement drawn by a keyed hash of its normal form, so one entity has one
-surrogate in every document, however it is punctuated. Digits become digits, letters letters of the same script
-and case, and the marks between them stay. A person is a family name with a given name; given names keep the
-gender that the titles of all mentions tell. A surrogate that another entity has too, or that is an entity of the
-corpus itself, is drawn anew until all are distinct.
+passwords, titled names) gets a replacement drawn by an HMAC of its normal form, so one entity has one surrogate
+in every document, however it is punctuated. Digits become digits, letters letters of the same script and case,
+and the marks between them stay; an entity of marks only becomes letters. A person is a family name with a given
+name; given names keep the gender that the titles of all mentions tell. A surrogate that another entity has too,
+or that is an entity of the corpus itself, is drawn anew until all are distinct; where short ones run out they
+grow longer.
 """
 
 from __future__ import annotations
 
+import hashlib
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.frames import let
+from tidewell.llm.frames import free_names, let
 from tidewell.tables import materialize, table
 
 # Titles that mark names, by gender of the given name that follows ("n": not told).
@@ -25,7 +29,7 @@ GIVEN = {
     "n": ("Alex", "Chris", "Dominique", "Eden", "Francis", "Jamie", "Kim", "Lee", "Marion", "Noa", "Pat", "Quinn", "Robin", "Sam", "Toni", "Val"),
 }
 # Letters and digits that stand for each other, by script and case.
-ALPHABETS = (
+BASIC = (
     "0123456789",
     "abcdefghijklmnopqrstuvwxyz",
     "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
@@ -34,7 +38,28 @@ ALPHABETS = (
     "αβγδεζηθικλμνξοπρστυφχψω",
     "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ",
 )
+# First and last code points of further letters: Latin with marks, Greek, Cyrillic, Armenian, Hebrew,
+# Arabic, Devanagari, Bengali, Tamil, Thai, Georgian, Hiragana, Katakana, Han, Hangul.
+BLOCKS = (
+    (0xC0, 0x17F), (0x370, 0x3FF), (0x400, 0x52F), (0x531, 0x587), (0x5D0, 0x5EA), (0x620, 0x64A), (0x904, 0x939), (0x985, 0x9B9),
+    (0xB85, 0xBB9), (0xE01, 0xE2E), (0x10D0, 0x10FA), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3),
+)
+
+
+def _blocks() -> list[str]:
+    """The letters of each block that no basic alphabet has, capitals apart."""
+    known, out = set("".join(BASIC)), []
+    for first, last in BLOCKS:
+        own = [c for c in map(chr, range(first, last + 1)) if unicodedata.category(c) in ("Ll", "Lu", "Lo") and c not in known]
+        out += [part for part in ("".join(c for c in own if not c.isupper()), "".join(c for c in own if c.isupper())) if part]
+    return out
+
+
+ALPHABETS = (*BASIC, *_blocks())
+SMALL = 1
 HEX = ("0123456789abcdef",)
+#: A block of more letters than this is told by its ends, and gives every n-th letter: a draw is one byte.
+DRAWN = 256
 
 _TITLE = "|".join(t for group in TITLES.values() for t in group)
 _MAIL = r"[A-Za-z0-9._%+\-]"
@@ -66,7 +91,14 @@ ANY = "|".join(f"(?:{p})" for p in PATTERNS)
 HINT = rf"[@:=+]|[0-9][0-9 .()\-]{{6}}|AKIA|ASIA|\b(?:{_TITLE})\b|[A-Z]{{2}}[0-9]{{2}}"
 #: Rows up to which a counted table is broadcast.
 BROADCAST_ROWS = 200_000
-ATTEMPTS = 32
+#: After so many draws, and again after as many more, surrogates get a character more.
+WIDEN = 8
+#: The setting that holds the secret key, and the published one for tests that is used where it is unset.
+KEY_SETTING, TEST_KEY = "spark.tidewell.pii.key", "not a secret"
+
+
+def session_key(spark: SparkSession) -> str:
+    return spark.conf.get(KEY_SETTING, None) or TEST_KEY
 
 
 def kind_of(entity: Column) -> Column:
@@ -122,8 +154,13 @@ def draw_given(key: str, unit: Column, attempt: Column) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(0), F.floor(attempt / 3).cast("int")), one), "-")
 
 
-def _hash(key: str, *parts: Column) -> Column:
-    return F.sha2(F.concat_ws("|", F.lit(key), *(p.cast("string") for p in parts)), 256)
+def _hash(key: str, unit: Column, *parts: Column) -> Column:
+    """HMAC-SHA-256 of the parts and the unit, in hexadecimal."""
+    block = key.encode()
+    block = (hashlib.sha256(block).digest() if len(block) > 64 else block).ljust(64, b"\0")
+    inner, outer = (F.lit(bytearray(b ^ pad for b in block)) for pad in (0x36, 0x5C))
+    said = F.concat_ws("|", *(p.cast("string") for p in parts), unit).cast("binary")
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, said), 256))), 256)
 
 
 def _byte(bits: Column, i: Column) -> Column:
@@ -131,65 +168,81 @@ def _byte(bits: Column, i: Column) -> Column:
 
 
 def _disguise(key: str, value: Column, seed: Column, attempt: Column, alphabets: tuple[str, ...] = ALPHABETS) -> Column:
-    """``value`` with each digit and letter replaced by a keyed one of its own alphabet; other characters stay."""
+    """``value`` with each digit and letter replaced by a keyed one of its own alphabet; other characters stay.
+
+    Letters of scripts that are not listed become small Latin ones; so does everything where there is no letter or digit.
+    """
     stream = F.transform(F.sequence(F.lit(0), F.floor(F.length(value) / 32).cast("int")), lambda i: _hash(key, seed, attempt, i))
+    given = F.array(*(F.lit(a[:: -(-len(a) // DRAWN)]) for a in alphabets))
+
+    def known(c: Column) -> Column:
+        out = F.when(F.lit(False), 0)
+        for k, a in enumerate(alphabets):
+            out = out.when(F.instr(F.lit(a), c) > 0 if len(a) <= DRAWN else (c >= a[0]) & (c <= a[-1]), F.lit(k))
+        return out
 
-    def one(bits: Column):
+    def one(use: Column):
         def swap(c: Column, i: Column) -> Column:
-            out = F.when(c == "", c)
-            for a in alphabets:
-                out = out.when(F.instr(F.lit(a), c) > 0, F.substr(F.lit(a), _byte(F.get(bits, F.floor(i / 32).cast("int")), i % 32) % len(a) + 1, F.lit(1)))
-            return out.otherwise(c)
+            which = F.coalesce(known(c), F.when(use["bare"] | c.rlike(r"[\p{L}\p{N}]"), F.lit(min(SMALL, len(alphabets) - 1))))
+            own = F.get(given, which)
+            drawn = F.substr(own, _byte(F.get(use["bits"], F.floor(i / 32).cast("int")), i % 32) % F.length(own) + 1, F.lit(1))
+            return F.when((c == "") | which.isNull(), c).otherwise(drawn)
 
         return swap
 
-    return let(stream, lambda bits: F.array_join(F.transform(F.split(value, ""), one(bits)), ""))
+    use = F.struct(stream.alias("bits"), (~value.rlike(r"[\p{L}\p{N}]")).alias("bare"))
+    return let(use, lambda u: F.array_join(F.transform(F.split(value, ""), one(u)), ""))
 
 
 def draw(key: str, kind: Column, unit: Column, attempt: Column) -> Column:
     """The surrogate of a normal form: of a person a family name, of "given" the unit with another given name; cards keep first digit and check, phones and accounts their country."""
     plain = _disguise(key, unit, unit, attempt)
     hexadecimal = _disguise(key, unit, unit, attempt, HEX)
+    more = lambda c, alphabets: F.when(attempt >= WIDEN, _disguise(key, F.repeat(F.lit(c), F.floor(attempt / WIDEN).cast("int")), F.concat(unit, F.lit("+")), attempt, alphabets)).otherwise("")
+    letters, digits, hexits = more("a", (BASIC[SMALL],)), more("0", (BASIC[0],)), more("0", HEX)
 
     def email(domain: Column) -> Column:
         top = F.concat(F.lit("."), F.substring_index(domain, ".", -1))
         host = F.substr(domain, F.lit(1), F.length(domain) - F.length(top))
-        return F.concat(_disguise(key, F.substring_index(unit, "@", 1), unit, attempt), F.lit("@"), _disguise(key, host, domain, F.lit(0)), top)
+        return F.concat(_disguise(key, F.substring_index(unit, "@", 1), unit, attempt), letters, F.lit("@"), _disguise(key, host, domain, F.lit(0)), top)
 
     def card(p: Column) -> Column:
-        body = F.concat(F.substr(unit, F.lit(1), F.lit(1)), F.substr(p, F.lit(2), F.length(unit) - 2))
+        body = F.concat(F.substr(unit, F.lit(1), F.lit(1)), F.substr(p, F.lit(2), F.length(unit) - 2), digits)
         tails = F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: F.concat(body, d.cast("string"))), lambda t: F.call_function("luhn_check", t) == F.call_function("luhn_check", unit))
         return let(tails, lambda t: F.get(t, _byte(_hash(key, unit, attempt, F.lit("n")), F.lit(0)) % F.size(t)))
 
     octets = let(_hash(key, unit, attempt, F.lit("n")), lambda bits: F.concat_ws(".", *((_byte(bits, F.lit(k)) % 254 + 1).cast("string") for k in range(4))))
     country = F.regexp_extract(unit, r"^(\+1|\+[0-9]{2}|)", 1)
+    apart = lambda mark, c: F.when(attempt >= WIDEN, F.concat(F.lit(mark), c)).otherwise("")
     return (
         F.when(kind == "email", let(F.substring_index(unit, "@", -1), email))
         .when(kind == "given", F.concat_ws(" ", F.substring_index(unit, " ", 1), draw_given(key, unit, attempt)))
-        .when(kind == "ip", octets)
+        .when(kind == "ip", F.concat(octets, apart(".", digits)))
         .when(kind == "card", let(plain, card))
-        .when(kind == "ip6", hexadecimal)
-        .when(kind == "aws", let(plain, lambda p: F.concat(F.substr(unit, F.lit(1), F.lit(4)), F.substr(p, F.lit(5), F.lit(16)))))
-        .when(kind == "iban", let(plain, lambda p: F.concat(F.substr(unit, F.lit(1), F.lit(2)), F.substr(p, F.lit(3), F.length(unit)))))
-        .when(kind == "phone", let(plain, lambda p: F.concat(country, F.substr(p, F.length(country) + 1, F.length(unit)))))
-        .when((kind == "secret") & unit.rlike("^[0-9a-f]+$"), hexadecimal)
-        .otherwise(plain)
+        .when(kind == "ip6", F.concat(hexadecimal, apart(":", hexits)))
+        .when(kind == "aws", F.concat(let(plain, lambda p: F.concat(F.substr(unit, F.lit(1), F.lit(4)), F.substr(p, F.lit(5), F.lit(16)))), digits))
+        .when(kind == "iban", F.concat(let(plain, lambda p: F.concat(F.substr(unit, F.lit(1), F.lit(2)), F.substr(p, F.lit(3), F.length(unit)))), digits))
+        .when(kind == "phone", F.concat(let(plain, lambda p: F.concat(country, F.substr(p, F.length(country) + 1, F.length(unit)))), digits))
+        .when(kind == "ssn", F.concat(plain, digits))
+        .when((kind == "secret") & unit.rlike("^[0-9a-f]+$"), F.concat(hexadecimal, hexits))
+        .otherwise(F.concat(plain, letters))
     )
 
 
 def render(kind: Column, entity: Column, drawn: Column, given: Column) -> Column:
     """``drawn`` in the punctuation and case of the mention; of a person, with title and ``given`` unless that is null."""
     number = kind.isin("phone", "card", "ssn", "iban")
+    figures = lambda c: F.length(F.regexp_replace(c, "[^0-9A-Za-z+]", ""))
 
     def lay(c: Column, i: Column) -> Column:
-        own = F.substr(drawn, F.length(F.regexp_replace(F.substr(entity, F.lit(1), i + 1), "[^0-9A-Za-z+]", "")), F.lit(1))
+        own = F.substr(drawn, figures(F.substr(entity, F.lit(1), i + 1)), F.lit(1))
         return F.when(~c.rlike("[0-9A-Za-z+]"), c).otherwise(own)
 
     raise_case = lambda c, own: F.when(c.rlike("[A-Z]"), F.upper(own)).otherwise(own)
     spelled = lambda how: F.array_join(F.transform(F.split(entity, ""), how), "")
     return (
         F.when(kind == "person", F.concat(_title(entity), F.concat_ws(" ", given, drawn)))
-        .when(number, spelled(lay))
+        .when(number, F.concat(spelled(lay), F.substr(drawn, figures(entity) + 1, F.length(drawn))))
         .when(kind.isin("email", "ip6") & (entity != F.lower(entity)), F.array_join(F.zip_with(F.split(entity, ""), F.split(drawn, ""), raise_case), ""))
         .otherwise(drawn)
     )
@@ -204,28 +257,41 @@ def _entities(text: str) -> Column:
 def attempts(units: DataFrame, key: str) -> DataFrame:
     """(kind, unit, attempt, drawn) of distinct units, with all ``drawn`` of a kind distinct and none a unit itself.
 
-    Of units that drew alike the least keeps its draw. Each round is an aggregation over all units. ``units`` may have
-    the first attempt of each, and other columns, which stay.
+    Of units that draw alike the one that drew first keeps it, and of those of one round the least. The first round is
+    an aggregation over all units; later ones take only units that lost, which shrink quickly, so the others are not
+    shuffled again. It always ends, as draws grow longer. ``units`` may have the first attempt of each, and other
+    columns, which stay.
     """
     again = lambda df: df.withColumn("drawn", draw(key, F.col("kind"), F.col("unit"), F.col("attempt")))
-    now = materialize(again(units if "attempt" in units.columns else units.withColumn("attempt", F.lit(0))))
-    for _ in range(ATTEMPTS):
-        shared = now.groupBy("kind", "drawn").agg(F.min("unit").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("kind", "drawn", "first")
-        real = now.select("kind", F.col("unit").alias("drawn")).distinct()
-        lost = now.join(shared, ["kind", "drawn"]).where(F.col("unit") != F.col("first")).select("kind", "unit")
-        lost = materialize(lost.unionByName(now.join(real, ["kind", "drawn"], "left_semi").select("kind", "unit")).distinct())
+    trying = materialize(again(units if "attempt" in units.columns else units.withColumn("attempt", F.lit(0))))
+    real = trying.select("kind", F.col("unit").alias("drawn"))
+    settled: list[DataFrame] = []
+    while True:
+        first = trying.groupBy("kind", "drawn").agg(F.min("unit").alias("unit"))
+        wanted = _small(materialize(first.select("kind", "drawn"))) if settled else first.select("kind", "drawn")
+        taken = real.join(wanted, ["kind", "drawn"], "left_semi")
+        for done in settled:
+            taken = taken.unionByName(done.select("kind", "drawn").join(wanted, ["kind", "drawn"], "left_semi"))
+        won = materialize(first.join(taken.distinct(), ["kind", "drawn"], "left_anti").select("kind", "unit"))
+        lost = trying.join(won, ["kind", "unit"], "left_anti")
+        lost = materialize(again(lost.withColumn("attempt", F.col("attempt") + F.when(F.col("kind") == "given", 3).otherwise(1)).drop("drawn")))
         if lost.isEmpty():
-            return now
-        redrawn = again(now.join(lost, ["kind", "unit"], "left_semi").withColumn("attempt", F.col("attempt") + F.when(F.col("kind") == "given", 3).otherwise(1)).drop("drawn"))
-        now = materialize(now.join(lost, ["kind", "unit"], "left_anti").unionByName(redrawn))
-    raise ValueError("surrogates of some kind have run out")
-
-
-def replace_entities(docs: DataFrame, text: str = "text", key: str = "tidewell") -> DataFrame:
-    """``docs`` with surrogates in ``text`` and, added, ``_found``, the kinds of what was replaced in order.
-
-    A null text stays null; a column ``_found`` is replaced, names with two leading underscores are reserved. A text is rewritten where it stands: it is never shuffled unless one of its
-    entities needed a second draw and such documents are too many to broadcast.
+            settled.append(trying)
+            break
+        settled.append(trying.join(won, ["kind", "unit"], "left_semi"))
+        trying = lost
+    out = settled[0]
+    for more in settled[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def replace_entities(docs: DataFrame, key: str, text: str = "text", found: str = "_found") -> DataFrame:
+    """``docs`` with surrogates in ``text`` and, added as ``found``, the kinds of what was replaced in order.
+
+    Equal keys give equal surrogates in the same corpus. A null text stays null, an empty or repeated one is treated like
+    others, an empty table stays empty. A column of the name ``found`` is replaced. A text is rewritten where it stands: it is never shuffled unless one of its entities needed a second
+    draw and such documents are too many to broadcast.
     """
     seen = docs.select(F.explode(_units(text)).alias("u")).select("u.kind", "u.unit", "u.attempt").groupBy("kind", "unit")
     seen = seen.agg(F.bool_or(F.col("attempt") == 0).alias("m"), F.bool_or(F.col("attempt") == 1).alias("f"), (F.min("attempt") < F.max("attempt")).alias("mixed"))
@@ -233,13 +299,14 @@ def replace_entities(docs: DataFrame, text: str = "text", key: str = "tidewell")
     settled = F.when(F.col("m") & F.col("f"), 2).when(F.col("m"), 0).when(F.col("f"), 1).otherwise(2)
     done = attempts(seen.select("kind", "unit", settled.alias("attempt"), "mixed"), key)
     odd = materialize(done.where((F.col("attempt") >= F.when(F.col("kind") == "given", 3).otherwise(1)) | F.col("mixed")).select("kind", "unit", "attempt"))
+    k1, k2, other, finished = free_names(docs, "__k1", "__k2", "__again", "__done")
     work, again = docs, F.lit(None).cast("map<string,int>")
     if not odd.isEmpty():
-        keys = {"__k1": F.xxhash64(text), "__k2": F.xxhash64(F.lit(3), F.col(text))}
-        keyed = docs.withColumns(keys).select("__k1", "__k2", F.explode(_units(text)).alias("u")).select("__k1", "__k2", "u.kind", "u.unit").distinct()
-        hit = keyed.join(_small(odd), ["kind", "unit"]).groupBy("__k1", "__k2")
-        hit = _small(materialize(hit.agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws(":", "kind", "unit"), F.col("attempt")))).alias("__again"))))
-        work, again = docs.withColumns(keys).join(hit, ["__k1", "__k2"], "left").drop("__k1", "__k2"), F.col("__again")
+        keys = {k1: F.xxhash64(text), k2: F.xxhash64(F.lit(3), F.col(text))}
+        keyed = docs.select(F.col(text)).withColumns(keys).select(k1, k2, F.explode(_units(text)).alias("u")).select(k1, k2, "u.kind", "u.unit").distinct()
+        hit = keyed.join(_small(odd), ["kind", "unit"]).groupBy(k1, k2)
+        hit = _small(materialize(hit.agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws(":", "kind", "unit"), F.col("attempt")))).alias(other))))
+        work, again = docs.withColumns(keys).join(hit, [k1, k2], "left").drop(k1, k2), F.col(other)
 
     def mention(e: Column) -> Column:
         def known(kind: Column) -> Column:
@@ -253,14 +320,14 @@ def replace_entities(docs: DataFrame, text: str = "text", key: str = "tidewell")
 
         return let(kind_of(e), known)
 
-    def rewrite(found: Column) -> Column:
+    def rewrite(all_: Column) -> Column:
         # Pieces between the matches, with a surrogate after each but the last.
-        filled = F.zip_with(F.split(F.col(text), ANY, -1), found, lambda p, s: F.concat(p, F.coalesce(s["new"], F.lit(""))))
-        return F.struct(F.when(F.size(found) > 0, F.array_join(filled, "")).otherwise(F.col(text)).alias("text"), F.transform(found, lambda f: f["kind"]).alias("kinds"))
+        filled = F.zip_with(F.split(F.col(text), ANY, -1), all_, lambda p, s: F.concat(p, F.coalesce(s["new"], F.lit(""))))
+        return F.struct(F.when(F.size(all_) > 0, F.array_join(filled, "")).otherwise(F.col(text)).alias("text"), F.transform(all_, lambda f: f["kind"]).alias("kinds"))
 
-    work = work.withColumn("__done", let(F.transform(_entities(text), mention), rewrite))
-    order = [F.col("__done.text").alias(c) if c == text else F.col(c) for c in docs.columns if c != "_found"]
-    return work.select(*order, F.col("__done.kinds").alias("_found"))
+    work = work.withColumn(finished, let(F.transform(_entities(text), mention), rewrite))
+    order = [F.col(f"{finished}.text").alias(c) if c == text else F.col(c) for c in docs.columns if c != found]
+    return work.select(*order, F.col(f"{finished}.kinds").alias(found))
 
 
 def _units(text: str) -> Column:
@@ -281,5 +348,5 @@ def _small(df: DataFrame) -> DataFrame:
 
 def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its personal data replaced: doc_id, text, n_replaced and the kinds in order. Null texts stay null."""
-    done = replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    done = replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"), session_key(spark))
     return done.select("doc_id", "text", F.size("_found").cast("long").alias("n_replaced"), F.array_join("_found", ",").alias("kinds"))
