@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.frames import posterior_floor
+from tidewell.llm.frames import free_names, posterior_floor
 from tidewell.llm.graph import components
 from tidewell.llm.vec import LOWER, WORD, Substrings, buffers, mix, runs, steps
 from tidewell.tables import materialize, table
@@ -299,14 +299,19 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text: str = "text", thresho
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document of each class: the one of the least id; of rows that share it, that of the least hash of its text."""
+    """``docs`` with one document of each class: the one of the least id; of rows that share it, that of the least hash of its text.
+
+    All columns stay. A null id is the least of all; null, empty and wordless texts are one class, as copies; rows that
+    repeat are one row, whichever; an empty table stays empty.
+    """
     found = materialize(similar(docs, id_col, text).select("doc", "r", "class_id"))
     heads = found.where(F.col("doc").eqNullSafe(F.col("class_id")))
-    keep = materialize(heads.groupBy("class_id").agg(F.min("r").alias("__r"), F.count(F.lit(1)).alias("n")).withColumnRenamed("class_id", "__doc"))
-    row = (F.col(id_col).eqNullSafe(F.col("__doc"))) & (F.xxhash64(text) == F.col("__r"))
+    key, r, n = free_names(docs, "__doc", "__r", "__n")
+    keep = materialize(heads.groupBy(F.col("class_id").alias(key)).agg(F.min("r").alias(r), F.count(F.lit(1)).alias(n)))
+    row = (F.col(id_col).eqNullSafe(F.col(key))) & (F.xxhash64(text) == F.col(r))
     kept = docs.join(keep, row, "left_semi")
     # Rows repeat only if some id does; then equal ones are made one.
-    return kept if keep.where("n > 1").isEmpty() else kept.dropDuplicates([id_col, text])
+    return kept if keep.where(F.col(n) > 1).isEmpty() else kept.dropDuplicates([id_col, text])
 
 
 def op2_bayesian_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

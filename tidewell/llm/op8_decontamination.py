@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.frames import let
+from tidewell.llm.frames import free_names, let
 from tidewell.tables import materialize, table
 
 SPAN = 10
@@ -51,14 +51,18 @@ def _fingerprints(w: Column, shorts: list[int]) -> Column:
     return F.concat(let(_grams(w, GRAM), lambda h: _winnowed(w, h)), *(F.array_distinct(_grams(w, n)) for n in shorts))
 
 
-def _row_key(df: DataFrame, text: str, id_col: str) -> DataFrame:
+def _keys(text: str, id_col: str) -> tuple[Column, Column]:
     """128 bits that name a row by its id and text, null or not; equal rows have equal keys."""
-    return df.withColumn("r1", F.xxhash64(F.col(id_col), F.col(text), F.col(id_col).isNull())).withColumn("r2", F.xxhash64(F.lit(7), F.col(text), F.col(id_col), F.col(text).isNull()))
+    return F.xxhash64(F.col(id_col), F.col(text), F.col(id_col).isNull()), F.xxhash64(F.lit(7), F.col(text), F.col(id_col), F.col(text).isNull())
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """``df`` with a broadcast hint if it has proved small."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+def _small(df: DataFrame, numbers: Column | None = None) -> DataFrame:
+    """``df`` with a broadcast hint if it has proved small: in rows, and in ``numbers``, the sizes of its arrays."""
+    if df.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        return df
+    if numbers is not None and (df.agg(F.sum(numbers)).first()[0] or 0) > BROADCAST_NUMBERS:
+        return df
+    return F.broadcast(df)
 
 
 class Benchmark:
@@ -71,33 +75,25 @@ class Benchmark:
         fps = own.where(F.size("w") >= SPAN).select(F.explode(_fingerprints(F.col("w"), [])).alias("fp"))
         for n in self.shorts:
             fps = fps.unionByName(own.where(F.size("w") == n).select(F.explode(_grams(F.col("w"), n)).alias("fp")))
-        zero = items.sparkSession.range(1).select(F.lit(0).cast("long").alias("fp"))
-        self.fingerprints = materialize(fps.unionByName(zero).distinct())
+        self.fingerprints = materialize(fps.distinct())
         spans = own.select("item", "len", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("len") + 1)).alias("s"), "w")
         spans = spans.select("item", "len", F.array_join(F.slice("w", F.col("s"), F.col("len")), " ").alias("span"))
         held = spans.groupBy("len", "span").agg(F.sort_array(F.collect_set("item")).alias("items"))
-        self.windows = materialize(held.withColumn("sid", F.xxhash64("items")))
+        self.windows = materialize(held.withColumn("sid", F.md5(F.concat_ws("\u001f", "items").cast("binary"))))
         self.item_sets = materialize(self.windows.select("sid", "items").dropDuplicates(["sid", "items"]))
 
 
-def find_hits(docs: DataFrame, text: str, id_col: str, bench: Benchmark) -> tuple[DataFrame, DataFrame]:
-    """(rows, hits). rows: id, r1, r2, n_words, one for each document. hits, one for each key that has any: r1, r2, spans, sids.
+def find_hits(docs: DataFrame, text: str, id_col: str, bench: Benchmark) -> DataFrame:
+    """One row for each key that has hits: r1, r2, spans, sids; the key is ``_keys`` of the row.
 
     ``spans``: sorted [start, length] in words of all windows found. Documents are read once for fingerprints;
     only those that share one are read again.
     """
-    keyed = _row_key(docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")), "_text", "_id")
-    # The fingerprint 0, which no text has, carries each document's own row through the join.
-    nothing = F.lit(None).cast("long")
-    own = lambda w: F.concat(
-        F.array(F.struct(F.lit(0).cast("long").alias("fp"), F.size(w).cast("long").alias("n_words"))),
-        F.transform(_fingerprints(w, bench.shorts), lambda f: F.struct(f.alias("fp"), nothing.alias("n_words"))),
-    )
-    shared = keyed.select("_id", "r1", "r2", F.explode(let(words("_text"), own)).alias("x")).select("_id", "r1", "r2", "x.fp", "x.n_words")
-    seen = materialize(shared.join(_small(bench.fingerprints), "fp", "left_semi"))
-    rows = seen.where("fp = 0").drop("fp").withColumnRenamed("_id", id_col)
-    suspects = seen.where("fp <> 0").groupBy("r1", "r2").agg(F.collect_set("fp").alias("fps"))
-    suspects = materialize(suspects)
+    keyed = docs.select(*(c.alias(n) for c, n in zip(_keys(text, id_col), ("r1", "r2"))), F.col(text).alias("_text"))
+    shared = keyed.select("r1", "r2", F.explode(let(words("_text"), lambda w: _fingerprints(w, bench.shorts))).alias("fp"))
+    # Fingerprints are spread evenly but for those of frequent passages, of which each document has one row.
+    seen = shared.join(_small(bench.fingerprints), "fp", "left_semi")
+    suspects = materialize(seen.groupBy("r1", "r2").agg(F.collect_set("fp").alias("fps")))
     few = (suspects.agg(F.sum(F.size("fps") + 2)).first()[0] or 0) <= BROADCAST_NUMBERS
     again = keyed.select("r1", "r2", "_text").join(F.broadcast(suspects) if few else suspects, ["r1", "r2"])
 
@@ -117,9 +113,9 @@ def find_hits(docs: DataFrame, text: str, id_col: str, bench: Benchmark) -> tupl
         return found
 
     spans = again.select("r1", "r2", F.explode(let(words("_text"), windows)).alias("x")).select("r1", "r2", "x.*")
-    hits = spans.join(_small(bench.windows.select("len", "span", "sid")), ["len", "span"])
+    hits = spans.join(_small(bench.windows.select("len", "span", "sid"), F.length("span") / 8), ["len", "span"])
     hits = hits.groupBy("r1", "r2").agg(F.sort_array(F.collect_set(F.struct("s", "len"))).alias("spans"), F.collect_set("sid").alias("sids"))
-    return rows, materialize(hits)
+    return materialize(hits)
 
 
 def covered(spans: str) -> Column:
@@ -134,11 +130,14 @@ def covered(spans: str) -> Column:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", id_col: str = "doc_id", item_text: str = "text", item_id: str = "item_id") -> DataFrame:
-    """``docs`` without the rows in which a benchmark window occurs. All columns stay; repeated rows stay or go alike. Names with two leading underscores are reserved."""
-    _, hits = find_hits(docs, text, id_col, Benchmark(items, item_text, item_id))
-    gone = hits.select(F.col("r1").alias("__r1"), F.col("r2").alias("__r2"))
-    keyed = docs.withColumns({"__k1": F.xxhash64(F.col(id_col), F.col(text), F.col(id_col).isNull()), "__k2": F.xxhash64(F.lit(7), F.col(text), F.col(id_col), F.col(text).isNull())})
-    return keyed.join(_small(gone), (F.col("__k1") == F.col("__r1")) & (F.col("__k2") == F.col("__r2")), "left_anti").drop("__k1", "__k2")
+    """``docs`` without the rows in which a benchmark window occurs.
+
+    All columns stay; repeated rows stay or go alike; null and wordless texts stay; an empty benchmark takes nothing away.
+    """
+    hits = find_hits(docs, text, id_col, Benchmark(items, item_text, item_id))
+    k1, k2, r1, r2 = free_names(docs, "__k1", "__k2", "__r1", "__r2")
+    keyed = docs.withColumns(dict(zip((k1, k2), _keys(text, id_col))))
+    return keyed.join(_small(hits.select(F.col("r1").alias(r1), F.col("r2").alias(r2))), (F.col(k1) == F.col(r1)) & (F.col(k2) == F.col(r2)), "left_anti").drop(k1, k2)
 
 
 def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,11 +148,12 @@ def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     bench = Benchmark(table(spark, sf_dir, "benchmark"), "text", "item_id")
-    rows, hits = find_hits(docs, "text", "doc_id", bench)
-    named = hits.select("r1", "r2", F.explode("sids").alias("sid")).join(_small(bench.item_sets), "sid").select("r1", "r2", F.explode("items").alias("item"))
+    hits = find_hits(docs, "text", "doc_id", bench)
+    named = hits.select("r1", "r2", F.explode("sids").alias("sid")).join(_small(bench.item_sets, F.size("items")), "sid").select("r1", "r2", F.explode("items").alias("item"))
     named = named.groupBy("r1", "r2").agg(F.sort_array(F.collect_set("item")).alias("items"))
     result = hits.select("r1", "r2", covered("spans").alias("n_hit")).join(named, ["r1", "r2"])
-    out = rows.join(result, ["r1", "r2"], "left")
+    rows = docs.select("doc_id", *(c.alias(n) for c, n in zip(_keys("text", "doc_id"), ("r1", "r2"))), F.size(words("text")).cast("long").alias("n_words"))
+    out = rows.join(_small(materialize(result)), ["r1", "r2"], "left")
     items = F.coalesce("items", F.array().cast("array<string>"))
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
