@@ -13,6 +13,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.functions.vectors import widen
+from tidewell.tables import broadcast_if_small, materialize
+
 
 @dataclass(frozen=True)
 class Projection:
@@ -61,11 +64,11 @@ def with_layers(df: DataFrame, p: Projection, h0: str = "h0") -> DataFrame:
     layer = F.explode(F.sequence(F.lit(0), F.lit(p.top))).alias("layer")
     rows = df.select("*", layer)
     # A shift by the layer is a floor division by a power of two, of negative keys too.
-    key = F.zip_with(F.col(h0), F.get(carries, F.col("layer")), lambda h, c: F.floor((h + c) / F.pow(F.lit(2.0), F.col("layer"))).cast("long"))
+    key = F.zip_with(F.col(h0), F.get(carries, F.col("layer")), lambda h, c: F.call_function("shiftright", h + c, F.col("layer")))
     return rows.withColumn("key", key)
 
 
-def _bucket(df: DataFrame) -> DataFrame:
+def bucket_names(df: DataFrame) -> DataFrame:
     """The key as 128 bits: what is joined and shuffled instead of long arrays."""
     return df.withColumn("k1", F.xxhash64("layer", "key")).withColumn("k2", F.xxhash64(F.lit(9), "key", "layer")).drop("key")
 
@@ -78,10 +81,14 @@ def bucket_counts(a: DataFrame, b: DataFrame, p: Projection) -> DataFrame:
 
 def first_collision(a: DataFrame, b: DataFrame, p: Projection, a_id: str = "a_id") -> DataFrame:
     """(a_id, layer): -2 where the coordinates are in ``b``, else the finest layer whose bucket holds a row of ``b``, else top + 1."""
-    cells = b.select("vec").distinct().withColumn("_same", F.lit(True))
-    rows = with_h0(a, p).join(cells, "vec", "left").select(a_id, "h0", F.coalesce("_same", F.lit(False)).alias("_same"))
-    held = _bucket(with_layers(with_h0(b.select("vec"), p).select("h0").distinct(), p)).select("layer", "k1", "k2").distinct()
-    met = _bucket(with_layers(rows.where("NOT _same").select(a_id, "h0"), p)).join(held, ["layer", "k1", "k2"], "left_semi")
+    name = lambda df: df.withColumn("_c1", F.xxhash64(widen("vec"))).withColumn("_c2", F.xxhash64(F.lit(9), widen("vec")))
+    cells = name(b.where("vec IS NOT NULL").select("vec")).select("_c1", "_c2").distinct().withColumn("_same", F.lit(True))
+    # Coordinates are compared by 128 bits, so that no vector is shuffled.
+    keyed = name(with_h0(a.where("vec IS NOT NULL"), p)).select(a_id, "h0", "_c1", "_c2")
+    rows = keyed.join(broadcast_if_small(cells), ["_c1", "_c2"], "left").select(a_id, "h0", F.coalesce("_same", F.lit(False)).alias("_same"))
+    held = materialize(bucket_names(with_layers(with_h0(b.where("vec IS NOT NULL").select("vec"), p).select("h0").distinct(), p)).select("layer", "k1", "k2").distinct())
+    # A coarse bucket may hold all of A: where the buckets of B are few they are broadcast, and A is not dealt by them.
+    met = bucket_names(with_layers(rows.where("NOT _same").select(a_id, "h0"), p)).join(broadcast_if_small(held), ["layer", "k1", "k2"], "left_semi")
     least = met.groupBy(a_id).agg(F.min("layer").alias("_least"))
     layer = F.when(F.col("_same"), F.lit(-2)).otherwise(F.coalesce("_least", F.lit(p.top + 1))).cast("int")
     return rows.join(least, a_id, "left").select(a_id, layer.alias("layer"))

@@ -73,18 +73,3 @@ def uniform(a: DataFrame, b: DataFrame, total: int, seed: int) -> DataFrame:
     n = a.count()
     measured = distances_of(materialize(uniform_draws(a, total, seed)), a, b)
     return measured.agg(F.coalesce(F.lit(n) / F.lit(total) * F.sum("dist"), F.lit(0.0)).alias("estimate"))
-
-
-def grid_collisions(a: DataFrame, b: DataFrame, width: float, top: int, seed: int, a_id: str = "a_id") -> DataFrame:
-    """(a_id, layer) in a randomly shifted grid that doubles its cells: the stand-in for a tree of halved cells.
-
-    A cell is the floor of each component after one common shift; a layer is matched as in ``first_collision``.
-    """
-    shift = unit_draw(seed, "shift", F.lit(0)) * width * (1 << top)
-    size = F.lit(width) * F.pow(F.lit(2.0), F.col("layer"))
-    layers = F.explode(F.sequence(F.lit(0), F.lit(top))).alias("layer")
-    cell = F.xxhash64("layer", F.transform("vec", lambda x: F.floor((x.cast("double") + shift) / size)))
-    held = b.select("vec", layers).select("layer", cell.alias("cell")).distinct()
-    met = a.select(a_id, "vec", layers).select(a_id, "layer", cell.alias("cell")).join(held, ["layer", "cell"], "left_semi")
-    least = met.groupBy(a_id).agg(F.min("layer").alias("_least"))
-    return a.select(a_id).join(least, a_id, "left").select(a_id, F.coalesce("_least", F.lit(top + 1)).cast("int").alias("layer"))

@@ -13,11 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.functions import vectors as V
-from tidewell.operators import allocate, evaluate, exact, geometry, lsh, sampling, windows
+from tidewell.operators import allocate, evaluate, exact, geometry, lsh, sampling, stepwise, windows
 from tidewell.sources import text_and_archives as text_files
 from tidewell.sources import vector_files
 from tidewell.streaming.sliding import sliding_parts
-from tidewell.tables import shared_dir, table
+from tidewell.tables import materialize, shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -110,8 +110,7 @@ m AS (SELECT s, a_id, min(list_distance(a.vec, b.vec)) AS dist FROM q, b, a WHER
 
 @_query(f"{_SLIDE} SELECT s AS step, round(sum(dist), 4) AS chamfer FROM m GROUP BY s")
 def sliding_chamfer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = windows.sliding_nearest(_a(spark, sf_dir), _b(spark, sf_dir).select("step", "vec"), WINDOW, EVERY)
-    return found.groupBy("step").agg(F.round(F.sum("dist"), 4).alias("chamfer"))
+    return _exact_steps(spark, sf_dir).select("step", F.round("chamfer", 4).alias("chamfer"))
 
 
 @_query(f"{_SLIDE} SELECT s AS step, count(*) AS n_a, round(min(dist), 6) AS least, round(max(dist), 6) AS largest FROM m GROUP BY s")
@@ -379,40 +378,256 @@ def dedup_draws_nn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.distances_of(sampling.uniform_draws(a, BUDGET, SEED), a, _b(spark, sf_dir)).select("t", "a_id", F.round("dist", 6).alias("dist"))
 
 
-@_query()
-def grid_tree_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stratified estimate over a shifted grid in place of hashing."""
-    a, b = _a(spark, sf_dir), _b(spark, sf_dir)
-    grid = lsh.Projection(k=1, dim=64, rho=0.05, top=6)
-    return sampling.stratified(a, b, sampling.grid_collisions(a, b, grid.rho, grid.top, SEED), grid, BUDGET, SEED).select(F.round("estimate", 4).alias("estimate"))
+GRID = lsh.Projection(k=1, dim=64, rho=0.05, top=6)
+_SHIFT = f"({_u('shift', '0')} * {GRID.rho * (1 << GRID.top)!r})"
+_CELL = f"list_transform(vec, lambda x: floor((x + {_SHIFT}) / ({GRID.rho!r} * 2.0 ** layer))::BIGINT)"
+_GRID_KEYS = f"""{_AB}, l AS (SELECT unnest(range(0, {GRID.top + 1}))::INTEGER AS layer),
+ka AS (SELECT a_id, vec, layer, {_CELL} AS key FROM a, l), kb AS (SELECT b_id, layer, {_CELL} AS key FROM b, l)"""
 
 
-_WST = f"""{_LSH}, q AS (SELECT step AS s FROM b WHERE step >= {WINDOW} AND step % {EVERY} = 0),
-bw AS (SELECT DISTINCT s, layer, key FROM q, kb WHERE (b_id - 1) // 2 > s - {WINDOW} AND (b_id - 1) // 2 <= s),
-mw AS (SELECT s, a_id, min(ka.layer) AS layer FROM ka JOIN bw USING (layer, key) GROUP BY s, a_id)"""
+def _stepped(keys: str, p: lsh.Projection, live: str) -> str:
+    """Layers (fc) and strata (st) at each step s, from the keys ka and kb and the live pairs la (s, a_id, vec) and lb (s, b_id, vec)."""
+    return f"""{keys}, {live},
+sb AS (SELECT DISTINCT s, layer, key FROM lb JOIN kb USING (b_id)),
+met AS (SELECT la.s, la.a_id, min(ka.layer) AS layer FROM la JOIN ka USING (a_id) JOIN sb ON sb.s = la.s AND sb.layer = ka.layer AND sb.key = ka.key GROUP BY ALL),
+ex AS (SELECT DISTINCT la.s, la.a_id FROM la JOIN lb ON la.s = lb.s AND la.vec = lb.vec),
+fc AS (SELECT la.s, la.a_id, CASE WHEN ex.a_id IS NOT NULL THEN -2 ELSE coalesce(met.layer, {p.top + 1}) END::INTEGER AS layer
+  FROM la LEFT JOIN met ON met.s = la.s AND met.a_id = la.a_id LEFT JOIN ex ON ex.s = la.s AND ex.a_id = la.a_id),
+st AS (SELECT s, layer, count(*) AS n, count(*) * {p.rho!r} * 2.0 ** layer AS w FROM fc WHERE layer >= 0 GROUP BY s, layer)"""
 
 
-def _windowed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(step, a_id, layer): first collisions with the rows of B that are live at each query step."""
-    b = _b(spark, sf_dir)
-    top = b.agg(F.max("step")).first()[0]
-    first = F.ceil(F.greatest(F.col("step"), F.lit(WINDOW)) / EVERY) * EVERY
-    last = F.least(F.col("step") + WINDOW - 1, F.lit(top))
-    live = b.where(first <= last).withColumn("s", F.explode(F.sequence(first.cast("long"), last.cast("long"), F.lit(EVERY).cast("long"))))
-    keys = lsh.with_layers(lsh.with_h0(live, HASH).select("s", "h0"), HASH).select("s", "layer", "key").distinct()
-    mine = lsh.with_layers(lsh.with_h0(_a(spark, sf_dir), HASH).select("a_id", "h0"), HASH)
-    met = mine.join(keys, ["layer", "key"]).groupBy("s", "a_id").agg(F.min("layer").alias("layer"))
-    return met.select(F.col("s").alias("step"), "a_id", "layer")
+def _live(window: int, every: int) -> str:
+    return f"""qs AS (SELECT step AS s FROM b WHERE step >= {window} AND step % {every} = 0),
+lb AS (SELECT s, b_id, vec FROM qs, b WHERE step > s - {window} AND step <= s), la AS (SELECT s, a_id, vec FROM qs, a)"""
+
+
+_NEAR = "d AS (SELECT la.s, la.a_id, min(list_distance(la.vec, lb.vec)) AS dist FROM la JOIN lb USING (s) GROUP BY ALL)"
+_BY_LAYER = "rk AS (SELECT s, a_id, layer, row_number() OVER (PARTITION BY s, layer ORDER BY a_id) AS rank FROM fc WHERE layer >= 0)"
+_STRATIFIED = f"""c1 AS (SELECT *, {BUDGET} - count(*) OVER (PARTITION BY s) AS spare FROM st),
+c2 AS (SELECT *, spare * w / sum(w) OVER (PARTITION BY s) AS q FROM c1), c3 AS (SELECT *, floor(q) AS fl, spare - sum(floor(q)) OVER (PARTITION BY s) AS left_ FROM c2),
+al AS (SELECT s, layer, n, (1 + fl + CASE WHEN row_number() OVER (PARTITION BY s ORDER BY q - fl DESC, layer) <= left_ THEN 1 ELSE 0 END)::BIGINT AS t_i FROM c3),
+{_BY_LAYER}, tt AS (SELECT s, layer, n, t_i, unnest(range(1, least(t_i, n) + 1)) AS t FROM al),
+dr AS (SELECT tt.s, tt.layer, t, a_id, n, t_i FROM tt JOIN rk ON tt.s = rk.s AND tt.layer = rk.layer AND rk.rank = CASE WHEN t_i >= n THEN t ELSE 1 + floor({_u("stratum", "tt.s", "tt.layer", "t")} * n) END), {_NEAR},
+es AS (SELECT s AS step, sum(CASE WHEN t_i >= n THEN dist ELSE dist * n / t_i END) AS est FROM dr JOIN d USING (s, a_id) GROUP BY s)"""
+_IMPORTANCE = f"""{_BY_LAYER}, cw AS (SELECT s, layer, n, w, sum(w) OVER (PARTITION BY s ORDER BY layer) AS hi, sum(w) OVER (PARTITION BY s) AS d FROM st),
+ut AS (SELECT s, t, {_u("layer", "s", "t")} AS u, {_u("row", "s", "t")} AS v FROM (SELECT DISTINCT s FROM st), (SELECT unnest(range(1, {BUDGET + 1})) AS t)),
+im AS (SELECT ut.s, t, cw.d / ({HASH.rho!r} * 2.0 ** cw.layer) AS factor, a_id FROM ut JOIN cw ON cw.s = ut.s AND u * d >= hi - w AND u * d < hi JOIN rk ON rk.s = ut.s AND rk.layer = cw.layer AND rk.rank = 1 + floor(v * n)), {_NEAR},
+ei AS (SELECT s AS step, avg(factor * dist) AS est FROM im JOIN d USING (s, a_id) GROUP BY s)"""
+_UNIFORM = f"""ns AS (SELECT s, count(*) AS n FROM la GROUP BY s), ru AS (SELECT s, a_id, row_number() OVER (PARTITION BY s ORDER BY a_id) AS rank FROM la),
+un AS (SELECT x.s, t, a_id, n FROM (SELECT s, n, t, 1 + floor({_u("uniform", "s", "t")} * n) AS r FROM ns, (SELECT unnest(range(1, {BUDGET + 1})) AS t)) x JOIN ru ON ru.s = x.s AND ru.rank = x.r), {_NEAR},
+eu AS (SELECT s AS step, any_value(n) / {BUDGET}.0 * sum(dist) AS est FROM un JOIN d USING (s, a_id) GROUP BY s)"""
+_W_HASH = _stepped(_LSH, HASH, _live(WINDOW, EVERY))
+_W_GRID = _stepped(_GRID_KEYS, GRID, _live(WINDOW, EVERY))
+
+
+def _steps(b: DataFrame, window: int, every: int, position: str = "step") -> stepwise.Steps:
+    return stepwise.Steps(window, every, b.agg(F.max(position)).first()[0] or 0)
+
+
+class _Sliding:
+    """A, B and the layers at all steps of the sliding window over the embeddings; layers are written once."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, p: lsh.Projection = HASH, buckets: stepwise.Buckets | None = None):
+        b = _b(spark, sf_dir)
+        self.steps, self.p, self.buckets = _steps(b, WINDOW, EVERY), p, buckets or stepwise.hashed(p)
+        self.a, self.b = self.steps.always(_a(spark, sf_dir)), self.steps.live(b, "step")
+
+    def layers(self) -> DataFrame:
+        return materialize(stepwise.step_layers(self.a, self.b, self.buckets, self.p.top, self.steps))
+
+    def stratified(self) -> DataFrame:
+        return stepwise.stratified(self.a, self.b, self.layers(), self.p, self.steps, BUDGET, SEED)
+
+
+def _grid() -> stepwise.Buckets:
+    return stepwise.gridded(GRID.rho, GRID.top, SEED)
+
+
+_ALL_ONCE = "qs AS (SELECT 0 AS s), la AS (SELECT 0 AS s, a_id, vec FROM a), lb AS (SELECT 0 AS s, b_id, vec FROM b)"
 
 
-@_query(f"WITH {_WST} SELECT s AS step, layer, count(*) AS n FROM mw GROUP BY ALL")
+@_query(f"WITH {_stepped(_GRID_KEYS, GRID, _ALL_ONCE)}, {_STRATIFIED} SELECT round(est, 4) AS estimate FROM es")
+def grid_tree_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stratified estimate over a shifted grid in place of hashing, of both sets whole: one step at which all rows are live."""
+    once = stepwise.Steps(0, 1, 0)
+    a, b = once.always(_a(spark, sf_dir)), once.always(_b(spark, sf_dir))
+    layers = materialize(stepwise.step_layers(a, b, _grid(), GRID.top, once))
+    return stepwise.stratified(a, b, layers, GRID, once, BUDGET, SEED).select(F.round("strat_est", 4).alias("estimate"))
+
+
+@_query(f"WITH {_W_HASH} SELECT s AS step, layer, n FROM st")
 def windowed_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _windowed(spark, sf_dir).groupBy("step", "layer").agg(F.count(F.lit(1)).alias("n"))
+    w = _Sliding(spark, sf_dir)
+    return stepwise.step_strata(w.a, w.b, w.buckets, HASH, w.steps).select("step", "layer", "n")
+
+
+@_query(f"WITH {_W_HASH} SELECT s AS step, a_id, layer FROM fc")
+def windowed_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _Sliding(spark, sf_dir).layers()
 
 
-@_query(f"WITH {_WST} SELECT s AS step, round(sum({HASH.rho!r} * 2.0 ** layer), 6) AS total FROM mw GROUP BY s")
+@_query(f"WITH {_W_HASH} SELECT s AS step, round(sum(w), 6) AS total FROM st GROUP BY s")
 def windowed_total_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _windowed(spark, sf_dir).groupBy("step").agg(F.round(F.sum(lsh.scale(F.col("layer"), HASH)), 6).alias("total"))
+    w = _Sliding(spark, sf_dir)
+    return stepwise.step_strata(w.a, w.b, w.buckets, HASH, w.steps).groupBy("step").agg(F.round(F.sum("w"), 6).alias("total"))
+
+
+#: Parts as points of two small numbers: many repeats between the sides, and cells too small for all to meet.
+PART_HASH = lsh.Projection(k=4, dim=2, rho=0.25, top=3)
+_PG = "[" + ", ".join("[" + ", ".join(repr(float(x)) for x in row) + "]" for row in PART_HASH.directions) + "]"
+_PS = "[" + ", ".join(repr(float(x)) for x in PART_HASH.starts) + "]"
+_PC = "[" + ", ".join("[" + ", ".join(str(int(x)) for x in row) + "]" for row in PART_HASH.carries) + "]"
+_PJ = range(1, PART_HASH.k + 1)
+_PH0 = "[" + ", ".join(f"floor((list_dot_product(vec, g[{j}]) + s0[{j}]) / {PART_HASH.k * PART_HASH.rho!r})::BIGINT" for j in _PJ) + "]"
+_PKEY = "[" + ", ".join(f"(h0[{j}] + c[layer + 1][{j}]) >> layer" for j in _PJ) + "]"
+_PART_POINTS = "[p_size::DOUBLE, floor(p_retailprice / 50)]"
+_PART_KEYS = f"""a AS (SELECT p_partkey AS a_id, {_PART_POINTS} AS vec FROM part WHERE p_partkey % 2 = 0),
+b AS (SELECT p_partkey AS b_id, (p_partkey - 1) // 2 AS step, {_PART_POINTS} AS vec FROM part WHERE p_partkey % 2 = 1),
+p AS (SELECT {_PG}::DOUBLE[][] AS g, {_PS}::DOUBLE[] AS s0, {_PC}::BIGINT[][] AS c), l AS (SELECT unnest(range(0, {PART_HASH.top + 1}))::INTEGER AS layer),
+ka AS (SELECT a_id, vec, layer, {_PKEY} AS key FROM (SELECT a_id, vec, {_PH0} AS h0 FROM a, p), l, p), kb AS (SELECT b_id, layer, {_PKEY} AS key FROM (SELECT b_id, {_PH0} AS h0 FROM b, p), l, p)"""
+_W_PARTS = _stepped(_PART_KEYS, PART_HASH, _live(60, 40))
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, stepwise.Steps]:
+    point = F.array(F.col("p_size").cast("double"), F.floor(F.col("p_retailprice") / 50).cast("double")).alias("vec")
+    parts = table(spark, sf_dir, "part")
+    b = parts.where("p_partkey % 2 = 1").select(F.col("p_partkey").alias("b_id"), ((F.col("p_partkey") - 1) / 2).cast("long").alias("step"), point)
+    steps = _steps(b, 60, 40)
+    return steps.always(parts.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("a_id"), point)), steps.live(b, "step"), steps
+
+
+@_query(f"WITH {_W_PARTS} SELECT s AS step, layer, n, round(w, 6) AS w FROM st")
+def windowed_strata_of_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strata where many rows have exact matches and others meet B in no layer."""
+    a, b, steps = _parts(spark, sf_dir)
+    return stepwise.step_strata(a, b, stepwise.hashed(PART_HASH), PART_HASH, steps).select("step", "layer", "n", F.round("w", 6).alias("w"))
+
+
+@_query(f"WITH {_W_PARTS} SELECT s AS step, count(*) FILTER (layer >= 0) AS in_strata, count(*) FILTER (layer = -2) AS same, count(*) FILTER (layer = {PART_HASH.top + 1}) AS unmet FROM fc GROUP BY s")
+def windowed_invariant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows in strata, at distance 0, and without any collision, counted from the rows' own layers."""
+    a, b, steps = _parts(spark, sf_dir)
+    own = lambda what, name: F.sum(F.when(F.expr(what), 1).otherwise(0)).alias(name)
+    layers = stepwise.step_layers(a, b, stepwise.hashed(PART_HASH), PART_HASH.top, steps)
+    return layers.groupBy("step").agg(own("layer >= 0", "in_strata"), own("layer = -2", "same"), own(f"layer = {PART_HASH.top + 1}", "unmet"))
+
+
+@_query(f"WITH {_W_PARTS}, {_STRATIFIED} SELECT step, round(est, 4) AS estimate FROM es")
+def windowed_estimate_of_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b, steps = _parts(spark, sf_dir)
+    layers = materialize(stepwise.step_layers(a, b, stepwise.hashed(PART_HASH), PART_HASH.top, steps))
+    return stepwise.stratified(a, b, layers, PART_HASH, steps, BUDGET, SEED).select("step", F.round("strat_est", 4).alias("estimate"))
+
+
+@_query(f"WITH {_W_HASH}, {_STRATIFIED} SELECT step, round(est, 4) AS estimate FROM es")
+def windowed_stratified_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _Sliding(spark, sf_dir).stratified().select("step", F.round("strat_est", 4).alias("estimate"))
+
+
+@_query(f"WITH {_W_HASH}, {_IMPORTANCE} SELECT step, round(est, 3) AS estimate FROM ei")
+def windowed_importance_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = _Sliding(spark, sf_dir)
+    return stepwise.importance(w.a, w.b, w.layers(), HASH, w.steps, BUDGET, SEED).select("step", F.round("is_est", 3).alias("estimate"))
+
+
+@_query(f"WITH {_W_HASH}, {_UNIFORM} SELECT step, round(est, 4) AS estimate FROM eu")
+def windowed_uniform_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = _Sliding(spark, sf_dir)
+    return stepwise.uniform(w.a, w.b, w.layers(), w.steps, BUDGET, SEED).select("step", F.round("uniform_est", 4).alias("estimate"))
+
+
+@_query(f"WITH {_W_GRID}, {_STRATIFIED} SELECT step, round(est, 4) AS estimate FROM es")
+def windowed_grid_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _Sliding(spark, sf_dir, GRID, _grid()).stratified().select("step", F.round("strat_est", 4).alias("estimate"))
+
+
+def _log_sql(parts: list[tuple[str, str, str, str]]) -> str:
+    """SQL of a run log; parts: (column, steps, estimator, its result)."""
+    own = ", ".join(f"{name} AS (WITH {steps}, {how} SELECT step, est FROM {result})" for name, steps, how, result in parts)
+    values = ", ".join(f"round({n}.est, 3) AS {n}" for n, *_ in parts) + ", " + ", ".join(f"round(({n}.est - x.chamfer) / x.chamfer, 5) AS {n.replace('_est', '_err')}" for n, *_ in parts)
+    return f"WITH x AS ({_SLIDE} SELECT s AS step, sum(dist) AS chamfer FROM m GROUP BY s), {own} SELECT step, round(x.chamfer, 3) AS chamfer, {values} FROM x " + " ".join(f"JOIN {n} USING (step)" for n, *_ in parts)
+
+
+def _rounded_log(log: DataFrame) -> DataFrame:
+    return log.select("step", *(F.round(c, 5 if c.endswith("_err") else 3).alias(c) for c in log.columns if c != "step"))
+
+
+def _exact_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.sliding_chamfer(_a(spark, sf_dir), _b(spark, sf_dir).select("step", "vec"), WINDOW, EVERY).select("step", "chamfer")
+
+
+_TREE, _STRAT, _IS, _UNIF = (("quadtree_est", _W_GRID, _STRATIFIED, "es"), ("strat_est", _W_HASH, _STRATIFIED, "es"), ("is_est", _W_HASH, _IMPORTANCE, "ei"), ("uniform_est", _W_HASH, _UNIFORM, "eu"))
+
+
+@_query(_log_sql([_TREE, ("e2lsh_est", *_STRAT[1:]), _UNIF]))
+def cost_log_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The run log of all methods, written as CSV and read back."""
+    w = _Sliding(spark, sf_dir)
+    layers = w.layers()
+    found = {
+        "quadtree_est": _Sliding(spark, sf_dir, GRID, _grid()).stratified(),
+        "e2lsh_est": stepwise.stratified(w.a, w.b, layers, HASH, w.steps, BUDGET, SEED),
+        "uniform_est": stepwise.uniform(w.a, w.b, layers, w.steps, BUDGET, SEED),
+    }
+    return _logged(spark, stepwise.cost_log(_exact_steps(spark, sf_dir), found, "full"))
+
+
+@_query(_log_sql([_STRAT]))
+def cost_log_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _logged(spark, stepwise.cost_log(_exact_steps(spark, sf_dir), {"strat_est": _Sliding(spark, sf_dir).stratified()}, "hashing"))
+
+
+@_query(_log_sql([_STRAT, _IS]))
+def cost_log_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = _Sliding(spark, sf_dir)
+    layers = w.layers()
+    found = {"strat_est": stepwise.stratified(w.a, w.b, layers, HASH, w.steps, BUDGET, SEED), "is_est": stepwise.importance(w.a, w.b, layers, HASH, w.steps, BUDGET, SEED)}
+    return _logged(spark, stepwise.cost_log(_exact_steps(spark, sf_dir), found, "importance"))
+
+
+@_query(_log_sql([_TREE, _UNIF]))
+def cost_log_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = _Sliding(spark, sf_dir, GRID, _grid())
+    layers = w.layers()
+    found = {"quadtree_est": stepwise.stratified(w.a, w.b, layers, GRID, w.steps, BUDGET, SEED), "uniform_est": stepwise.uniform(w.a, w.b, layers, w.steps, BUDGET, SEED)}
+    return _logged(spark, stepwise.cost_log(_exact_steps(spark, sf_dir), found, "tree"))
+
+
+def _logged(spark: SparkSession, log: DataFrame) -> DataFrame:
+    """A log written to the shared folder and read back, with as many digits as SQL agrees on."""
+    path = f"{shared_dir(spark)}/log-{uuid.uuid4().hex}"
+    text_files.write_cost_log(log, path)
+    return _rounded_log(text_files.read_cost_log(spark, path))
+
+
+_D_KEYS = f"""{_SCHEDULE}, a AS (SELECT pos AS a_id, vec FROM sch WHERE side = 'A'), b AS (SELECT pos AS b_id, pos AS step, vec FROM sch WHERE side = 'B'), {_LSH.replace(_AB + ", ", "")}"""
+_D_LIVE = """qs AS (SELECT pos AS s FROM sch WHERE pos >= 60 AND pos % 20 = 0),
+la AS (SELECT s, a_id, vec FROM qs, a WHERE a_id > s - 60 AND a_id <= s), lb AS (SELECT s, b_id, vec FROM qs, b WHERE b_id > s - 60 AND b_id <= s)"""
+_W_DUAL = _stepped(_D_KEYS, HASH, _D_LIVE)
+
+
+def _dual(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, stepwise.Steps, DataFrame]:
+    a, b = _scheduled(spark, sf_dir)
+    steps = _steps(a.select("pos").unionByName(b.select("pos")), 60, 20, "pos")
+    a, b = steps.live(a.withColumnRenamed("pos", "a_id"), "a_id"), steps.live(b.withColumnRenamed("pos", "b_id"), "b_id")
+    return a, b, steps, materialize(stepwise.step_layers(a, b, stepwise.hashed(HASH), HASH.top, steps))
+
+
+@_query(f"WITH {_W_DUAL} SELECT s AS step, layer, n FROM st")
+def both_dynamic_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dual(spark, sf_dir)[3].where("layer >= 0").groupBy("step", "layer").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query(f"WITH {_W_DUAL}, {_STRATIFIED} SELECT step, round(est, 4) AS estimate FROM es")
+def both_dynamic_stratified_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b, steps, layers = _dual(spark, sf_dir)
+    return stepwise.stratified(a, b, layers, HASH, steps, BUDGET, SEED).select("step", F.round("strat_est", 4).alias("estimate"))
+
+
+@_query(f"WITH {_W_DUAL}, {_UNIFORM} SELECT step, round(est, 4) AS estimate FROM eu")
+def both_dynamic_uniform_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b, steps, layers = _dual(spark, sf_dir)
+    return stepwise.uniform(a, b, layers, steps, BUDGET, SEED).select("step", F.round("uniform_est", 4).alias("estimate"))
 
 
 # Evaluation: events stand for logged errors of several runs.
@@ -543,8 +758,7 @@ def csv_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"{_SLIDE} SELECT s AS step, round(sum(dist), 4) AS chamfer FROM m GROUP BY s")
 def exact_cache_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/cache-{uuid.uuid4().hex}"
-    found = windows.sliding_nearest(_a(spark, sf_dir), _b(spark, sf_dir).select("step", "vec"), WINDOW, EVERY).groupBy("step").agg(F.sum("dist").alias("chamfer"))
-    text_files.write_exact_cache(found, path, {"window_size": str(WINDOW), "query_interval": str(EVERY)})
+    text_files.write_exact_cache(_exact_steps(spark, sf_dir), path, {"window_size": str(WINDOW), "query_interval": str(EVERY)})
     return text_files.read_exact_cache(spark, path).select("step", F.round("chamfer", 4).alias("chamfer"))
 
 
@@ -583,12 +797,11 @@ def stream_with_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(parts.schema).parquet(f"{base}/out").groupBy("step").agg(F.round(F.sum("part"), 4).alias("chamfer"), F.sum("n").alias("n_a"))
 
 
-@_query(f"{_SLIDE}, x AS (SELECT s AS step, sum(dist) AS chamfer FROM m GROUP BY s) SELECT step, round((1.1 * x.chamfer - x.chamfer) / x.chamfer, 6) AS err FROM x")
+@_query(f"WITH e AS (WITH {_W_HASH}, {_STRATIFIED} SELECT step, est FROM es), x AS ({_SLIDE} SELECT s AS step, sum(dist) AS chamfer FROM m GROUP BY s) SELECT step, round((est - chamfer) / chamfer, 6) AS err FROM e JOIN x USING (step)")
 def estimate_against_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Estimates joined to the exact values of their steps; here each is a tenth too high."""
-    exact_ = windows.sliding_nearest(_a(spark, sf_dir), _b(spark, sf_dir).select("step", "vec"), WINDOW, EVERY).groupBy("step").agg(F.sum("dist").alias("chamfer"))
-    estimates = exact_.select("step", (1.1 * F.col("chamfer")).alias("estimate"))
-    return evaluate.against_exact(estimates, exact_).select("step", F.round(evaluate.relative_error("estimate", "chamfer"), 6).alias("err"))
+    """Stratified estimates joined to the exact values of their steps."""
+    found = evaluate.against_exact(_Sliding(spark, sf_dir).stratified(), _exact_steps(spark, sf_dir))
+    return found.select("step", F.round(evaluate.relative_error("strat_est", "chamfer"), 6).alias("err"))
 
 
 @_query(f"WITH {_ERR}, x AS (SELECT kind, seed, step, avg(err) AS err FROM e GROUP BY ALL) SELECT o.seed, o.step, round(o.err, 6) AS one, round(p.err, 6) AS other FROM x o JOIN x p USING (seed, step) WHERE o.kind = 'view' AND p.kind = 'click'")

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,10 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where the session names none (tests)."""
+    """The cluster's checkpoint folder; a temporary one only where the session names none and is of one machine (tests)."""
     context = spark.sparkContext
     found = context.getCheckpointDir()
     if not found:
+        if not spark.conf.get("spark.checkpoint.dir", None) and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidewell-"))
         found = context.getCheckpointDir()
     return found
@@ -42,3 +45,16 @@ def materialize(df: DataFrame) -> DataFrame:
     finally:
         spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows, and numbers in their arrays, up to which a counted table is broadcast.
+BROADCAST_ROWS, BROADCAST_NUMBERS = 200_000, 2_000_000
+
+
+def broadcast_if_small(df: DataFrame, numbers: Column | None = None) -> DataFrame:
+    """``df``, a table that is cheap to read twice, with a broadcast hint if it has proved small; ``numbers``: the size of a row's arrays."""
+    if df.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        return df
+    if numbers is not None and (df.agg(F.sum(numbers)).first()[0] or 0) > BROADCAST_NUMBERS:
+        return df
+    return F.broadcast(df)
