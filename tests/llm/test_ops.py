@@ -489,10 +489,10 @@ def test_winnowing_equals_sql(spark, duck):
 
 def test_short_items_and_odd_rows(spark, docs, none):
     items = spark.createDataFrame([("a", "quick BROWN fox"), ("b", " ".join(PASSAGE.split()[5:20])), ("c", ""), ("d", None), (None, "id here")], "item_id string, text string")
-    hits = op8_decontamination.find_hits(docs, "text", "doc_id", op8_decontamination.Benchmark(items, "text", "item_id"))
-    rows = docs.select("doc_id", *(c.alias(n) for c, n in zip(op8_decontamination._keys("text", "doc_id"), ("r1", "r2"))))
+    rows, hits = op8_decontamination.find_hits(docs, "text", "doc_id", op8_decontamination.Benchmark(items, "text", "item_id"))
     got = Counter((r["doc_id"], r["n"]) for r in rows.join(hits.select("r1", "r2", op8_decontamination.covered("spans").alias("n")), ["r1", "r2"], "left").collect())
     assert got == Counter({(1, 3): 1, (2, None): 1, (3, None): 1, (4, 15): 1, (5, 15): 2, (6, 15): 1, (None, 2): 1, (7, None): 1, (8, None): 1, (9, None): 1, (4, None): 1})
+    assert Counter((r["doc_id"], r["n_words"]) for r in rows.collect()) == Counter((i, len(words(t))) for i, t, _ in ROWS)
     clean = op8_decontamination.decontaminate(docs, items)
     assert clean.columns == docs.columns and clean.count() == 6
     assert op8_decontamination.decontaminate(docs, items.limit(0)).count() == len(ROWS)

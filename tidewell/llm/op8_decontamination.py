@@ -83,17 +83,24 @@ class Benchmark:
         self.item_sets = materialize(self.windows.select("sid", "items").dropDuplicates(["sid", "items"]))
 
 
-def find_hits(docs: DataFrame, text: str, id_col: str, bench: Benchmark) -> DataFrame:
-    """One row for each key that has hits: r1, r2, spans, sids; the key is ``_keys`` of the row.
+def find_hits(docs: DataFrame, text: str, id_col: str, bench: Benchmark) -> tuple[DataFrame, DataFrame]:
+    """(rows, hits). rows: id, r1, r2, n_words, one for each document; r1 and r2 are ``_keys`` of it. hits, one for each key that has any: r1, r2, spans, sids.
 
-    ``spans``: sorted [start, length] in words of all windows found. Documents are read once for fingerprints;
-    only those that share one are read again.
+    ``spans``: sorted [start, length] in words of all windows found. Documents are read once for words and
+    fingerprints; only those that share one are read again.
     """
-    keyed = docs.select(*(c.alias(n) for c, n in zip(_keys(text, id_col), ("r1", "r2"))), F.col(text).alias("_text"))
-    shared = keyed.select("r1", "r2", F.explode(let(words("_text"), lambda w: _fingerprints(w, bench.shorts))).alias("fp"))
-    # Fingerprints are spread evenly but for those of frequent passages, of which each document has one row.
-    seen = shared.join(_small(bench.fingerprints), "fp", "left_semi")
-    suspects = materialize(seen.groupBy("r1", "r2").agg(F.collect_set("fp").alias("fps")))
+    keyed = docs.select(F.col(id_col).alias("_id"), *(c.alias(n) for c, n in zip(_keys(text, id_col), ("r1", "r2"))), F.col(text).alias("_text"))
+    # Each document's own row goes along under its key, which spreads evenly, whether or not the join is shuffled.
+    nothing = F.lit(None).cast("long")
+    own = lambda w: F.concat(
+        F.array(F.struct(F.col("r1").alias("fp"), F.size(w).cast("long").alias("n_words"))),
+        F.transform(_fingerprints(w, bench.shorts), lambda f: F.struct(f.alias("fp"), nothing.alias("n_words"))),
+    )
+    shared = keyed.select("_id", "r1", "r2", F.explode(let(words("_text"), own)).alias("x")).select("_id", "r1", "r2", "x.fp", "x.n_words")
+    met = shared.join(_small(bench.fingerprints.withColumn("met", F.lit(True))), "fp", "left")
+    seen = materialize(met.where("met OR n_words IS NOT NULL"))
+    rows = seen.where("n_words IS NOT NULL").select(F.col("_id").alias(id_col), "r1", "r2", "n_words")
+    suspects = materialize(seen.where("n_words IS NULL").groupBy("r1", "r2").agg(F.collect_set("fp").alias("fps")))
     few = (suspects.agg(F.sum(F.size("fps") + 2)).first()[0] or 0) <= BROADCAST_NUMBERS
     again = keyed.select("r1", "r2", "_text").join(F.broadcast(suspects) if few else suspects, ["r1", "r2"])
 
@@ -115,7 +122,7 @@ def find_hits(docs: DataFrame, text: str, id_col: str, bench: Benchmark) -> Data
     spans = again.select("r1", "r2", F.explode(let(words("_text"), windows)).alias("x")).select("r1", "r2", "x.*")
     hits = spans.join(_small(bench.windows.select("len", "span", "sid"), F.length("span") / 8), ["len", "span"])
     hits = hits.groupBy("r1", "r2").agg(F.sort_array(F.collect_set(F.struct("s", "len"))).alias("spans"), F.collect_set("sid").alias("sids"))
-    return materialize(hits)
+    return rows, materialize(hits)
 
 
 def covered(spans: str) -> Column:
@@ -134,7 +141,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", id_col:
 
     All columns stay; repeated rows stay or go alike; null and wordless texts stay; an empty benchmark takes nothing away.
     """
-    hits = find_hits(docs, text, id_col, Benchmark(items, item_text, item_id))
+    _, hits = find_hits(docs, text, id_col, Benchmark(items, item_text, item_id))
     k1, k2, r1, r2 = free_names(docs, "__k1", "__k2", "__r1", "__r2")
     keyed = docs.withColumns(dict(zip((k1, k2), _keys(text, id_col))))
     return keyed.join(_small(hits.select(F.col("r1").alias(r1), F.col("r2").alias(r2))), (F.col(k1) == F.col(r1)) & (F.col(k2) == F.col(r2)), "left_anti").drop(k1, k2)
@@ -148,11 +155,10 @@ def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     bench = Benchmark(table(spark, sf_dir, "benchmark"), "text", "item_id")
-    hits = find_hits(docs, "text", "doc_id", bench)
+    rows, hits = find_hits(docs, "text", "doc_id", bench)
     named = hits.select("r1", "r2", F.explode("sids").alias("sid")).join(_small(bench.item_sets, F.size("items")), "sid").select("r1", "r2", F.explode("items").alias("item"))
     named = named.groupBy("r1", "r2").agg(F.sort_array(F.collect_set("item")).alias("items"))
     result = hits.select("r1", "r2", covered("spans").alias("n_hit")).join(named, ["r1", "r2"])
-    rows = docs.select("doc_id", *(c.alias(n) for c, n in zip(_keys("text", "doc_id"), ("r1", "r2"))), F.size(words("text")).cast("long").alias("n_words"))
     out = rows.join(_small(materialize(result)), ["r1", "r2"], "left")
     items = F.coalesce("items", F.array().cast("array<string>"))
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
