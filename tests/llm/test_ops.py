@@ -88,43 +88,88 @@ def test_components(spark):
 
 
 def test_restored_words():
-    plain = ["idiot", "stupid", "moron", "loser", "the", "thing", "great", "other", "and", "rest"] * 50
+    plain = ["idiot", "stupid", "moron", "loser", "the", "thing", "great", "other", "and", "rest", "kill", "hello", "foe", "scum"] * 50 + ["a", "i", "you", "are", "said", "such", "man"] * 300
     counts = np.zeros((op1_toxicity.N,) * 3, np.int64)
     for w in plain:
         code = [0, 0, *(op1_toxicity._CODE[c] for c in w), 0]
         for a, b, c in zip(code, code[1:], code[2:]):
             counts[a, b, c] += 1
     r = op1_toxicity.Restorer(op1_toxicity.language_model(counts))
-    for written, meant in {"1d10t": "idiot", "$tup1d": "stupid", "m0r0n": "moron", "l o s e r": "loser", "l-0-s-3-r": "loser", "stuuuupid": "stupid", "l  o  s  e  r": "loser", "m\u043er\u043en": "moron", "s\u200bt\u200bu\u200bpid": "stupid"}.items():
+    for written, meant in {"1d10t": "idiot", "$tup1d": "stupid", "m0r0n": "moron", "l o s e r": "loser", "l-0-s-3-r": "loser", "stuuuupid": "stupid", "l  o  s  e  r": "loser", "m\u043er\u043en": "moron", "s\u200bt\u200bu\u200bpid": "stupid", "iddiot": "idiot", "sttupid": "stupid", "iidiioott": "idiot", "ki11": "kill", "he11o": "hello", "\uff53tu\uff50id": "stupid", "\u03b9d\u03b9o\u03c4": "idiot", "s t u p i d": "stupid", "f 0 e": "foe", "st*pid": "stupid"}.items():
         assert meant in r.words([f"so {written} it is"])[0], written
+    for written, meant in {"you are a s t u p i d man": "stupid", "such a i d i o t i said": "idiot", "y o u i d i o t": "idiot", "y o u a r e s c u m": "scum", "y  o  u   i  d  i  o  t": "idiot"}.items():
+        assert meant in r.words([written])[0], written
+    assert len(max(r.words(["ab1" * 5000])[0], key=len)) >= 200
     assert r.words([""]) == [set()]
 
 
 def test_viterbi_equals_brute_force():
     rng = np.random.default_rng(0)
     model = op1_toxicity.language_model(rng.integers(0, 40, (op1_toxicity.N,) * 3))
-    for token in ["4b", "1$0", "aa1", "!d10", "x33y", "$$a"]:
-        lat = op1_toxicity.lattice(token)
-        best = (-np.inf, "")
-        import itertools
+    import itertools
 
+    for token in ["4b", "1$0", "aa1", "!d10", "x33y", "$$a", "11", "a b c", "1 d  i", "b6!!"]:
+        lat = op1_toxicity.spaced_lattice(token) if " " in token else op1_toxicity.lattice(token)
+        best = (-np.inf, "")
         for path in itertools.product(*lat):
             state, total, out = (0, 0), 0.0, ""
             for a, b, w in path:
                 total += w + model[state[0], state[1], a]
                 state = (state[1], a)
-                out += op1_toxicity.LETTERS[a] * (a > 0)
+                out += op1_toxicity.LETTERS[a] if a else " "
                 if b >= 0:
                     total += model[state[0], state[1], b]
                     state, out = (state[1], b), out + op1_toxicity.LETTERS[b]
             total += model[state[0], state[1], 0]
-            best = max(best, (total, out))
+            best = max(best, (total, out.strip()))
         assert op1_toxicity.viterbi([lat], model) == [best[1]], token
 
 
+def test_every_reading_is_in_the_lattice():
+    """All spellings of short tokens that the table of readings allows, found apart from the lattice."""
+    import itertools
+
+    table = op1_toxicity.READINGS
+    for token in ("k1ll", "ki11", "66", "$11y", "1l", "a11"):
+        want = {"".join(p) for p in itertools.product(*(table.get(c, c) for c in token))}
+        lat = op1_toxicity.lattice(token)
+        have = {"".join(op1_toxicity.LETTERS[x] for a, b, _ in path for x in (a, b) if x > 0) for path in itertools.product(*lat)}
+        assert want <= have, token
+
+
+def test_words_of_few_documents_count():
+    """A word of eight toxic and no clean documents tells, however many other ones there are; near copies are one."""
+    rng = np.random.default_rng(21)
+    base = [f"word{i}" for i in range(400)]
+    line = lambda: set(rng.choice(base, 30).tolist())
+    rows = [(int(i < 200), line() | ({"rare"} if i < 8 else {"common"} if 8 <= i < 200 else set())) for i in range(2000)]
+    copied = line()
+    rows += [(1, copied | {f"copied{i % 3}", "copied"}) for i in range(40)]
+    sketched = [(t, " ".join(sorted(w)), op1_toxicity._sketch(w)) for t, w in rows]
+    kept = op1_toxicity.distinct_rows(sketched)
+    assert 2000 <= len(kept) < 2015
+    n, total = np.array([8.0, 3.0, 192.0, 100.0]), np.array([8.0, 3.0, 192.0, 1000.0])
+    assert (op1_toxicity._telling(n, total, 0.1) >= 12).tolist() == [True, False, True, False]
+
+
+def test_draw_is_bounded(spark):
+    docs = spark.createDataFrame([(i, f"text {i} " + "x" * (i % 50)) for i in range(300)] + [(5, "another text")] * 40 + [(7, "y" * 5000), (8, None)], "doc_id long, text string").where("NOT (doc_id = 7 AND text LIKE 'text%')")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)] + [(9, 0), (11, 1), (12, None)], "doc_id long, quality int")
+    got = op5_quality.draw(labels, docs, "quality", F.lit(True), 100, 1000, 10**6).collect()
+    again = op5_quality.draw(labels.repartition(5), docs.repartition(7), "quality", F.lit(True), 100, 1000, 10**6).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again)) and 90 <= len(got) <= 100
+    assert sum(len(r["text"] or "") for r in op5_quality.draw(labels, docs, "quality", F.lit(True), 300, 1000, 2000).collect()) <= 2000
+    everything = op5_quality.draw(labels, docs, "quality", F.lit(True), 10**6, 1000, 10**6).collect()
+    assert len(everything) == 300 - 2  # 9 has both labels, 7 is too long
+    assert len({r["text"] for r in everything}) == 298
+
+
 def test_toxicity_of_odd_rows(spark, docs, none):
     model = op1_toxicity.language_model(op1_toxicity.count_trigrams(docs, "text"))
-    labelled = spark.createDataFrame([("you idiot there", 1)] * 5 + [("a fine day", 0)] * 20, "text string, label int")
+    # Copies count once, so the texts differ.
+    rng = np.random.default_rng(1)
+    plain = [" ".join("".join(rng.choice(list("bcdfgklmnprt"), 5)) for _ in range(9)) for i in range(120)]
+    labelled = spark.createDataFrame([(f"you idiot there {t}", 1) for t in plain[:20]] + [(f"a fine day {t}", 0) for t in plain[20:]], "text string, label int")
     fitted = op1_toxicity.fit(labelled, "text", "label", model)
     extra = spark.createDataFrame([(90, "oh id1ot x"), (91, "a day")], "doc_id long, text string")
     got = {r["doc_id"]: r["score"] for r in op1_toxicity.score(extra, "text", model, *fitted).collect()}
@@ -260,6 +305,65 @@ def test_language(spark, docs, none):
     assert op4_language.identify(docs, "text", {}).where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_against_plain_sums(spark, monkeypatch):
+    """Vectors by definition, trigram by trigram; results do not depend on how much is held at once."""
+    texts = ["Ab cd!", "the CAT  sat", "", None, "1 2", "é日x", "aaaa aaaa"]
+
+    def vector(text):
+        out = np.zeros(op4_language.DIM)
+        flat = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+        for word in flat:
+            codes = [0, *map(ord, word), 0]
+            for k in range(len(codes) - 2):
+                own = [np.roll(op4_language.letters(np.array([c]))[0].astype(int), 2 - j) for j, c in enumerate(codes[k : k + 3])]
+                out += own[0] * own[1] * own[2]
+        return out
+
+    want = np.stack([vector(t) for t in texts])
+    for part, vectors, rows in ((1 << 19, 8192, 1024), (4, 3, 2)):
+        monkeypatch.setattr(op4_language, "PART", part)
+        monkeypatch.setattr(op4_language, "VECTORS", vectors)
+        monkeypatch.setattr(op4_language, "TEXTS", rows)
+        got = sum(op4_language.bundled(g, r, len(texts)) for g, r in op4_language.trigrams(texts))
+        if part > 4:
+            np.testing.assert_allclose(got, want)
+    profiles = {"a": want[0], "b": want[1]}
+    monkeypatch.undo()
+    rows = {r["id"]: r for r in op4_language.identify(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), "text", profiles).collect()}
+    for i, v in enumerate(want):
+        cosine = [v @ p / max(np.linalg.norm(v) * np.linalg.norm(p), 1e-12) for p in profiles.values()]
+        assert rows[i]["lang_pred"] == ("ab"[int(np.argmax(cosine))] if v.any() else "und")
+        assert abs(rows[i]["score"] - (min(1, max(0, max(cosine))) if v.any() else 0)) < 1e-5
+
+
+def test_quality_score_against_plain_sums(spark):
+    """Scores are the mean weight of the features, found here one by one from the text."""
+    from tidewell.llm.vec import Substrings
+
+    rng = np.random.default_rng(2)
+    model = op5_quality.Model(rng.normal(size=1 << op5_quality.BITS).astype(np.float32), 0.25)
+    texts = ["one two  two", "é", "", None, "a\tb\nlonger words here", "   "]
+    shift = np.uint64(64 - op5_quality.BITS)
+
+    def features(text):
+        words = (text or "").split()
+        for w in words:
+            marked = np.array([32, *map(ord, w), 32], np.uint32)
+            for n in op5_quality.WINDOWS:
+                for k in range(len(marked) - n + 1):
+                    yield (Substrings(marked[k : k + n]).each(n)[0] ^ op5_quality.KINDS[n]) >> shift
+        ids = [Substrings(np.array([*map(ord, w)], np.uint32)).of(np.array([0]), np.array([len(w)]))[0] for w in words]
+        yield from (i >> shift for i in ids)
+        for a, b in zip(ids, ids[1:]):
+            yield np.uint64(op5_quality.TWICE) if a == b else op5_quality.mix(np.array([a * np.uint64(3) + b]))[0] >> shift
+
+    rows = {r["id"]: r["score"] for r in op5_quality.score(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), "text", model).collect()}
+    for i, t in enumerate(texts):
+        with np.errstate(over="ignore"):
+            own = [float(model.weights[int(f)]) for f in features(t)]
+        assert abs(rows[i] - 1 / (1 + np.exp(-(0.25 + (np.mean(own) if own else 0))))) < 1e-6, t
+
+
 def test_language_is_held_out(spark, duck):
     got = registry.queries()["op4_hyperdimensional_language"](spark, DATA).where("held_out").toPandas()
     true = dict(duck.sql("SELECT doc_id, lang FROM documents").fetchall())

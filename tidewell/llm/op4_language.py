@@ -17,10 +17,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm.frames import fold
-from tidewell.llm.vec import STEP, mix, steps
+from tidewell.llm.vec import STEP, mix, segments, steps
 from tidewell.tables import table
 
 DIM = 1024
+#: Characters that are looked at at once, and vectors of trigrams and texts that are held at once.
+PART, VECTORS, TEXTS = STEP // 2, 8192, 1024
 
 
 def letters(codes: np.ndarray, dim: int = DIM) -> np.ndarray:
@@ -41,29 +43,44 @@ def bind(grams: np.ndarray, dim: int = DIM) -> np.ndarray:
     return out.astype(np.float32)
 
 
-def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Trigrams of all texts, the text each is from, and which texts have a letter. Small letters, and one break for all between words."""
-    small = [(t or "").lower() for t in texts]
-    codes = np.frombuffer("".join(t + "\n" for t in small).encode("utf-32-le", "surrogatepass"), np.uint32)
-    if not len(codes):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(len(texts), bool)
-    lengths = np.array([len(t) + 1 for t in small])
-    row = np.repeat(np.arange(len(small)), lengths)
-    own, where = np.unique(codes, return_inverse=True)
-    alpha = np.array([chr(c).isalpha() if not 0xD800 <= c < 0xE000 else False for c in own])
-    known = np.where(alpha, own, 0).astype(np.uint64)[where]
-    has = np.bincount(row[known > 0], minlength=len(texts)) > 0
-    keep = (known > 0) | np.r_[False, known[:-1] > 0]
-    known, row = known[keep], row[keep]
-    # Each text is followed by a break, and the first letter of a text has one before it.
-    first = np.r_[True, row[1:] != row[:-1]][: len(row)] & (known > 0)
-    at = np.flatnonzero(first)
-    known, row = np.insert(known, at, 0), np.insert(row, at, row[at])
-    if len(known) < 3:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), has
-    grams = (known[:-2] << np.uint64(42)) | (known[1:-1] << np.uint64(21)) | known[2:]
-    inside = row[:-2] == row[2:]
-    return grams[inside], row[:-2][inside], has
+def trigrams(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Trigrams of all texts and the place in the list of the text of each, some of them at a time. Small letters, and one break for all between words.
+
+    A text with a letter has a trigram at least.
+    """
+    for codes, row in segments([(t or "").lower() for t in texts], PART):
+        own, where = np.unique(codes, return_inverse=True)
+        alpha = np.array([not 0xD800 <= c < 0xE000 and chr(c).isalpha() for c in own])
+        known = np.where(alpha, own, 0).astype(np.uint64)[where]
+        keep = known > 0
+        keep[0] = True
+        keep[1:] |= (known[:-1] > 0) | (row[1:] != row[:-1])
+        known, row = known[keep], row[keep]
+        grams = (known[:-2] << np.uint64(42)) | (known[1:-1] << np.uint64(21)) | known[2:]
+        at = np.flatnonzero((known[1:-1] > 0) & (row[:-2] == row[2:]))
+        yield grams[at], row[1:-1][at]
+
+
+def bundled(grams: np.ndarray, row: np.ndarray, n: int, dim: int = DIM) -> np.ndarray:
+    """The sums of the vectors of each of ``n`` groups of trigrams, ``row`` telling the group: (n, dim).
+
+    Vectors are made for some distinct trigrams at a time, and counted in for some groups at a time, so that neither
+    large alphabets nor many short texts need much memory.
+    """
+    out = np.zeros((n, dim), np.float32)
+    own, where = np.unique(grams, return_inverse=True)
+    order = np.argsort(where, kind="stable")
+    where, row = where[order], row[order]
+    for a in range(0, len(own), VECTORS):
+        vectors = bind(own[a : a + VECTORS], dim)
+        part = slice(*np.searchsorted(where, (a, a + len(vectors))))
+        gram, group = where[part] - a, row[part]
+        for b in range(0, n, TEXTS):
+            inside = (group >= b) & (group < b + TEXTS) if n > TEXTS else slice(None)
+            m = min(TEXTS, n - b)
+            counts = np.bincount((group[inside] - b) * len(vectors) + gram[inside], minlength=m * len(vectors))
+            out[b : b + m] += counts.reshape(m, len(vectors)).astype(np.float32) @ vectors
+    return out
 
 
 def fit(df: DataFrame, text: str, lang: str, dim: int = DIM) -> dict[str, np.ndarray]:
@@ -78,15 +95,10 @@ def fit(df: DataFrame, text: str, lang: str, dim: int = DIM) -> dict[str, np.nda
         for batch in batches:
             for part in steps(batch, text):
                 texts = part.column(part.schema.get_field_index(text)).to_pylist()
-                names = np.array(part.column(part.schema.get_field_index(lang)).to_pylist(), dtype=object)
-                grams, row, _ = trigrams(texts)
-                own, where = np.unique(grams, return_inverse=True)
-                if not len(own):
-                    continue
-                vectors = bind(own, dim)
-                for name in set(names):
-                    counts = np.bincount(where[(names == name)[row]], minlength=len(own)).astype(np.float32)
-                    found[name] = found.get(name, 0) + (counts @ vectors).astype(np.float64)
+                names, which = np.unique(np.array(part.column(part.schema.get_field_index(lang)).to_pylist()), return_inverse=True)
+                for grams, row in trigrams(texts):
+                    for name, vector in zip(names.tolist(), bundled(grams, which[row], len(names), dim)):
+                        found[name] = found.get(name, 0) + vector.astype(np.float64)
         if found:
             part = TaskContext.get().partitionId() % 64
             yield pa.RecordBatch.from_arrays([pa.array(list(found)), pa.array([part] * len(found), pa.int32()), pa.array([v.tobytes() for v in found.values()], pa.binary())], names=["lang", "part", "vector"])
@@ -102,7 +114,10 @@ def fit(df: DataFrame, text: str, lang: str, dim: int = DIM) -> dict[str, np.nda
 
 
 def identify(df: DataFrame, text: str, profiles: dict[str, np.ndarray]) -> DataFrame:
-    """Add ``lang_pred`` and ``score``, the cosine (below 0: 0). Ties go to the first language by name. Columns of those names are replaced."""
+    """Add ``lang_pred`` and ``score``, the cosine (below 0: 0). Ties go to the first language by name. Columns of those names are replaced.
+
+    Null texts, and those without a letter, are ``und``; however long a text, it is read whole, a part at a time.
+    """
     df = df.drop("lang_pred", "score")
     names = sorted(profiles)
     matrix = np.array([profiles[n] / max(np.linalg.norm(profiles[n]), 1e-12) for n in names]).astype(np.float32)
@@ -110,14 +125,16 @@ def identify(df: DataFrame, text: str, profiles: dict[str, np.ndarray]) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in steps(batch, text, STEP // 2):
+            for part in steps(batch, text, PART):
                 n = part.num_rows
-                grams, row, has = trigrams(part.column(part.schema.get_field_index(text)).to_pylist())
+                has = np.zeros(n, bool)
                 best, top = np.zeros(n, np.int64), np.zeros(n)
-                if names and len(grams):
-                    own, where = np.unique(grams, return_inverse=True)
-                    counts = np.bincount(row * len(own) + where, minlength=n * len(own)).reshape(n, len(own)).astype(np.float32)
-                    docs = counts @ bind(own, dim)
+                docs = np.zeros((n, dim), np.float32)
+                for grams, row in trigrams(part.column(part.schema.get_field_index(text)).to_pylist()):
+                    has[row] = True
+                    if names:
+                        docs += bundled(grams, row, n, dim)
+                if names:
                     cosine = (docs @ matrix.T) / np.maximum(np.linalg.norm(docs, axis=1), 1e-12)[:, None]
                     best, top = cosine.argmax(1), np.clip(cosine.max(1), 0, 1)
                 said = [names[b] if h and names else "und" for b, h in zip(best, has)]

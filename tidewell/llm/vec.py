@@ -40,12 +40,13 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Substrings:
-    """Hashes of any substrings of a byte array, from one pass of prefix sums modulo 2^64."""
+    """Hashes of any substrings of an array of bytes, or of code points, from one pass of prefix sums modulo 2^64."""
 
     def __init__(self, data: np.ndarray):
         p, self.q = _power(len(data) + 1)
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(BYTES[data] * p[: len(data)], out=self.sums[1:])
+        random = BYTES[data] if data.dtype == np.uint8 else mix(data.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
+        np.cumsum(random * p[: len(data)], out=self.sums[1:])
 
     def each(self, n: int) -> np.ndarray:
         """Of all windows of ``n`` bytes, by start."""
@@ -82,6 +83,43 @@ def steps(batch: pa.RecordBatch, col: str, size: int = STEP) -> Iterator[pa.Reco
         at = to
 
 
+def segments(texts: list[str | None], size: int = STEP) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All texts in order, a bounded number of characters at a time: (code points, the place in the list of the text of each).
+
+    White space, whatever its kind and number, is one break, 32, and so are both ends of a text. A text longer than
+    ``size`` is cut at white space, or at any place where there is none for as long; nothing is left out.
+    """
+    held: list[tuple[int, str]] = []
+    n = 0
+    for i, text in enumerate(texts):
+        at, text = 0, text or ""
+        while at < len(text) or not at:
+            end = len(text)
+            if end - at > size:
+                end = at + size
+                back = max(text.rfind(" ", at + size // 2, end), text.rfind("\n", at + size // 2, end))
+                end = back + 1 if back > 0 else end
+            if held and n + end - at > size:
+                yield _codes(held)
+                held, n = [], 0
+            held.append((i, text[at:end]))
+            n += end - at
+            at = end or 1
+    if held:
+        yield _codes(held)
+
+
+def _codes(held: list[tuple[int, str]]) -> tuple[np.ndarray, np.ndarray]:
+    codes = np.frombuffer("".join(f"\n{t}\n" for _, t in held).encode("utf-32-le", "surrogatepass"), np.uint32)
+    row = np.repeat(np.array([i for i, _ in held]), [len(t) + 2 for _, t in held])
+    blank = (codes <= 32) | (codes == 0x85) | (codes == 0xA0) | (codes == 0x3000) | (codes >= 0x2000) & (codes <= 0x200A)
+    # Of blanks in a row of one text the first stays.
+    keep = ~blank
+    keep[0] = True
+    keep[1:] |= ~blank[:-1] | (row[1:] != row[:-1])
+    return np.where(blank, 32, codes)[keep].astype(np.uint32), row[keep]
+
+
 def runs(mask: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of maximal runs of true bytes that stay within a row."""
     if not len(mask):
@@ -100,11 +138,3 @@ LOWER[65:91] += 32
 #: Bytes of words: digits, ASCII letters and everything beyond ASCII.
 WORD = np.zeros(256, bool)
 WORD[48:58] = WORD[65:91] = WORD[97:123] = WORD[128:] = True
-
-
-def sums(values: np.ndarray, at: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """For each row the sum of ``values``, which stand at the ascending byte positions ``at``."""
-    total = np.zeros(len(values) + 1, np.float64)
-    np.cumsum(values, out=total[1:])
-    cut = np.searchsorted(at, offsets)
-    return total[cut[1:]] - total[cut[:-1]]
