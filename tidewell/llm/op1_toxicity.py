@@ -1,14 +1,17 @@
 """Toxicity behind disguise: a noisy channel is undone before the words are judged.
 
 A written token is taken for a word that went through a channel: letters may have become digits or signs that
-look alike, may be repeated, or set apart by spaces and marks. All ways to read a token form a lattice; the
-Viterbi path under a character trigram model of the corpus is its restored spelling. A sparse logistic model over
-restored words and their beginnings, learned from labelled documents, then scores the text.
+look alike, may be repeated, or set apart by spaces and marks. All ways to read a token form a lattice, in which a
+space between single letters may stand for nothing or for the border of two words; the Viterbi path under a
+character trigram model of the corpus is its restored spelling. A sparse logistic model over restored words and
+their beginnings, learned from labelled documents, then scores the text.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -23,25 +26,31 @@ from tidewell.llm.op5_quality import draw
 from tidewell.llm.vec import steps
 from tidewell.tables import table
 
-# The letters of the model ("#" is what surrounds words) and what signs may stand for.
+# The letters of the model ("#" is what surrounds words) and what signs and letters of other scripts may stand for.
 LETTERS = "#abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïñòóôõöøùúûüýÿœ"
 READINGS = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
-    "@": "a", "$": "s", "!": "il", "|": "li", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i",
-    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "х": "x", "і": "i", "у": "y",
+    "@": "a", "$": "s", "!": "il", "|": "li", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i", "&": "a", "%": "x", "*": "aeiou",
+    "а": "a", "в": "b", "с": "c", "ԁ": "d", "е": "e", "ё": "e", "һ": "h", "н": "h", "і": "i", "ј": "j", "к": "k", "ӏ": "l", "м": "m", "п": "n",
+    "о": "o", "р": "p", "ԛ": "q", "г": "r", "ѕ": "s", "т": "t", "и": "u", "ѵ": "v", "ԝ": "w", "х": "x", "у": "y",
+    "α": "a", "β": "b", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "σ": "o", "τ": "t", "υ": "u", "χ": "x", "ω": "w", "γ": "y",
+    "ı": "i", "ɡ": "g", "ʏ": "y", "ո": "n", "օ": "o", "ս": "u",
 }
 N = len(LETTERS)
-CHOICES = 4
 NEVER = -1e9
 _CODE = {c: i for i, c in enumerate(LETTERS)}
-#: Labelled rows that the words' weights are fitted on, at most.
+#: Labelled rows that the words' weights are fitted on, at most; of no longer texts than ONE, and TOTAL bytes in all.
 SAMPLE = 8000
-#: Single characters set apart by up to three spaces: at least four in a row.
-APART = re.compile(r"(?<!\S)[\w@$!|+(](?:[ \t]{1,3}[\w@$!|+(]){3,}(?!\S)")
-#: A plain token: letters, with usual punctuation around, nothing three times in a row.
+ONE, TOTAL = 1 << 20, 64 << 20
+#: Signs of a token that are read together; a longer token is no word, and is read in parts.
+LONG = 256
+_SIGN = r"[\w@$!|+(*€£]"
+#: Single characters set apart by up to three spaces: at least three in a row.
+APART = re.compile(rf"(?<!\S){_SIGN}(?:[ \t]{{1,3}}{_SIGN}){{2,}}(?!\S)")
+#: A plain token: letters, with usual punctuation around, nothing twice in a row.
 PLAIN = re.compile(r"[(\"'“«¿¡]*([^\W\d_]+)[.,;:!?)\"'”»]*\Z")
-THRICE = re.compile(r"(.)\1\1")
-MARKS = re.compile(r"[^\w@$!|+(<€£¡]+|_+")
+TWICE = re.compile(r"(.)\1")
+MARKS = re.compile(r"[^\w@$!|+(<*€£¡]+|_+")
 EDGES = ".,;:?!)\"'”»“«¿*%&#~^/\\[]{}=-_<>"
 WORDS = re.compile(r"[^\W\d_]+")
 
@@ -90,70 +99,103 @@ def language_model(counts: np.ndarray, strength: float = 20.0) -> np.ndarray:
     p2 = (c2 + strength * p1) / (c2.sum(1, keepdims=True) + strength)
     p3 = (c3 + strength * p2[None]) / (c3.sum(2, keepdims=True) + strength)
     out = np.log(p3)
-    out[1:, 0, 1:] = NEVER
+    # A border within a token ends one word and begins the next: what follows is as likely as at a beginning.
+    out[1:, 0, 1:] = out[0, 0, 1:]
     out[:, 0, 0] = 0.0
     return out.astype(np.float32)
 
 
-def lattice(token: str) -> list[list[tuple[int, int, float]]]:
-    """For each run of one character its readings: (letter, second letter or -1, log weight)."""
-    out: list[list[tuple[int, int, float]]] = []
+Option = tuple[int, int, float]
+
+
+def lattice(token: str) -> list[list[Option]]:
+    """For each run of one character its readings: (letter, second letter or -1, log weight). Letter 0 is none, or a border.
+
+    Of a run of two signs every pair of readings is one; a longer run is a letter, or two of it.
+    """
+    out: list[list[Option]] = []
     runs_ = [(m[0][0], len(m[0])) for m in re.finditer(r"(.)\1*", token, re.DOTALL)]
     letter = [i for i, (c, _) in enumerate(runs_) if c in _CODE and c != "#"]
     first, last = (letter[0], letter[-1]) if letter else (0, len(runs_) - 1)
     for i, (c, n) in enumerate(runs_):
-        options: list[tuple[int, int, float]] = []
+        options: list[Option] = []
         if c in _CODE and c != "#":
             k = _CODE[c]
             options = [(k, -1, 0.0 if n == 1 else -5.0 if n == 2 else -0.5)]
             if n > 1:
                 options.append((k, k, 0.0 if n == 2 else -1.0))
         else:
-            for r in READINGS.get(c, ""):
-                options.append((_CODE[r], -1, -1.0 - 0.3 * (n > 1)))
-                if n > 1 and len(options) < CHOICES - 1:
-                    options.append((_CODE[r], _CODE[r], -1.6))
+            readings = [_CODE[r] for r in READINGS.get(c, "")]
+            options = [(r, -1, -1.0 - 0.3 * (n > 1)) for r in readings]
+            if n > 1:
+                options += [(r, q, -1.6) for r in readings for q in readings if n == 2 or q == r]
         if i < first or i > last or not options:
             # At the edge a sign may be no letter at all; one without a reading is none anywhere.
             options.append((0, -1, 0.0 if not options else -9.0 if n == 1 else -6.0 if n == 2 else -2.0))
-        out.append(options[:CHOICES])
+        out.append(options)
     # Inside a word a sign without a reading was between the letters only: it is left out.
-    kept = [o for i, o in enumerate(out) if not (first < i < last and o == [(0, -1, 0.0)])]
-    return kept
+    return [o for i, o in enumerate(out) if not (first < i < last and o == [(0, -1, 0.0)])]
+
+
+#: What a border between spaced letters weighs: a run is read twice, once as if it were few words and once as many.
+BORDERS = (-0.7, 1.5)
 
 
-def viterbi(lattices: list[list[list[tuple[int, int, float]]]], model: np.ndarray) -> list[str]:
-    """The best spelling of each lattice: exact, all lattices side by side, by groups of like length."""
+def spaced_lattice(run: str, border: float = BORDERS[0]) -> list[list[Option]]:
+    """The lattice of single signs with spaces between: each space is nothing, or a border, before the letter that follows it.
+
+    A wider space than the others of the run is more likely a border.
+    """
+    signs, gaps = re.split(r"\s+", run), [len(g) for g in re.findall(r"\s+", run)]
+    out: list[list[Option]] = []
+    for c, gap in zip(signs, [0, *gaps]):
+        options = lattice(c)[0]
+        if gap:
+            wide = gap > min(gaps)
+            borders = [(0, a, w + border + 0.5 * wide) for a, b, w in options if a and b < 0]
+            options = [(a, b, w - 4.0 * wide) for a, b, w in options] + borders
+        out.append(options)
+    return out
+
+
+def viterbi(lattices: list[list[list[Option]]], model: np.ndarray) -> list[str]:
+    """The best spelling of each lattice, with a space at each border: exact, all lattices side by side, by groups of like shape."""
     out = [""] * len(lattices)
-    order = sorted(range(len(lattices)), key=lambda i: len(lattices[i]))
+    shape = [(max(map(len, x), default=1), len(x)) for x in lattices]
+    order = sorted(range(len(lattices)), key=lambda i: shape[i])
     at = 0
     while at < len(order):
-        size = len(lattices[order[at]])
+        choices, size = shape[order[at]]
         to = at
-        while to < len(order) and to - at < 4096 and len(lattices[order[to]]) <= size + size // 4 + 1:
+        while to < len(order) and to - at < 4096 and shape[order[to]][0] == choices and shape[order[to]][1] <= size + size // 4 + 1:
             to += 1
-        for i, s in zip(order[at:to], _decode([lattices[i] for i in order[at:to]], model)):
+        for i, s in zip(order[at:to], _decode([lattices[i] for i in order[at:to]], model, max(2, choices))):
             out[i] = s
         at = to
     return out
 
 
-def _decode(group: list[list[list[tuple[int, int, float]]]], model: np.ndarray) -> list[str]:
+def _decode(group: list[list[list[Option]]], model: np.ndarray, choices: int) -> list[str]:
     n, steps_ = len(group), max(map(len, group)) + 1
-    one = np.zeros((steps_, n, CHOICES), np.int16)
-    two = np.full((steps_, n, CHOICES), -1, np.int16)
-    weight = np.full((steps_, n, CHOICES), NEVER, np.float32)
+    one = np.zeros((steps_, n, choices), np.int16)
+    two = np.full((steps_, n, choices), -1, np.int16)
+    weight = np.full((steps_, n, choices), NEVER, np.float32)
     weight[:, :, 0] = 0
+    rows, at, place, values = [], [], [], []
     for i, lat in enumerate(group):
         for t, options in enumerate(lat):
-            for k, (a, b, w) in enumerate(options):
-                one[t, i, k], two[t, i, k], weight[t, i, k] = a, b, w
+            for k, option in enumerate(options):
+                rows.append(i), at.append(t), place.append(k), values.append(option)
+    if rows:
+        filled = np.array(values, np.float64)
+        where = np.array(at), np.array(rows), np.array(place)
+        one[where], two[where], weight[where] = filled[:, 0], filled[:, 1], filled[:, 2]
     # A state is (choice now, choice before): together they tell the last two letters.
-    score = np.full((n, CHOICES, CHOICES), NEVER, np.float32)
+    score = np.full((n, choices, choices), NEVER, np.float32)
     score[:, 0, 0] = 0
-    zero = np.zeros((n, CHOICES), np.int16)
-    end, end_before, pair, first = zero, zero, np.zeros((n, CHOICES), bool), zero
-    back = np.zeros((steps_, n, CHOICES, CHOICES), np.int8)
+    zero = np.zeros((n, choices), np.int16)
+    end, end_before, pair, first = zero, zero, np.zeros((n, choices), bool), zero
+    back = np.zeros((steps_, n, choices, choices), np.int8)
     for t in range(steps_):
         a, b, w = one[t], two[t], weight[t]
         before = np.where(pair[:, :, None], first[:, :, None], end_before[:, None, :])
@@ -166,18 +208,14 @@ def _decode(group: list[list[list[tuple[int, int, float]]]], model: np.ndarray)
         score = best + w[:, :, None] + np.where(both[:, :, None], second, 0)
         end_before, end, pair, first = end, np.where(both, b, a), both, a
     flat = score.reshape(n, -1).argmax(1)
-    now, before = flat // CHOICES, flat % CHOICES
-    rows = np.arange(n)
-    spelled: list[list[str]] = [[] for _ in range(n)]
+    now, before = flat // choices, flat % choices
+    rows_ = np.arange(n)
+    chosen = np.full((steps_, n, 2), -1, np.int16)
     for t in range(steps_ - 1, -1, -1):
-        a, b = one[t, rows, now], two[t, rows, now]
-        for i in range(n):
-            if b[i] > 0:
-                spelled[i].append(LETTERS[b[i]])
-            if a[i] > 0:
-                spelled[i].append(LETTERS[a[i]])
-        now, before = before, back[t, rows, now, before].astype(np.int64)
-    return ["".join(reversed(s)) for s in spelled]
+        chosen[t, :, 0], chosen[t, :, 1] = one[t, rows_, now], two[t, rows_, now]
+        now, before = before, back[t, rows_, now, before].astype(np.int64)
+    letters = np.array([" ", *LETTERS[1:], ""])
+    return ["".join(s).strip() for s in letters[chosen].transpose(1, 0, 2).reshape(n, -1)]
 
 
 @dataclass
@@ -189,21 +227,25 @@ class Restorer:
     known: dict[str, tuple[str, ...]] = field(default_factory=dict)
 
     def tokens(self, text: str) -> set[str]:
-        """The distinct tokens of a text, small, with those that were set apart by spaces as one."""
+        """The distinct tokens of a text, small, and its runs of single signs, which have their spaces."""
         text = text.lower()
-        found = set(text.split())
-        found.update("".join(m.split()) for m in APART.findall(text))
-        return found
+        if not text.isascii():
+            text = unicodedata.normalize("NFKC", text)
+        return {*text.split(), *APART.findall(text)}
 
     def learn(self, tokens: set[str]) -> None:
         if len(self.known) > self.room:
             self.known.clear()
-        odd: list[tuple[str, list[str]]] = []
+        odd: list[tuple[str, list[list[Option]]]] = []
         for t in tokens:
             if t in self.known:
                 continue
+            if not t.isalpha() and any(map(str.isspace, t)):
+                self.known[t] = ()
+                odd += [(t, spaced_lattice(t, border)) for border in BORDERS]
+                continue
             m = PLAIN.match(t)
-            if m and not THRICE.search(t) and not _mixed(m[1]):
+            if m and not TWICE.search(m[1]) and not _mixed(m[1]):
                 self.known[t] = (m[1],)
                 continue
             words = WORDS.findall(t)
@@ -211,10 +253,11 @@ class Restorer:
             spelled = {MARKS.sub("", core), MARKS.sub("", t.lstrip(EDGES.replace("!", "")).rstrip(EDGES))}
             spelled = {s for s in spelled if len(s) > 2 and not s.isdigit()}
             self.known[t] = (*words, *(s for s in spelled if s.isalpha() and s not in words))
-            odd += [(t, lattice(s)) for s in spelled]
-        for (t, _), word in zip(odd, viterbi([x for _, x in odd], self.model)):
-            if len(word) > 2 and word not in self.known[t]:
-                self.known[t] += (word,)
+            odd += [(t, lattice(s[k : k + LONG])) for s in spelled for k in range(0, len(s), LONG)]
+        for (t, _), spelling in zip(odd, viterbi([x for _, x in odd], self.model)):
+            for word in spelling.split():
+                if len(word) > 2 and word not in self.known[t]:
+                    self.known[t] += (word,)
 
     def words(self, texts: list[str]) -> list[set[str]]:
         """The distinct restored words of each text."""
@@ -228,18 +271,64 @@ class Restorer:
 
 
 BEGINNINGS = (3, 4, 5, 6)
+#: A beginning is also told apart by how many words of a text have it, up to so many.
+OFTEN = 3
 
 
-def features(word: str) -> list[str]:
-    return ["=" + word, *(word[:n] for n in BEGINNINGS if len(word) >= n)]
+def stems(word: str) -> list[str]:
+    return [word[:n] for n in BEGINNINGS if len(word) >= n]
 
 
-def fit(labelled: DataFrame, text: str, label: str, model: np.ndarray, least: float = 0.025, rounds: int = 2500) -> tuple[dict[str, float], dict[str, float], float]:
+def features(words: set[str]) -> set[str]:
+    """Of a text's words: each as "=word", and their beginnings, with 2, 3, ... behind those of as many words."""
+    count = Counter(b for w in words for b in stems(w))
+    out = {"=" + w for w in words}
+    for b, n in count.items():
+        out.add(b)
+        out.update(f"{b}{k}" for k in range(2, min(n, OFTEN) + 1))
+    return out
+
+
+#: Values and bands by which word sets of labelled texts are compared, and the share of equal values of near copies.
+_HASHES = np.random.default_rng(11).integers(0, 1 << 32, (2, 32), dtype=np.uint32) | np.uint32(1)
+ALIKE = 0.75
+
+
+def _sketch(words: set[str]) -> bytes:
+    x = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words] or [0], np.uint32)
+    return (x[:, None] * _HASHES[0] + _HASHES[1]).min(0).tobytes()
+
+
+def distinct_rows(rows: list[tuple[int, str, bytes]]) -> list[tuple[int, str]]:
+    """One (label, words) of each group of rows of one label whose word sets are nearly alike, as their sketches tell."""
+    rows = sorted(rows)
+    sketches = np.array([np.frombuffer(s, np.uint32) for _, _, s in rows])
+    head: dict[tuple, list[int]] = {}
+    kept = []
+    for i, (label, words, _) in enumerate(rows):
+        keys = [(label, band, sketches[i, band : band + 4].tobytes()) for band in range(0, 32, 4)]
+        if any((sketches[j] == sketches[i]).mean() >= ALIKE for key in keys for j in head.get(key, ())):
+            continue
+        kept.append((label, words))
+        for key in keys:
+            head.setdefault(key, []).append(i)
+    return kept
+
+
+def _telling(n: np.ndarray, total: np.ndarray, share: float) -> np.ndarray:
+    """How unlikely it is, in logs, that a feature of no meaning has at least ``n`` of its ``total`` rows in label 1 (a Chernoff bound)."""
+    p = np.clip(n / total, 1e-9, 1 - 1e-9)
+    bound = total * (p * np.log(p / share) + (1 - p) * np.log((1 - p) / (1 - share)))
+    return np.where(p > share, bound, 0.0)
+
+
+def fit(labelled: DataFrame, text: str, label: str, model: np.ndarray, unlikely: float = 12.0, rounds: int = 2500) -> tuple[dict[str, float], dict[str, float], float]:
     """Weights of words and beginnings, what a single one of them tells, and the bias, from a bounded table of whole texts with labels 0 and 1.
 
-    A feature counts only if it is in at least three, and the share ``least``, of the documents of label 1, so
-    the wording of a few copied documents is not learned, and if it is three times as frequent there as overall.
-    Without rows of both labels the score is their share.
+    Near copies of one label count once, so that the wording of a few copied documents is not learned. A feature counts
+    if it is three times as frequent in label 1 as overall, and if that is no chance: its log probability is below
+    -``unlikely``, which six documents of label 1 and none of label 0 reach where a tenth has label 1, however many
+    documents there are. Without rows of both labels the score is their share.
     """
     shared = labelled.sparkSession.sparkContext.broadcast(model)
 
@@ -248,36 +337,43 @@ def fit(labelled: DataFrame, text: str, label: str, model: np.ndarray, least: fl
         for batch in batches:
             for part in steps(batch, text):
                 words = restorer.words([t or "" for t in part.column(part.schema.get_field_index(text)).to_pylist()])
-                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(label)).cast(pa.int32()), pa.array([" ".join(sorted(w)) for w in words])], names=["label", "words"])
+                sketches = pa.array([_sketch(w) for w in words], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(label)).cast(pa.int32()), pa.array([" ".join(sorted(w)) for w in words]), sketches], names=["label", "words", "sketch"])
 
-    rows = labelled.select(label, text).mapInArrow(run, "label int, words string").collect()
-    y = np.array([r["label"] for r in rows], float)
+    # Bounded by the sample: rows, and bytes of text, of which words are a part.
+    found = labelled.select(label, text).mapInArrow(run, "label int, words string, sketch binary").collect()
+    rows = distinct_rows([(r["label"], r["words"], bytes(r["sketch"])) for r in found])
+    y = np.array([t for t, _ in rows], float)
     share = (y.sum() + 0.5) / (len(y) + 1)
     bias = float(np.log(share / (1 - share)))
     if not 0 < y.sum() < len(y):
         return {}, {}, bias
     # Documents are taken one after another, so that only counts of what can matter are held.
-    own_features = lambda r: {f for w in r["words"].split() for f in features(w)}
+    own_features = lambda words: features(set(words.split()))
     inside, overall = Counter(), Counter()
-    for r in rows:
-        if r["label"]:
-            inside.update(own_features(r))
-    enough = max(3, least * y.sum())
-    inside = Counter({f: n for f, n in inside.items() if n >= enough})
-    for r in rows:
-        overall.update(f for f in own_features(r) if f in inside)
+    for t, words in rows:
+        if t:
+            inside.update(own_features(words))
+    inside = Counter({f: n for f, n in inside.items() if n >= 3})
+    for _, words in rows:
+        overall.update(f for f in own_features(words) if f in inside)
+    inside_names = list(inside)
+    counts = np.array([[inside[f], overall[f]] for f in inside_names], float).reshape(-1, 2)
+    surely = dict(zip(inside_names, _telling(counts[:, 0], counts[:, 1], share) >= unlikely))
+    inside = Counter({f: n for f, n in inside.items() if surely[f]})
     kept = {f for f, n in inside.items() if n / overall[f] >= min(0.9, 3 * share)}
     # A beginning counts only where it stands for several words and for more than its longer forms.
     word, longer = Counter(), Counter()
+    shorter = lambda f: f[:-2] + f[-1] if f[-1].isdigit() else f[:-1]
     for f, n in inside.items():
         if f[0] == "=":
-            for b in features(f[1:])[1:]:
+            for b in stems(f[1:]):
                 word[b] = max(word[b], n)
         else:
-            longer[f[:-1]] = max(longer[f[:-1]], n)
+            longer[shorter(f)] = max(longer[shorter(f)], n)
     names = sorted(f for f in kept if f[0] == "=" or inside[f] >= 1.5 * word[f] and longer[f] < 0.95 * inside[f])
     index = {f: i for i, f in enumerate(names)}
-    pairs = [(i, index[f]) for i, r in enumerate(rows) for f in sorted(own_features(r)) if f in index]
+    pairs = [(i, index[f]) for i, (_, words) in enumerate(rows) for f in sorted(own_features(words)) if f in index]
     w, doc, feat = np.zeros(len(names)), np.array([p[0] for p in pairs], int), np.array([p[1] for p in pairs], int)
     speed, memory, b_memory = np.zeros(len(names)), np.zeros(len(names)), 0.0
     for _ in range(rounds):
@@ -291,13 +387,17 @@ def fit(labelled: DataFrame, text: str, label: str, model: np.ndarray, least: fl
         w = np.sign(w) * np.maximum(np.abs(w) - 0.0005, 0)
         b_memory += wrong.sum() ** 2
         bias -= 0.5 * wrong.sum() / np.sqrt(b_memory + 1e-6)
-    alone = {f: float(np.log((inside[f] + 0.5) / (overall[f] - inside[f] + 2))) for f in names}
+    # What one feature tells alone is taken one and a half standard errors lower than counted.
+    counted = {f: (inside[f] + 0.5, overall[f] - inside[f] + 2) for f in names}
+    alone = {f: float(np.log(x / y) - 1.5 * np.sqrt(1 / x + 1 / y)) for f, (x, y) in counted.items()}
     return {f: float(w[i]) for f, i in index.items() if w[i]}, {f: z for f, z in alone.items() if z > 0}, float(bias)
 
 
 def score(df: DataFrame, text: str, model: np.ndarray, weights: dict[str, float], alone: dict[str, float], bias: float, name: str = "score") -> DataFrame:
     """Add the probability of label 1 from the restored words of the whole text, and them, those with weight, as ``evidence``.
 
+    Columns of those two names are replaced. Of readings that weigh the same the first in the order of LETTERS counts.
+
     It is that of the model, or that which the most telling word has alone, if that is higher: one word is enough,
     though most documents that the model has learned from hold several.
     """
@@ -307,7 +407,8 @@ def score(df: DataFrame, text: str, model: np.ndarray, weights: dict[str, float]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table_, own, single = shared.value
         restorer = Restorer(table_)
-        judged: dict[str, float] = {}
+        known = {f.rstrip("23456789") for f in (*own, *single)}
+        judged: dict[str, bool] = {}
         for batch in batches:
             for part in steps(batch, text):
                 z, said = [], []
@@ -316,9 +417,9 @@ def score(df: DataFrame, text: str, model: np.ndarray, weights: dict[str, float]
                 for words in restorer.words([t or "" for t in part.column(part.schema.get_field_index(text)).to_pylist()]):
                     for w in words:
                         if w not in judged:
-                            judged[w] = float(any(f in own or f in single for f in features(w)))
+                            judged[w] = "=" + w in known or any(b in known for b in stems(w))
                     marked = sorted(w for w in words if judged[w])
-                    told = sorted({f for w in marked for f in features(w)})
+                    told = sorted(features(set(marked)))
                     z.append(max(bias + sum(own.get(f, 0.0) for f in told), max((single[f] for f in told if f in single), default=bias)))
                     said.append(marked)
                 p = 1 / (1 + np.exp(-np.clip(np.array(z, float), -60, 60)))
@@ -335,6 +436,6 @@ def op1_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = language_model(count_trigrams(docs, "text"))
-    sample = draw(table(spark, sf_dir, "labels"), docs, "toxic", fold("doc_id", 3) != 1, SAMPLE)
+    sample = draw(table(spark, sf_dir, "labels"), docs, "toxic", fold("doc_id", 3) != 1, SAMPLE, ONE, TOTAL)
     scored = score(docs, "text", model, *fit(sample, "text", "label", model))
     return scored.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.array_join("evidence", " ").alias("evidence"))
