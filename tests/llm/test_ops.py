@@ -619,6 +619,30 @@ def test_shards_grow_by_moves_into_the_new_one(spark, docs, none):
         op9_sharding.assign_shards(docs, "doc_id", [])
 
 
+def test_sharding_equals_sql(spark, duck):
+    got = registry.queries()["op9_rendezvous_shards"](spark, DATA).toPandas()
+    want = duck.sql(registry.oracle_sql()["op9_rendezvous_shards"]).df()
+    order = sorted(got.columns)
+    assert sorted(map(tuple, got[order].itertuples(index=False))) == sorted(map(tuple, want[order].itertuples(index=False)))
+
+
+def test_sharding_query_on_odd_rows(spark, docs, none, tmp_path, monkeypatch):
+    monkeypatch.setattr("tidewell.llm.frames.RUN", 4)
+    more = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(77, "again")] * 23, "doc_id long, text string"))
+    more.write.parquet(str(tmp_path / "documents.parquet"))
+    rows = op9_sharding.op9_rendezvous_shards(spark, str(tmp_path)).collect()
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in rows) == Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in more.collect())
+    own = defaultdict(list)
+    for r in rows:
+        own[r["shard"]].append(r["slot"])
+        draws = [int(hashlib.md5(f"17|{i}|{'n' if r['doc_id'] is None else 'k' + str(r['doc_id'])}".encode()).hexdigest()[:13], 16) for i in range(9)]
+        assert (r["shard"], r["grown_shard"]) == (int(np.argmax(draws[:8])), int(np.argmax(draws)))
+    assert all(sorted(v) == list(range(len(v))) for v in own.values())
+    none.select("doc_id", "text").write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert op9_sharding.op9_rendezvous_shards(spark, str(tmp_path / "none")).count() == 0
+    assert number_in_groups(none.select("doc_id", "shard"), ["shard"], ["doc_id"], "slot").count() == 0
+
+
 def test_sharding_query(spark, duck):
     rows = registry.queries()["op9_rendezvous_shards"](spark, DATA).collect()
     texts = dict(duck.sql("SELECT doc_id, text FROM documents").fetchall())

@@ -28,19 +28,26 @@ def free_names(df: DataFrame, *names: str) -> list[str]:
     return names
 
 
+#: A run of equal rows is dealt out in pieces of so many numbers.
+RUN = 1 << 16
+
+
 def number_in_groups(df: DataFrame, group: list[str], order: list[str], name: str, buckets: int = 4096) -> DataFrame:
     """Add ``name``: gapless numbers from 0 within each group, though one group may hold most rows.
 
     Equal rows are counted first and numbered as a run, so a row that repeats without bound is one row
-    while it is dealt out. A group is split into ``buckets`` by a hash of ``order``; rows are numbered in their
-    bucket, behind the rows of all earlier buckets. ``df`` should be a narrow table that is cheap to read twice.
-    The offsets are one row for each group and bucket; Spark broadcasts them only if they prove small.
+    while it is dealt out; runs of more than RUN are then dealt out anew, a piece a row. A group is split into
+    ``buckets`` by a hash of ``order``; rows are numbered in their bucket, behind the rows of all earlier buckets.
+    ``df`` should be a narrow table that is cheap to read twice. The offsets are one row for each group and bucket;
+    Spark broadcasts them only if they prove small.
     """
     keys = [*group, *(c for c in order if c not in group)]
     rest = [F.first(c).alias(c) for c in df.columns if c not in keys]
-    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *rest).withColumn("_b", F.pmod(F.xxhash64(*order), F.lit(buckets)))
+    hashed = F.conv(F.substring(F.md5(F.concat_ws("|", *(F.col(c).cast("string") for c in order))), 1, 8), 16, 10)
+    bucket = (hashed.cast("long") % buckets).alias("_b")
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *rest).withColumn("_b", bucket)
     start = (
-        df.withColumn("_b", F.pmod(F.xxhash64(*order), F.lit(buckets)))
+        df.withColumn("_b", bucket)
         .groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_m"))
         .withColumn("_from", F.sum("_m").over(Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)))
     )
@@ -48,8 +55,14 @@ def number_in_groups(df: DataFrame, group: list[str], order: list[str], name: st
     here = Window.partitionBy(*group, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     placed = counted.withColumn("_at", F.coalesce(F.sum("_n").over(here), F.lit(0)))
     same = [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(group)]
-    joined = placed.join(start, [*same, F.col("_b") == F.col("_gb")])
-    return joined.select(*df.columns, F.explode(F.sequence(F.col("_from") + F.col("_at"), F.col("_from") + F.col("_at") + F.col("_n") - 1)).alias(name))
+    joined = placed.join(start, [*same, F.col("_b") == F.col("_gb")]).withColumn("_first", F.col("_from") + F.col("_at"))
+    numbers = lambda first, n: F.explode(F.sequence(first, first + n - 1)).alias(name)
+    short = joined.where(F.col("_n") <= RUN).select(*df.columns, numbers(F.col("_first"), F.col("_n")))
+    if df.groupBy(*keys).count().where(F.col("count") > RUN).isEmpty():
+        return short
+    piece = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(RUN).cast("long"))).alias("_piece")
+    pieces = joined.where(F.col("_n") > RUN).select(*df.columns, "_first", "_n", piece).repartition(F.col("_first") + F.col("_piece"))
+    return short.unionByName(pieces.select(*df.columns, numbers(F.col("_first") + F.col("_piece"), F.least(F.lit(RUN), F.col("_n") - F.col("_piece")))))
 
 
 def posterior_floor(n: int, threshold: float, tolerance: float) -> int:

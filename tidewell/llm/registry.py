@@ -36,4 +36,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_winnowing": op8_decontamination.ORACLE}
+    return {"op8_winnowing": op8_decontamination.ORACLE, "op9_rendezvous_shards": op9_sharding.ORACLE}
