@@ -28,8 +28,10 @@ VALUES = 128
 BANDS, ROWS = 32, 4
 #: After so many values a pair is judged.
 STAGES = (16, 32, 64, 128)
-#: Rows of a block. A larger bucket or cluster is dealt out as pairs of blocks, so a task holds two at most.
-BLOCK = 4096
+#: Rows of a block, and 5-grams of its sets. A larger bucket or cluster is dealt out as pairs of blocks, so a task holds two at most.
+BLOCK, GRAMS = 2048, 4 << 20
+#: Rows of a block whose pairs are judged at once.
+STRIP = 256
 _RNG = np.random.default_rng(2)
 _A = _RNG.integers(0, 1 << 32, VALUES, dtype=np.uint32) | np.uint32(1)
 _B = _RNG.integers(0, 1 << 32, VALUES, dtype=np.uint32)
@@ -110,12 +112,11 @@ def sketch(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     return docs.select(id_col, text, F.xxhash64(text).alias("__r")).mapInArrow(run, "doc long, r long, id binary, n long, bands array<long>, sig binary")
 
 
-def in_blocks(rows: DataFrame, key: str, size: Column, name: Column) -> DataFrame:
-    """Rows dealt to pairs of blocks of their key's group: adds ``i``, ``j`` and ``own``, whether the row is of block i.
+def in_blocks(rows: DataFrame, n: Column, name: Column) -> DataFrame:
+    """Rows dealt to pairs of the ``n`` blocks of their group: adds ``i``, ``j`` and ``own``, whether the row is of block i.
 
-    A group of up to BLOCK rows is the pair (0, 0). Of a larger one every pair of rows meets in one pair of blocks.
+    A group of one block is the pair (0, 0). Of a larger one every pair of rows meets in one pair of blocks.
     """
-    n = F.ceil(size / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64(name, F.lit(11)), n).cast("int")
     others = F.sequence(F.lit(0), n - 1)
     dealt = F.transform(others, lambda o: F.struct(F.least(o, mine).alias("i"), F.greatest(o, mine).alias("j"), (o >= mine).alias("own")))
@@ -225,33 +226,53 @@ def _shared(grams: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def verified(rows: DataFrame, text: str, threshold: float) -> DataFrame:
+def sets_of(texts: DataFrame, text: str) -> DataFrame:
+    """(cluster, blocks, id, grams): the 5-gram hashes of sets, once for each row. ``texts``: cluster, blocks, id, text.
+
+    A doc_id that repeats brings texts of other sets along; they are not meant.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in steps(batch, text):
+                get = lambda c: part.column(part.schema.get_field_index(c))  # noqa: E731, B023
+                grams, offsets = shingles(get(text))
+                meant = np.array([have == want for have, want in zip(set_ids(grams, offsets), get("id").to_pylist())], bool)
+                rows = pa.array(np.flatnonzero(meant))
+                own = [grams[offsets[k] : offsets[k + 1]].tobytes() for k in np.flatnonzero(meant)]
+                yield pa.RecordBatch.from_arrays([*(get(c).take(rows) for c in ("cluster", "blocks", "id")), pa.array(own, pa.binary())], names=["cluster", "blocks", "id", "grams"])
+
+    return texts.select("cluster", "blocks", "id", text).mapInArrow(run, "cluster binary, blocks int, id binary, grams binary")
+
+
+def verified(rows: DataFrame, threshold: float) -> DataFrame:
     """(id, root, links): exact links of each set within its pair of blocks, and the component it is in there.
 
-    ``rows``: cluster, i, j, own, id and the text of one document of each set.
+    ``rows``: cluster, i, j, own, id and grams. Of rows of one set one counts.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups(batches, ["cluster", "i", "j"]):
-            grams, offsets = shingles(group[text].combine_chunks())
-            wanted = group["id"].to_pylist()
-            # A doc_id that repeats brings texts of other sets along; they are not meant, and of equal ones one is.
             seen: dict[bytes, int] = {}
-            for k, (have, want) in enumerate(zip(set_ids(grams, offsets), wanted)):
-                if have == want:
-                    seen.setdefault(want, k)
-            picked = list(seen.values())
-            if len(picked) < 2:
+            for k, name in enumerate(group["id"].to_pylist()):
+                seen.setdefault(name, k)
+            if len(seen) < 2:
                 continue
-            ids = [wanted[k] for k in picked]
-            own = [grams[offsets[k] : offsets[k + 1]] for k in picked]
-            n = np.array([len(g) for g in own], np.float64)
-            common = _shared(np.concatenate(own), np.r_[0, np.cumsum(n)].astype(np.int64))
-            linked = common >= threshold * (n[:, None] + n[None, :] - common) - 1e-9
+            ids, picked = list(seen), list(seen.values())
+            raw = group["grams"].take(pa.array(picked)).combine_chunks()
+            data, offsets = buffers(raw)
+            n = np.diff(offsets) // 8
+            common = _shared(data.view(np.uint64), offsets // 8)
+            split = group["i"][0].as_py() != group["j"][0].as_py()
+            side = np.array(group["own"].to_pylist())[picked] if split else None
+            linked = np.zeros((len(ids), len(ids)), bool)
+            for at in range(0, len(ids), STRIP):
+                part = slice(at, at + STRIP)
+                linked[part] = common[part] >= threshold * (n[part, None] + n[None, :] - common[part]) - 1e-9
+                if split:
+                    linked[part] &= side[part, None] != side[None, :]
+            del common
             np.fill_diagonal(linked, False)
-            if group["i"][0].as_py() != group["j"][0].as_py():
-                side = np.array(group["own"].to_pylist())[picked]
-                linked &= side[:, None] != side[None, :]
             root = np.arange(len(ids))
             left = np.ones(len(ids), bool)
             for k in sorted(range(len(ids)), key=lambda k: ids[k]):
@@ -264,37 +285,39 @@ def verified(rows: DataFrame, text: str, threshold: float) -> DataFrame:
                 root[reach], left = k, left & ~reach
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array([ids[k] for k in root], pa.binary()), pa.array(linked.sum(1).astype(np.int64))], names=["id", "root", "links"])
 
-    ordered = rows.select("cluster", "i", "j", "own", "id", text).repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+    ordered = rows.select("cluster", "i", "j", "own", "id", "grams").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
     return ordered.mapInArrow(run, "id binary, root binary, links long")
 
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
-    """One row a document: doc, r (a hash of its text), id (its set), class_id, n_links, n_copies.
+    """One row a document: doc, r (a hash of its text), id (its set), root (the class's set), class_id, n_links, n_copies.
 
-    ``class_id``: the least doc of all documents joined by links; ``n_links``: how many other texts (sets of
+    ``class_id``: the least doc of all documents joined by links (where ids repeat, of two classes perhaps); ``n_links``: how many other texts (sets of
     5-grams) are similar to this one; ``n_copies``: documents with its very set. Null and wordless texts are
-    copies of each other and have no links.
+    copies of each other and have no links. A null id is one like others; an empty table gives an empty one.
     """
     rows = materialize(sketch(docs, id_col, text))
-    sets = materialize(rows.groupBy("id").agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("n_copies"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
+    sets = materialize(rows.groupBy("id").agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("n_copies"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
     member = sets.select("id", F.explode("bands").alias("h"))
     found = member.groupBy("h").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(5), "id")).alias("y")).where("size > 1")
     # Buckets of the very same sets need but one comparison.
     buckets = materialize(found.groupBy("size", "x", "y").agg(F.min("h").alias("h")).select("h", "size"))
     active = member.join(buckets, "h").join(sets.select("id", "sig"), "id")
-    edges = surviving(in_blocks(active, "h", F.col("size"), F.col("id")), threshold, tolerance)
+    edges = surviving(in_blocks(active, F.ceil(F.col("size") / BLOCK).cast("int"), F.col("id")), threshold, tolerance)
     clusters = materialize(components(edges).select(F.col("node").alias("id"), F.col("root").alias("cluster")))
-    sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+    members = clusters.join(sets.select("id", "doc", "n"), "id")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / GRAMS)).cast("int")
+    sizes = members.groupBy("cluster").agg(blocks.alias("blocks"))
     needed = clusters.join(sizes, "cluster").join(sets.select("id", "doc"), "id")
     texts = docs.select(F.col(id_col).alias("_doc"), F.col(text).alias("_text")).join(needed, F.col("_doc").eqNullSafe(F.col("doc")))
-    linked = materialize(verified(in_blocks(texts, "cluster", F.col("size"), F.col("id")), "_text", threshold))
+    linked = materialize(verified(in_blocks(sets_of(texts, "_text"), F.col("blocks"), F.col("id")), threshold))
     links = linked.groupBy("id").agg(F.sum("links").alias("links"))
-    split = sizes.where(F.col("size") > BLOCK)
+    split = sizes.where("blocks > 1")
     roots = linked.select("id", "root") if split.isEmpty() else components(linked.select(F.col("id").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("id"), "root")
     placed = sets.select("id", "doc", "n_copies").join(roots, "id", "left").join(links, "id", "left").withColumn("root", F.coalesce("root", "id"))
     placed = materialize(placed.select("id", "doc", "n_copies", "root", F.coalesce("links", F.lit(0)).alias("n_links")))
     heads = placed.groupBy("root").agg(F.min("doc").alias("class_id"))
-    named = placed.join(heads, "root").select("id", "class_id", "n_links", "n_copies")
+    named = placed.join(heads, "root").select("id", "root", "class_id", "n_links", "n_copies")
     return rows.select("doc", "r", "id").join(named, "id")
 
 
@@ -304,10 +327,10 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     All columns stay. A null id is the least of all; null, empty and wordless texts are one class, as copies; rows that
     repeat are one row, whichever; an empty table stays empty.
     """
-    found = materialize(similar(docs, id_col, text).select("doc", "r", "class_id"))
+    found = materialize(similar(docs, id_col, text).select("doc", "r", "root", "class_id"))
     heads = found.where(F.col("doc").eqNullSafe(F.col("class_id")))
     key, r, n = free_names(docs, "__doc", "__r", "__n")
-    keep = materialize(heads.groupBy(F.col("class_id").alias(key)).agg(F.min("r").alias(r), F.count(F.lit(1)).alias(n)))
+    keep = materialize(heads.groupBy("root").agg(F.first("doc").alias(key), F.min("r").alias(r), F.count(F.lit(1)).alias(n)).drop("root"))
     row = (F.col(id_col).eqNullSafe(F.col(key))) & (F.xxhash64(text) == F.col(r))
     kept = docs.join(keep, row, "left_semi")
     # Rows repeat only if some id does; then equal ones are made one.
