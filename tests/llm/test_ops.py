@@ -245,21 +245,93 @@ def removed(texts, n=100):
     return out
 
 
-def test_suffixes_equal_sorting():
+def held_to_sorting(strings, limit):
+    """Order and common prefixes against plain sorting; returns the bytes that went to files."""
+    text = b"".join(s + b"\0" for s in strings)
+    places, common = [], []
+    spilled = suffixes.sort_suffixes(np.frombuffer(text, np.uint8), limit, lambda at, lcp: (places.extend(at.tolist()), common.extend(lcp.tolist())))
+    tails = {}
+    at = 0
+    for s in strings:
+        tails |= {at + k: (s[k:] + b"\0", at + len(s)) for k in range(len(s))}
+        at += len(s) + 1
+    assert places == sorted(tails, key=tails.get, reverse=True)
+    for a, b, n in zip(places, places[1:], common[1:]):
+        x, y = tails[a][0][:-1], tails[b][0][:-1]
+        assert x[:n] == y[:n] and (len(x) == n or len(y) == n or x[n] != y[n])
+    return spilled
+
+
+def test_suffixes_equal_sorting(monkeypatch):
     rng = np.random.default_rng(5)
-    for limit in (60, 1 << 28):
-        strings = [bytes(rng.integers(97, 100, rng.integers(1, 40)).astype(np.uint8)) for _ in range(12)]
-        text = b"".join(s + b"\0" for s in strings)
-        tails = sorted((text[i : text.index(b"\0", i) + 1], i) for i in range(len(text)) if text[i])
-        got = np.concatenate([at for at, _ in suffixes.Sorter(np.frombuffer(text, np.uint8), limit).suffixes()])
-        assert got.tolist() == [i for _, i in tails]
-        late, seen = [], set()
-        for i in range(len(text)):
-            s = text[i : i + 4]
-            if len(s) == 4 and 0 not in s:
-                late += [i] * (s in seen)
-                seen.add(s)
-        assert suffixes.repeats(np.frombuffer(text, np.uint8), 4, limit).tolist() == late
+    for stretch in (1 << 16, 50, 3):
+        monkeypatch.setattr(suffixes, "STRETCH", stretch)
+        monkeypatch.setattr(suffixes, "WAITING", max(2, stretch // 4))
+        for limit in (60, 1 << 28):
+            for _ in range(12):
+                strings = [bytes(rng.integers(97, 97 + rng.integers(2, 5), rng.integers(1, 40)).astype(np.uint8)) for _ in range(rng.integers(1, 13))]
+                held_to_sorting(strings, limit)
+                text = b"".join(s + b"\0" for s in strings)
+                late, seen = [], set()
+                for i in range(len(text)):
+                    s = text[i : i + 4]
+                    if len(s) == 4 and 0 not in s:
+                        late += [i] * (s in seen)
+                        seen.add(s)
+                assert suffixes.repeats(np.frombuffer(text, np.uint8), 4, limit).tolist() == late
+            held_to_sorting([b"a" * 90, b"a" * 90, b"ab" * 60, b"ba" * 61], limit)
+
+
+def test_common_prefixes_beyond_16_bits():
+    text = b"x" * 70_000 + b"\0" + b"x" * 70_000 + b"\0"
+    assert len(suffixes.repeats(np.frombuffer(text, np.uint8), 100)) == 2 * (70_000 - 99) - 1
+
+
+def test_recursion_goes_down_several_times(monkeypatch):
+    """Words in ever new order: names repeat in the reduced strings too."""
+    depths, make = [], suffixes.Sorter.__init__
+    monkeypatch.setattr(suffixes.Sorter, "__init__", lambda self, text, space, largest, depth=0: (depths.append(depth), make(self, text, space, largest, depth))[1])
+    rng = np.random.default_rng(9)
+    parts = [bytes(rng.integers(97, 123, 6).astype(np.uint8)) for _ in range(12)]
+    phrases = [b" ".join(parts[k] for k in rng.integers(0, 12, 8)) for _ in range(6)]
+    held_to_sorting([b" ".join(phrases[k] for k in rng.integers(0, 6, 9)) for _ in range(25)], 1 << 28)
+    assert max(depths) >= 3
+
+
+def test_a_sort_of_far_more_than_its_memory(monkeypatch):
+    """The text alone has ten times the memory limit and more; what numpy holds at once is bounded, however long the text."""
+    import tracemalloc
+
+    rng = np.random.default_rng(12)
+    monkeypatch.setattr(suffixes, "STRETCH", 1 << 13)
+    monkeypatch.setattr(suffixes, "WAITING", 1 << 13)
+    limit, peaks = 1 << 17, []
+    for many in (300, 900):
+        base = [rng.integers(97, 107, 400).astype(np.uint8).tobytes() for _ in range(many)]
+        strings = [b[: int(rng.integers(200, 400))] + rng.integers(97, 107, 40).astype(np.uint8).tobytes() for b in base for _ in range(6)]
+        text = np.frombuffer(b"".join(s + b"\0" for s in strings), np.uint8)
+        want = suffixes.repeats(text, 100, 1 << 30)
+        space = suffixes.Space(limit)
+        tracemalloc.start()
+        try:
+            # What is in files is mapped, and not traced; the text was made before.
+            n = sum(len(at) for at in suffixes.late_places(text, 100, space))
+            peaks.append(tracemalloc.get_traced_memory()[1])
+            spilled = space.spilled
+        finally:
+            tracemalloc.stop()
+            space.close()
+        assert n == len(want) > 0 and spilled > 20 * len(text)
+    assert len(text) >= 10 * limit and peaks[1] < 1.2 * peaks[0] < 2 * len(text), peaks
+
+
+def test_a_shard_in_files_gives_the_same(spark):
+    rng = np.random.default_rng(13)
+    base = [rng.integers(97, 107, 150).astype(np.uint8).tobytes() for _ in range(40)]
+    rows = [(0, d, 0, 0, base[d % 40][: 110 + d % 40] + bytes([97 + d % 9])) for d in range(400)]
+    df = spark.createDataFrame(rows, "shard long, doc long, tie long, lo long, body binary")
+    found = [sorted(map(tuple, op3_suffix_dedup.sort_shards(df, 100, memory).collect())) for memory in (1 << 28, 4000)]
+    assert found[0] == found[1] and found[0]
 
 
 def test_repeats_equal_brute_force(spark, docs, none):
@@ -286,6 +358,9 @@ def test_a_hot_anchor_is_split(spark, monkeypatch):
     docs = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "doc long, tie long, text string").repartition(4)
     dealt, sort_shards = [], op3_suffix_dedup.sort_shards
     monkeypatch.setattr(op3_suffix_dedup, "sort_shards", lambda bodies, *a: dealt.append(bodies) or sort_shards(bodies, *a))
+    heavy, compare = [], op3_suffix_dedup.compare_stretches
+    monkeypatch.setattr(op3_suffix_dedup, "HEAVY", 10)
+    monkeypatch.setattr(op3_suffix_dedup, "compare_stretches", lambda rows, anchors=None: heavy.append(anchors) or compare(rows, anchors))
     starts = defaultdict(set)
     for r in op3_suffix_dedup.repeated(docs, shard=3000, memory=2000).collect():
         starts[r["doc"]].update(range(r["lo"], r["hi"] + 1))
@@ -294,6 +369,7 @@ def test_a_hot_anchor_is_split(spark, monkeypatch):
         own = [t[k : k + 100] for k in range(len(t) - 99)]
         assert starts[i] == {k for k, x in enumerate(own) if x in seen or x in own[:k]}, i
         seen.update(own)
+    assert len(heavy[0])
     sizes = [r["n"] for r in dealt[0].groupBy("shard").agg(F.sum(F.length("body")).alias("n")).collect()]
     assert max(sizes, default=0) <= 4 * 3000
 

@@ -6,6 +6,10 @@ with an anchor of their own can't repeat and are dropped; of stretches with equa
 it whole. What is left, different stretches around one anchor, is dealt into shards by anchor, so all places of
 any string meet in one shard, and there the induced suffix order with its common prefixes tells the repeats. An
 anchor whose stretches would fill a shard alone is hot: its strings are dealt out one by one, by their own hash.
+
+Stretches are compared by two 64-bit hashes, of the anchor and of the whole. They have fewer than 170 bytes, far
+fewer than strings that defeat sums modulo 2^64 need; of 10^12 different stretches of one anchor the odds that any
+two are taken for equal are below 3 per cent, and anchors keep them far apart.
 """
 
 from __future__ import annotations
@@ -17,14 +21,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.suffixes import repeats
+from tidewell.llm.suffixes import Space, late_places
 from tidewell.llm.vec import Substrings, buffers, mix, steps
 from tidewell.tables import materialize, table
 
 LENGTH = 100
 ANCHOR = 32
 #: Bytes of text that a shard is meant to hold; an anchor with more than that is not dealt into shards.
-SHARD = 2 << 20
+SHARD = 4 << 20
+#: Memory of one sort; the rest is in files of the task's machine.
+MEMORY = 48 << 20
+#: Different stretches of one anchor among LOCAL of a task that make it heavy, and heavy anchors that are known at most.
+HEAVY, HEAVY_ANCHORS = 32, 100_000
 #: Stretches of one task that are compared with each other before they leave it.
 LOCAL = 400_000
 #: Stretches of hot anchors whose strings are hashed at once.
@@ -124,11 +132,52 @@ def find_stretches(docs: DataFrame, length: int, anchor: int) -> DataFrame:
     return docs.mapInArrow(run, _SCHEMA)
 
 
-def compare_stretches(rows: DataFrame) -> DataFrame:
+def heavy_anchors(docs: DataFrame, length: int, anchor: int) -> np.ndarray:
+    """Anchors that many different stretches have, the most frequent first to be kept, in order: a bounded number.
+
+    A passage in one document of a hundred or more is heavy in every task. Their stretches differ, as is known then, so
+    they need not meet to show it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            a, b = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+            order = np.lexsort((b, a))
+            a, b = a[order], b[order]
+            new = np.ones(len(a), bool)
+            new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+            own, many = np.unique(a[new], return_counts=True)
+            keep = many >= HEAVY
+            return pa.RecordBatch.from_arrays([pa.array(own[keep].view(np.int64)), pa.array(many[keep].astype(np.int64))], names=["anchor", "n"])
+
+        held, n = [], 0
+        for batch in batches:
+            for part in steps(batch, "text"):
+                _, _, _, a, b = stretches(*buffers(part.column(part.schema.get_field_index("text"))), length, anchor)
+                held.append((a, b))
+                n += len(a)
+                if n >= LOCAL:
+                    yield told(held)
+                    held, n = [], 0
+        if held:
+            yield told(held)
+
+    found = docs.mapInArrow(run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+    return np.sort(np.array([r["anchor"] for r in found.orderBy(F.col("n").desc(), "anchor").limit(HEAVY_ANCHORS).collect()], np.int64))
+
+
+def compare_stretches(rows: DataFrame, heavy: np.ndarray | None = None) -> DataFrame:
     """Kind 1: starts that repeat an equal stretch, kind 2: stretches that share their anchor with a different one.
 
-    Rows come sorted by anchor, content and place; a task keeps two rows of what it has seen, however long a run is.
+    Rows are dealt by anchor, those of ``heavy`` anchors, which are known to have different ones, by content too. They
+    come sorted by anchor, content and place; a task keeps two rows of what it has seen, however long a run is.
     """
+    known = rows.sparkSession.sparkContext.broadcast(heavy if heavy is not None else np.zeros(0, np.int64))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            apart = np.isin(batch.column(1).to_numpy(), known.value) & (batch.column(0).to_numpy() == 0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.where(apart, batch.column(2).to_numpy(), 0))], names=[*_FIELDS, "deal"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = None  # the first row of the content last seen
@@ -162,7 +211,7 @@ def compare_stretches(rows: DataFrame) -> DataFrame:
                 f = fresh[0]
                 before = np.r_[told is not None and f[0] == told, f[1:] == f[:-1]]
                 after = np.r_[f[1:] == f[:-1], False]
-                differs = before | after
+                differs = before | after | np.isin(f, known.value)
                 if not differs[-1]:
                     waiting = fresh[:, -1]
                 else:
@@ -170,8 +219,11 @@ def compare_stretches(rows: DataFrame) -> DataFrame:
                 if differs.any():
                     yield _batch(2, *fresh[:, differs])
 
-    ordered = rows.repartition("anchor").sortWithinPartitions("anchor", "body", "doc", "tie", "lo")
-    return ordered.mapInArrow(run, _SCHEMA)
+    if len(known.value):
+        rows = rows.mapInArrow(deal, f"{_SCHEMA}, deal long").repartition("anchor", "deal").drop("deal")
+    else:
+        rows = rows.repartition("anchor")
+    return rows.sortWithinPartitions("anchor", "body", "doc", "tie", "lo").mapInArrow(run, _SCHEMA)
 
 
 def cut_stretches(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -227,60 +279,95 @@ def hash_starts(bodies: DataFrame, length: int) -> DataFrame:
     return bodies.mapInArrow(run, _SCHEMA)
 
 
-def sort_shards(bodies: DataFrame, length: int, memory: int) -> DataFrame:
-    """(doc, tie, lo, hi): starts of strings that also begin earlier in their shard, from its sorted suffixes."""
-
-    def settle(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(held)
-        doc, tie, lo = (rows[c].to_numpy() for c in ("doc", "tie", "lo"))
-        body = rows["body"].combine_chunks()
-        data, offsets = buffers(body)
-        # Rows are in order of place. A document that is twice in the table brings its stretches twice: one is meant.
-        keep = np.ones(len(doc), bool)
-        keep[1:] = (doc[1:] != doc[:-1]) | (tie[1:] != tie[:-1]) | (lo[1:] != lo[:-1])
-        if not keep.all():
-            rows = rows.filter(pa.array(keep))
-            doc, tie, lo = doc[keep], tie[keep], lo[keep]
-            data, offsets = buffers(rows["body"].combine_chunks())
+class Shard:
+    """The text of one shard and where its strings are from; beyond a part of the memory both go to files as they come."""
+
+    def __init__(self, memory: int):
+        self.space, self.room = Space(memory), memory // 8
+        self.parts: list[list[np.ndarray]] = [[], []]
+        self.files = ["", ""]
+        self.size, self.held, self.last = 0, 0, None
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        """Rows shard, doc, tie, lo, body in order of place. A document that is twice in the table brings its stretches twice: one is meant."""
+        place = np.stack([batch.column(i).to_numpy() for i in (1, 2, 3)], 1)
+        keep = np.ones(len(place), bool)
+        keep[1:] = (place[1:] != place[:-1]).any(1)
+        keep[0] = self.last is None or (place[0] != self.last).any()
+        self.last = place[-1]
+        data, offsets = buffers(batch.column(4).filter(pa.array(keep)))
         size = np.diff(offsets)
         # Bytes of UTF-8 are below 255, so one more than each fits a byte and 0 is free to close a string.
         text = np.zeros(len(data) + len(size), np.uint8)
         begin = offsets[:-1] + np.arange(len(size))
         text[np.arange(len(data)) + np.repeat(np.arange(len(size)), size)] = data + 1
-        late = repeats(text, length, memory)
-        if len(late):
-            of = np.searchsorted(begin, late, "right") - 1
-            at = lo[of] + late - begin[of]
-            doc, tie, at, to = _joined(doc[of], tie[of], at, at)
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (doc, tie, at, to)], names=["doc", "tie", "lo", "hi"])
+        for k, x in enumerate((text, np.c_[place[keep], begin + self.size])):
+            self.parts[k].append(x)
+            self.held += x.nbytes
+        self.size += len(text)
+        if self.held > self.room:
+            self._flush()
+
+    def _flush(self) -> None:
+        for k in (0, 1):
+            self.files[k] = self.files[k] or self.space.path()
+            with open(self.files[k], "ab") as out:
+                for x in self.parts[k]:
+                    out.write(np.ascontiguousarray(x).tobytes())
+            self.parts[k] = []
+        self.space.spilled += self.held
+        self.held = 0
+
+    def _whole(self, k: int, kind: type) -> np.ndarray:
+        if not self.files[k]:
+            return np.concatenate(self.parts[k]) if k == 0 else np.concatenate(self.parts[k]).astype(kind)
+        self._flush()
+        return np.asarray(np.memmap(self.files[k], kind, "r"))
+
+    def repeats(self, length: int) -> Iterator[pa.RecordBatch]:
+        """(doc, tie, lo, hi): starts of strings that also begin earlier in the shard."""
+        try:
+            text, rows = self._whole(0, np.uint8), self._whole(1, np.int64).reshape(-1, 4)
+            begin = rows[:, 3]
+            for late in late_places(text, length, self.space):
+                own = rows[np.searchsorted(begin, late, "right") - 1]
+                at = own[:, 2] + late - own[:, 3]
+                doc, tie, at, to = _joined(own[:, 0], own[:, 1], at, at)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (doc, tie, at, to)], names=["doc", "tie", "lo", "hi"])
+        finally:
+            self.space.close()
+
+
+def sort_shards(bodies: DataFrame, length: int, memory: int) -> DataFrame:
+    """(doc, tie, lo, hi): starts of strings that also begin earlier in their shard, from its sorted suffixes. A sort takes some ``memory``, however large its shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        last = None
+        own, last = None, None
         for batch in batches:
             shard = batch.column(0).to_numpy()
             cuts = [0, *(np.flatnonzero(shard[1:] != shard[:-1]) + 1).tolist(), len(shard)]
             for a, b in zip(cuts, cuts[1:]):
                 if a == b:
                     continue
-                if held and shard[a] != last:
-                    yield from settle(held)
-                    held = []
-                held.append(batch.slice(a, b - a))
+                if own is not None and shard[a] != last:
+                    yield from own.repeats(length)
+                    own = None
+                own = own or Shard(memory)
+                own.add(batch.slice(a, b - a))
                 last = shard[a]
-        if held:
-            yield from settle(held)
+        if own is not None:
+            yield from own.repeats(length)
 
     ordered = bodies.repartition("shard").sortWithinPartitions("shard", "doc", "tie", "lo")
     return ordered.mapInArrow(run, "doc long, tie long, lo long, hi long")
 
 
-def repeated(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, shard: int = SHARD, memory: int = 64 << 20) -> DataFrame:
+def repeated(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, shard: int = SHARD, memory: int = MEMORY) -> DataFrame:
     """(doc, tie, lo, hi): all starts of strings of ``length`` bytes that also begin at an earlier place. ``docs``: doc, tie, text.
 
     Ranges may overlap. Rows with equal doc and tie are one document.
     """
-    compared = materialize(compare_stretches(find_stretches(docs, length, anchor)))
+    compared = materialize(compare_stretches(find_stretches(docs, length, anchor), heavy_anchors(docs, length, anchor)))
     marks = compared.where("kind = 1").select("doc", "tie", "lo", "hi")
     open_ = compared.where("kind = 2")
     total = open_.agg(F.sum(F.col("hi") - F.col("lo") + length)).first()[0] or 0

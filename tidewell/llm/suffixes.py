@@ -1,97 +1,209 @@
-"""Suffix array and common prefixes of one shard by induced sorting through disk-backed queues.
+"""Suffix order and common prefixes of one shard by external, recursive induced sorting.
 
 The text is many strings, each closed by a 0, which stands for an end of its own: ends are ordered by place and
-share nothing. Suffixes are sorted as in SA-IS: those at local minima (LMS) first, then all larger-than-next (L)
-suffixes are induced from smaller to larger first letter, then all smaller-than-next (S) ones from larger to
-smaller. Each first letter has a queue: letters in ascending order with first-in-first-out queues are a priority
-queue whose order is already known. A queue holds positions and their common prefix with the one before; what the
-memory limit doesn't hold is written to files. Whole stretches of a queue are induced at once with numpy.
+share nothing. Suffixes are sorted as in SA-IS. Those at local minima (LMS) come first: their stretches up to the next
+one are sorted by induction and named by rank, and the string of names is sorted by the same method, over and over,
+until all names differ. Then all larger-than-next (L) suffixes are induced from smaller to larger first letter, and
+all smaller-than-next (S) ones from larger to smaller.
+
+What induction puts forward goes through a priority queue: buckets of letters, first in first out, which are read in
+order. An entry is a position and its common prefix with the one before of its letter; common prefixes of names become
+those of letters on the way up. Text, types, names and all that a queue holds beyond the memory limit lie in files;
+numpy works on a bounded number of entries at once. So a shard may be far larger than the limit.
 """
 
 from __future__ import annotations
 
 import os
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 
-#: Entries that are induced at once.
-STRETCH = 1 << 16
-FAR = np.uint16(0xFFFF)
+#: Entries that are induced at once, and entries of a queue that wait to be dealt out.
+STRETCH, WAITING = 1 << 16, 1 << 14
+NONE = np.iinfo(np.int64).max
+_NOTHING = np.zeros(0, np.int64)
 
 
-class Store:
-    """The queues of one sort; they share a memory limit and a folder of the task's machine for the rest."""
+class Space:
+    """Memory up to a limit, and files of the task's own machine for the rest, which go when the sort ends or fails."""
 
-    def __init__(self, limit: int = 256 << 20):
-        self.limit, self.held, self.folder = limit, 0, None
-        self.queues: list[Queue] = []
+    def __init__(self, limit: int):
+        self.limit, self.spilled = limit, 0
+        self.folder: tempfile.TemporaryDirectory | None = None
+        self.files = 0
+        self.holders: list[Holder] = []
 
-    def queue(self) -> Queue:
-        self.queues.append(Queue(self))
-        return self.queues[-1]
-
-    def spill(self) -> None:
+    def path(self) -> str:
         if self.folder is None:
             self.folder = tempfile.TemporaryDirectory(prefix="suffixes-")
-        for q in sorted(self.queues, key=lambda q: -q.size)[: max(1, len(self.queues) // 8)]:
-            q.to_disk()
+        self.files += 1
+        return os.path.join(self.folder.name, str(self.files))
+
+    def array(self, n: int, kind: np.dtype | type) -> np.ndarray:
+        """Zeros, in memory if they take a small part of the limit."""
+        size = n * np.dtype(kind).itemsize
+        if size <= self.limit // 32:
+            return np.zeros(n, kind)
+        self.spilled += size
+        return np.asarray(np.memmap(self.path(), kind, "w+", shape=(n,)))
+
+    def chunks(self, n: int) -> Iterator[slice]:
+        for at in range(0, n, STRETCH):
+            yield slice(at, min(n, at + STRETCH))
+
+    def relieve(self) -> None:
+        """Where all that is held is beyond the limit, those that hold the most write it to their files."""
+        while sum(h.held for h in self.holders) > self.limit:
+            max(self.holders, key=lambda h: h.held).to_file()
 
     def close(self) -> None:
+        for h in self.holders:
+            h.shut()
         if self.folder is not None:
             self.folder.cleanup()
 
 
+class Holder:
+    """Sequences of (position, common prefix), by number, in the order in which they came: stretches of arrays in memory, or of one file."""
+
+    def __init__(self, space: Space, many: int):
+        self.space, self.held, self.file = space, 0, None
+        self.parts: list[list[tuple]] = [[] for _ in range(many)]
+        space.holders.append(self)
+
+    def put(self, b: int, at: np.ndarray, lcp: np.ndarray) -> None:
+        self.parts[b].append((at, lcp))
+        self.held += 16 * len(at)
+
+    def to_file(self) -> None:
+        """All that is in memory, so that no part of an array stays; a sequence's stretches are joined."""
+        if self.file is None:
+            self.file = open(self.space.path(), "w+b")  # noqa: SIM115
+        where = self.file.seek(0, os.SEEK_END)
+        for parts in self.parts:
+            k = next((i for i, p in enumerate(parts) if isinstance(p[0], np.ndarray)), len(parts))
+            if k < len(parts):
+                n = sum(len(p[0]) for p in parts[k:])
+                for i in (0, 1):
+                    for p in parts[k:]:
+                        self.file.write(np.ascontiguousarray(p[i]).data)
+                parts[k:] = [(where, n)]
+                where += 16 * n
+        self.space.spilled += self.held
+        self.held = 0
+
+    def _read(self, where: int, first: int, n: int, whole: int) -> tuple[np.ndarray, np.ndarray]:
+        out = []
+        for i in (0, 1):
+            self.file.seek(where + 8 * (i * whole + first))
+            out.append(np.frombuffer(self.file.read(8 * n), np.int64))
+        return out[0], out[1]
+
+    def take(self, b: int, back: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """A sequence from its beginning, or its stretches from the end ``back``, a bounded number at once; it is gone then."""
+        parts = self.parts[b]
+        while parts:
+            p = parts.pop(-1 if back else 0)
+            if isinstance(p[0], np.ndarray):
+                self.held -= 16 * len(p[0])
+                pieces = [(p[0][s : s + STRETCH], p[1][s : s + STRETCH]) for s in range(0, len(p[0]), STRETCH)]
+                yield from reversed(pieces) if back else pieces
+            else:
+                starts = range(0, p[1], STRETCH)
+                for s in reversed(starts) if back else starts:
+                    yield self._read(p[0], s, min(STRETCH, p[1] - s), p[1])
+
+    def many(self, b: int) -> int:
+        return sum(len(p[0]) if isinstance(p[0], np.ndarray) else p[1] for p in self.parts[b])
+
+    def shut(self) -> None:
+        if self.file is not None:
+            self.file.close()
+        self.held = 0
+
+    def done(self) -> None:
+        self.shut()
+        self.space.holders.remove(self)
+
+
 class Queue:
-    """Stretches of (position, common prefix) in order; read while it grows, and again from either end."""
-
-    def __init__(self, store: Store):
-        self.store, self.parts, self.size, self.path = store, [], 0, ""
-
-    def add(self, at: np.ndarray, lcp: np.ndarray) -> None:
-        if len(at):
-            self.parts.append((at, lcp))
-            self.size += at.nbytes + lcp.nbytes
-            self.store.held += at.nbytes + lcp.nbytes
-            if self.store.held > self.store.limit:
-                self.store.spill()
-
-    def to_disk(self) -> None:
-        if not self.path:
-            self.path = os.path.join(self.store.folder.name, f"q{id(self)}")
-        with open(self.path, "ab") as out:
-            for k, (at, lcp) in enumerate(self.parts):
-                if lcp is not None:
-                    where = out.tell()
-                    out.write(at.tobytes())
-                    out.write(lcp.tobytes())
-                    self.parts[k] = ((where, len(at)), None)
-        self.store.held -= self.size
-        self.size = 0
-
-    def part(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        at, lcp = self.parts[k]
-        if lcp is not None:
-            return at, lcp
-        where, n = at
-        with open(self.path, "rb") as inp:
-            inp.seek(where)
-            raw = inp.read(10 * n)
-        return np.frombuffer(raw, np.int64, n), np.frombuffer(raw, np.uint16, n, 8 * n)
-
-    def forward(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """All stretches, those too that are added meanwhile; small ones are joined."""
-        k = 0
-        while k < len(self.parts):
+    """A priority queue of (key, position, common prefix), first in first out within a key. Keys that are put in are never below the bucket that is read.
+
+    Keys are dealt into buckets of ``width``. What comes in is kept together for a while and dealt out in one go.
+    """
+
+    def __init__(self, space: Space, keys: int, width: int):
+        self.space, self.width = space, width
+        self.count = -(-keys // width)
+        self.store = Holder(space, self.count)
+        self.fresh: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.waiting = 0
+
+    def add(self, key: np.ndarray, at: np.ndarray, lcp: np.ndarray) -> None:
+        if len(key):
+            self.fresh.append((key // self.width, at, lcp))
+            self.waiting += len(key)
+            if self.waiting > WAITING:
+                self.deal()
+
+    def _gather(self) -> tuple[np.ndarray, ...]:
+        out = tuple(np.concatenate([f[i] for f in self.fresh]) for i in range(3)) if len(self.fresh) > 1 else self.fresh[0]
+        self.fresh = [out]
+        return out
+
+    def deal(self) -> None:
+        if not self.waiting:
+            return
+        bucket, at, lcp = self._gather()
+        order = np.argsort(bucket, kind="stable")
+        bucket, at, lcp = bucket[order], at[order], lcp[order]
+        cut = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)]
+        for a, b in zip(cut, cut[1:]):
+            self.store.put(int(bucket[a]), at[a:b], lcp[a:b])
+        self.fresh, self.waiting = [], 0
+        self.space.relieve()
+
+    def _claim(self, b: int) -> None:
+        """Move what waits for a bucket into it."""
+        if self.waiting:
+            bucket, at, lcp = self._gather()
+            own = bucket == b
+            if own.any():
+                self.store.put(b, at[own], lcp[own])
+                self.fresh = [(bucket[~own], at[~own], lcp[~own])]
+                self.waiting -= int(own.sum())
+
+    def stretches(self, b: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The entries of a bucket, those too that come in meanwhile, some at a time; small ones are joined; they are gone then."""
+        while True:
+            self._claim(b)
             got, n = [], 0
-            while k < len(self.parts) and (not got or n < STRETCH):
-                got.append(self.part(k))
-                n += len(got[-1][0])
-                k += 1
-            at, lcp = (np.concatenate([g[i] for g in got]) for i in (0, 1)) if len(got) > 1 else got[0]
-            for s in range(0, len(at), STRETCH):
-                yield at[s : s + STRETCH], lcp[s : s + STRETCH]
+            for part in self.store.take(b):
+                got.append(part)
+                n += len(part[0])
+                if n >= STRETCH:
+                    yield _joined(got)
+                    got, n = [], 0
+            if n:
+                yield _joined(got)
+            elif not self.waiting or not (self._gather()[0] == b).any():
+                return
+
+    def many(self, b: int) -> int:
+        self._claim(b)
+        return self.store.many(b)
+
+    def all_of(self, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """A bucket of few entries at once."""
+        return _joined(list(self.stretches(b)))
+
+
+def _joined(got: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    if len(got) < 2:
+        return got[0] if got else (_NOTHING, _NOTHING)
+    return np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
 
 
 def _range_min(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -110,216 +222,382 @@ def _range_min(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
     return out
 
 
-class _Inducer:
-    """Takes sources in sorted order and hands their predecessors to the queues of their letters."""
-
-    def __init__(self, text: np.ndarray, wanted: np.ndarray, queues: dict[int, Queue], carry: bool):
-        self.text, self.wanted, self.queues, self.carry = text, wanted, queues, carry
-        self.since = np.full(256, FAR)
-        self.begun = np.zeros(256, bool)
-
-    def take(self, at: np.ndarray, lcp: np.ndarray) -> None:
-        """``lcp``: of each source with the source before."""
-        before = at - 1
-        use = np.flatnonzero((before >= 0) & self.wanted[np.maximum(before, 0)])
-        if len(use):
-            own = before[use]
-            letter = self.text[own]
-            order = np.argsort(letter, kind="stable")
-            own, letter, place = own[order], letter[order], use[order]
-            first = np.flatnonzero(np.r_[True, letter[1:] != letter[:-1]])
-            names = letter[first]
-            ends = np.r_[first[1:], len(own)]
-            shared = np.zeros(len(own), np.uint16)
-            if self.carry:
-                rest = np.ones(len(own), bool)
-                rest[first] = False
-                rest = np.flatnonzero(rest)
-                least = _range_min(lcp, place[rest - 1] + 1, place[rest] + 1)
-                shared[rest] = least + np.uint16(1)
-                until = np.minimum.accumulate(lcp)
-                head = np.minimum(self.since[names], until[place[first]])
-                shared[first] = np.where(self.begun[names], head + np.uint16(1), np.uint16(0))
-            for a, b, c in zip(first.tolist(), ends.tolist(), names.tolist()):
-                self.queues[c].add(own[a:b], shared[a:b])
-        if self.carry:
-            self.since = np.minimum(self.since, lcp.min())
-            if len(use):
-                after = np.minimum.accumulate(lcp[::-1])[::-1]
-                last = place[ends - 1] + 1
-                self.since[names] = np.where(last < len(lcp), after[np.minimum(last, len(lcp) - 1)], FAR)
-                self.begun[names] = True
+class _Carry:
+    """The common prefix of each entry with the one before of its key, from those of the sources they are induced by.
+
+    Between two sources it is the least of all in between, and one letter more for what they induce. Batches of
+    sources that were seen are kept as a staircase of their minima, so one look tells the least since any of them.
+    """
+
+    def __init__(self, space: Space, keys: int):
+        self.stamp, self.since = space.array(keys, np.int64), space.array(keys, np.int64)
+        self.batch = 0
+        self.stairs, self.least, self.top = np.zeros(64, np.int64), np.zeros(64, np.int64), 0
+
+    def shared(self, key: np.ndarray, place: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+        """For entries sorted by key, induced by the sources at ``place`` of a batch with the common prefixes ``lcp``."""
+        self.batch += 1
+        out = np.zeros(len(key), np.int64)
+        if len(key):
+            new = np.ones(len(key), bool)
+            new[1:] = key[1:] != key[:-1]
+            first, rest = np.flatnonzero(new), np.flatnonzero(~new)
+            if len(rest):
+                out[rest] = _range_min(lcp, place[rest - 1] + 1, place[rest] + 1) + 1
+            names = key[first]
+            until = np.minimum.accumulate(lcp)
+            begun = self.stamp[names]
+            step = np.searchsorted(self.stairs[: self.top], begun, "right")
+            between = np.where(step < self.top, self.least[np.minimum(step, max(0, self.top - 1))], NONE)
+            head = np.minimum(np.minimum(self.since[names], between), until[place[first]]) + 1
+            out[first] = np.where(begun > 0, head, 0)
+            last = place[np.append(first[1:], len(key)) - 1] + 1
+            after = np.append(np.minimum.accumulate(lcp[::-1])[::-1], NONE - 1)
+            self.since[names], self.stamp[names] = after[last], self.batch
+        if len(lcp):
+            low = int(lcp.min())
+            while self.top and self.least[self.top - 1] >= low:
+                self.top -= 1
+            if self.top == len(self.stairs):
+                self.stairs, self.least = (np.r_[x, np.zeros_like(x)] for x in (self.stairs, self.least))
+            self.stairs[self.top], self.least[self.top] = self.batch, low
+            self.top += 1
+        return out
 
 
 class Sorter:
-    """Sorted suffixes of ``text`` (bytes, 0 closes a string, the last byte is 0)."""
-
-    def __init__(self, text: np.ndarray, limit: int = 256 << 20):
-        self.text, self.limit = text, limit
-        n = len(text)
-        change = np.flatnonzero(text[1:] != text[:-1])
-        rises = text[change] < text[change + 1]
-        lengths = np.diff(np.r_[-1, change, n - 1])
-        self.small = np.repeat(np.r_[rises, True], lengths)  # S: smaller than the next suffix
-        self.lms = np.flatnonzero(self.small & np.r_[False, ~self.small[:-1]])
-        self.letters = np.flatnonzero(np.bincount(text, minlength=256)).tolist()
-        self.end = np.flatnonzero(text == 0)
-
-    def rest(self, at: np.ndarray) -> np.ndarray:
+    """Sorted suffixes of ``text`` (numbers up to ``largest``, 0 closes a string, the last is 0)."""
+
+    def __init__(self, text: np.ndarray, space: Space, largest: int, depth: int = 0):
+        self.text, self.space, self.keys, self.depth = text, space, largest + 1, depth
+        self.n = len(text)
+        self.words: np.ndarray | None = None
+        if text.dtype == np.uint8:
+            padded = space.array(self.n + 8, np.uint8)
+            for part in space.chunks(self.n):
+                padded[part] = text[part]
+            self.text, self.words = padded[: self.n], np.ndarray((self.n,), "<u8", padded, strides=(1,))
+        # Buckets of about the root of all entries: then few entries induce others of their own bucket. But no more than
+        # leave each, in what memory holds, some dozens of entries, or the lists of stretches would outgrow these.
+        self.width = 1 if self.keys <= 257 else max(1, int(self.keys / min(np.sqrt(self.n), max(16, space.limit >> 10))))
+        self._find_types()
+
+    def _find_types(self) -> None:
+        """``small``: which suffixes are S; ``lms``: where an S one follows an L one, and all ends; ``end``: the ends."""
+        self.small = self.space.array(self.n, bool)
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        after, kind = 0, True
+        for part in reversed(list(self.space.chunks(self.n))):
+            x = np.r_[self.text[part], after]
+            d = np.flatnonzero(x[1:] != x[:-1])
+            types = np.repeat(np.r_[x[d] < x[d + 1], kind], np.diff(np.r_[-1, d, len(x) - 1]))[:-1]
+            self.small[part] = types
+            after, kind = x[0], bool(types[0])
+        counts = np.zeros(2, np.int64)
+        for fill in (False, True):
+            if fill:
+                self.lms, self.end = self.space.array(int(counts[0]), np.int64), self.space.array(int(counts[1]), np.int64)
+                counts[:] = 0
+            for part in self.space.chunks(self.n):
+                text, small = self.text[part], self.small[part]
+                before = np.r_[self.small[part.start - 1] if part.start else True, small[:-1]]
+                for k, mask in enumerate(((text == 0) | (small & ~before), text == 0)):
+                    at = np.flatnonzero(mask)
+                    if fill:
+                        (self.lms, self.end)[k][counts[k] : counts[k] + len(at)] = at + part.start
+                    counts[k] += len(at)
+
+    def common(self, a: np.ndarray, b: np.ndarray, known: np.ndarray | int = 0, most: np.ndarray | int = NONE) -> np.ndarray:
+        """Common prefixes of suffixes, of which ``known`` letters are equal; no more than ``most`` are counted."""
+        limit = np.minimum(np.minimum(self._rest(a), self._rest(b)), most)
+        out = np.zeros(len(a), np.int64) + known
+        open_ = np.flatnonzero(out < limit)
+        while len(open_):
+            at = out[open_]
+            if self.words is None:
+                step, wide = (self.text[a[open_] + at] == self.text[b[open_] + at]).astype(np.int64), 1
+            else:
+                # Eight letters in one number: the lowest bit that differs tells the letter.
+                x = self.words[a[open_] + at] ^ self.words[b[open_] + at]
+                lowest = x & (~x + np.uint64(1))
+                step, wide = np.where(x == 0, 8, (np.frexp(lowest.astype(np.float64))[1] - 1) >> 3), 8
+            out[open_] += step
+            open_ = open_[(step == wide) & (out[open_] < limit[open_])]
+        return np.minimum(out, limit)
+
+    def _rest(self, at: np.ndarray) -> np.ndarray:
         """Letters from each position to the end of its string."""
         return self.end[np.searchsorted(self.end, at)] - at
 
-    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Common prefixes of suffixes, eight letters at a time."""
-        limit = np.minimum(self.rest(a), self.rest(b))
-        padded = np.r_[self.text, np.zeros(8, np.uint8)]
-        words = np.ndarray((len(self.text),), "<u8", padded, strides=(1,))
-        out = np.zeros(len(a), np.int64)
-        open_ = np.flatnonzero(limit > 0)
-        while len(open_):
-            x = words[a[open_] + out[open_]] ^ words[b[open_] + out[open_]]
-            lowest = x & (~x + np.uint64(1))
-            step = np.where(x == 0, 8, (np.frexp(lowest.astype(np.float64))[1] - 1) >> 3)
-            out[open_] += step
-            open_ = open_[(step == 8) & (out[open_] < limit[open_])]
-        return np.minimum(out, limit).astype(np.uint16)
-
-    def _induce(self, lms: np.ndarray, lcp: np.ndarray, carry: bool) -> tuple[Store, dict[int, Queue], dict[int, Queue]]:
-        """All suffixes from the sorted LMS ones: (store, L queues in order, S queues in reverse order)."""
-        store = Store(self.limit)
-        large = {c: store.queue() for c in self.letters}
-        small = {c: store.queue() for c in self.letters}
-        first = self.text[lms]
-        cut = np.searchsorted(first, np.arange(257))
-        self.last_l: dict[int, int] = {}
-        inducer = _Inducer(self.text, ~self.small, large, carry)
-        for c in self.letters:
-            last = -1
-            for at, common in large[c].forward():
-                inducer.take(at, common)
-                last = int(at[-1])
-            a, b = cut[c], cut[c + 1]
-            for s in range(a, b, STRETCH):
-                at, common = lms[s : min(b, s + STRETCH)], lcp[s : min(b, s + STRETCH)].copy()
-                if s == a:
-                    common[0] = self.common(np.array([last]), at[:1])[0] if last >= 0 and carry else 0
-                inducer.take(at, common)
-            self.last_l[c] = last
-        wanted = self.small & (self.text > 0)
-        inducer = _Inducer(self.text, wanted, small, carry)
-        for c in reversed(self.letters):
-            last = -1
-            for at, common in small[c].forward():
-                inducer.take(at, common)
-                last = int(at[-1])
-            after = None
-            for k in range(len(large[c].parts) - 1, -1, -1):
-                at, common = large[c].part(k)
-                for s in range((len(at) - 1) // STRETCH * STRETCH, -1, -STRETCH):
-                    x, y = at[s : s + STRETCH][::-1], common[s : s + STRETCH]
-                    # Seen backwards, a suffix shares with the one before what that one shared with it.
-                    head = after if after is not None else (self.common(np.array([last]), x[:1])[0] if last >= 0 and carry else 0)
-                    inducer.take(x, np.r_[np.uint16(head), y[:0:-1]].astype(np.uint16))
-                    after = y[0]
-        return store, large, small
-
-    def _sort_lms(self) -> tuple[np.ndarray, np.ndarray]:
-        """LMS suffixes in order and their common prefixes with the one before."""
-        lms = self.lms
-        by_letter = lms[np.argsort(self.text[lms], kind="stable")]
-        store, _, small = self._induce(by_letter, np.zeros(len(lms), np.uint16), False)
-        is_lms = np.zeros(len(self.text), bool)
-        is_lms[lms] = True
-        parts = [self.end]
-        for c in self.letters:
-            if c:
-                own = [at[is_lms[at]] for at, _ in small[c].forward()]
-                parts.append(np.concatenate(own)[::-1] if own else self.end[:0])
-        store.close()
-        order = np.concatenate(parts)
-        # LMS substrings are sorted now; equal neighbours get one name. Ends are all of one name, and told apart by place below.
-        index = np.zeros(len(self.text), np.int64)
-        index[lms] = np.arange(len(lms))
-        size = np.diff(np.r_[lms, len(self.text)])
-        sub = size[index[order]]
-        inside = self.text[order] > 0
-        same = np.zeros(len(order), bool)
-        same[1:] = ~inside[1:] & ~inside[:-1] | inside[1:] & inside[:-1] & (sub[1:] == sub[:-1])
-        check = np.flatnonzero(same & inside)
-        if len(check):
-            a, b, n = order[check - 1], order[check], sub[check]
-            k, ok = 0, np.ones(len(check), bool)
-            live = np.arange(len(check))
-            while len(live):
-                live = live[k <= n[live]]
-                equal = self.text[np.minimum(a[live] + k, len(self.text) - 1)] == self.text[np.minimum(b[live] + k, len(self.text) - 1)]
-                ok[live[~equal]] = False
-                live = live[equal]
-                k += 1
-            same[check] = ok
-        rank = np.empty(len(lms), np.int64)
-        rank[index[order]] = np.cumsum(~same) - 1
-        # The reduced string: names in text order. Its suffixes are ranked by doubling, within each string.
-        stop = np.searchsorted(np.flatnonzero(self.text[lms] == 0), np.arange(len(lms)))
-        ends = np.flatnonzero(self.text[lms] == 0)[stop]
-        here, k = np.arange(len(lms)), 1
-        deepest = int((ends - here).max()) + 1 if len(lms) else 0
-        while k <= deepest:
-            next_ = here + k
-            second = np.where(next_ <= ends, rank[np.minimum(next_, len(lms) - 1)] + 1, 0)
-            key = rank * (len(lms) + 2) + second
-            _, new = np.unique(key, return_inverse=True)
-            if new.max() == rank.max():
-                break
-            rank, k = new, 2 * k
-        order = lms[np.argsort(rank, kind="stable")]
-        lcp = np.zeros(len(order), np.uint16)
-        if len(order) > 1:
-            lcp[1:] = self.common(order[:-1], order[1:])
-        return order, lcp
-
-    def suffixes(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Stretches of (position, common prefix with the suffix before) in order, without the bare ends."""
-        store, large, small = self._induce(*self._sort_lms(), True)
-        try:
-            for c in self.letters:
-                if not c:
-                    continue
-                last = -1
-                for at, common in large[c].forward():
-                    yield at, common
-                    last = int(at[-1])
-                q, kept = small[c], None
-                for k in range(len(q.parts) - 1, -1, -1):
-                    at, common = q.part(k)
-                    # Kept backwards: the common prefix of an entry is with the one that comes next from here.
-                    head = kept if kept is not None else (self.common(np.array([last]), at[-1:])[0] if last >= 0 else 0)
-                    yield at[::-1], np.r_[np.uint16(head), common[:0:-1]].astype(np.uint16)
-                    kept = common[0]
-        finally:
-            store.close()
+    def _induce(self, fixed: Queue, up: bool, carry: bool, told: Callable[[np.ndarray, np.ndarray, np.ndarray], None]) -> None:
+        """Induce L suffixes from the LMS ones (``up``), or S suffixes from the L ones, which come in as ``fixed``.
+
+        Sources are taken in order of their keys: letters, or letters from the largest down; within a letter what was
+        induced comes before what is fixed. ``told`` gets all of them: positions, common prefixes with the source
+        before, and which are fixed.
+        """
+        text, top = self.text, self.keys - 1
+        key_of = (lambda at: text[at].astype(np.int64)) if up else (lambda at: top - text[at].astype(np.int64))
+        queue = Queue(self.space, self.keys, self.width)
+        memory = _Carry(self.space, self.keys) if carry else None
+        last = (-1, -1, True)
+
+        def source(at: np.ndarray, lcp: np.ndarray, is_fixed: np.ndarray) -> None:
+            nonlocal last
+            if not len(at):
+                return
+            key = key_of(at)
+            if carry:
+                same = np.empty(len(key), bool)
+                same[0], same[1:] = key[0] == last[1], key[1:] == key[:-1]
+                lcp = np.where(same, lcp, 0)
+                if is_fixed[-1] or is_fixed.any():
+                    before_fixed = np.empty(len(key), bool)
+                    before_fixed[0], before_fixed[1:] = last[2], is_fixed[:-1]
+                    border = np.flatnonzero(same & is_fixed & ~before_fixed)
+                    if len(border):
+                        before = np.where(border > 0, at[border - 1], last[0])
+                        lcp[border] = self.common(before, at[border])
+            last = (int(at[-1]), int(key[-1]), bool(is_fixed[-1]))
+            told(at, lcp, is_fixed)
+            own = np.maximum(at - 1, 0)
+            small = self.small[own]
+            use = np.flatnonzero((~small if up else small & (text[own] > 0)) & (at > 0))
+            own = own[use]
+            new = key_of(own)
+            order = np.argsort(new, kind="stable")
+            own, new = own[order], new[order]
+            queue.add(new, own, memory.shared(new, use[order], lcp) if carry else np.zeros(len(own), np.int64))
+
+        fixed.deal()
+        for b in range(queue.count):
+            if queue.width == 1:
+                for at, lcp in queue.stretches(b):
+                    source(at, lcp, np.zeros(len(at), bool))
+                for at, lcp in fixed.stretches(b):
+                    source(at, lcp, np.ones(len(at), bool))
+            elif queue.many(b) + fixed.many(b) <= STRETCH:
+                self._mixed(b, queue, fixed, key_of, up, source)
+            else:
+                self._heavy(b, queue, fixed, key_of, source)
+        queue.store.done()
+        fixed.store.done()
+
+    def _mixed(self, b: int, queue: Queue, fixed: Queue, key_of, up: bool, source) -> None:
+        """A bucket of several keys, all at once: as far as nothing that is still to be induced comes in between."""
+        end = (b + 1) * queue.width
+        f_at, f_lcp = fixed.all_of(b)
+        q_at, q_lcp = queue.all_of(b)
+        while len(q_at) + len(f_at):
+            at, lcp = np.concatenate((q_at, f_at)), np.concatenate((q_lcp, f_lcp))
+            is_fixed = np.arange(len(at)) >= len(q_at)
+            key = key_of(at)
+            order = np.argsort(key, kind="stable")
+            at, lcp, is_fixed, key = at[order], lcp[order], is_fixed[order], key[order]
+            before = np.maximum(at - 1, 0)
+            small = self.small[before]
+            wanted = (at > 0) & (~small if up else small & (self.text[before] > 0))
+            soon = np.where(wanted, key_of(before), end)
+            to = len(at)
+            if soon.min() < end:
+                least = np.concatenate(([NONE], np.minimum.accumulate(soon)[:-1]))
+                late = np.flatnonzero((key > least) | (key == least) & is_fixed)
+                to = int(late[0]) if len(late) else to
+            source(at[:to], lcp[:to], is_fixed[:to])
+            if to == len(at) and soon.min() >= end:
+                return
+            inner = ~is_fixed[to:]
+            more_at, more_lcp = queue.all_of(b)
+            q_at, q_lcp = np.concatenate((at[to:][inner], more_at)), np.concatenate((lcp[to:][inner], more_lcp))
+            f_at, f_lcp = at[to:][~inner], lcp[to:][~inner]
+
+    def _heavy(self, b: int, queue: Queue, fixed: Queue, key_of, source) -> None:
+        """A bucket of many entries: its keys one by one, each a stretch at a time."""
+        start, width = b * queue.width, queue.width
+        local = lambda at: key_of(at) - start
+        fine = [Queue(self.space, width, 1) for _ in range(2)]
+
+        def refill() -> None:
+            for at, lcp in queue.stretches(b):
+                fine[0].add(local(at), at, lcp)
+
+        for at, lcp in fixed.stretches(b):
+            fine[1].add(local(at), at, lcp)
+        refill()
+        for k in range(width):
+            while True:
+                any_ = False
+                for at, lcp in fine[0].stretches(k):
+                    any_ = True
+                    source(at, lcp, np.zeros(len(at), bool))
+                refill()
+                if not any_:
+                    break
+            for at, lcp in fine[1].stretches(k):
+                source(at, lcp, np.ones(len(at), bool))
+                refill()
+        for q in fine:
+            q.store.done()
+
+    def _both(self, fixed: Queue, carry: bool, told: Callable[[np.ndarray, np.ndarray], None]) -> None:
+        """From sorted LMS suffixes all others, in descending order: ``told`` gets (positions, common prefixes with the one before)."""
+        log = Holder(self.space, 1)
+
+        def keep(at: np.ndarray, lcp: np.ndarray, is_fixed: np.ndarray) -> None:
+            log.put(0, at[~is_fixed], lcp[~is_fixed])
+            self.space.relieve()
+
+        self._induce(fixed, True, carry, keep)
+        top = self.keys - 1
+        back = Queue(self.space, self.keys, self.width)
+        after = 0
+        for at, lcp in log.take(0, True):
+            if len(at):
+                # Seen backwards, a suffix shares with the one before what that one shared with it.
+                back.add(top - self.text[at[::-1]].astype(np.int64), at[::-1], np.r_[after, lcp[:0:-1]])
+                after = int(lcp[0])
+        log.done()
+        self._induce(back, False, carry, lambda at, lcp, is_fixed: told(at, lcp))
+
+    def _letters_first(self) -> Queue:
+        return Queue(self.space, self.keys, self.width)
+
+    def _sorted_lms(self) -> Queue:
+        """LMS suffixes in order, by letter, with their common prefixes."""
+        lms, n = self.lms, len(self.lms)
+        unsorted = self._letters_first()
+        for part in self.space.chunks(n):
+            unsorted.add(self.text[lms[part]].astype(np.int64), lms[part], np.zeros(part.stop - part.start, np.int64))
+        names = self.space.array(n, np.int64)
+        distinct, before = 0, -1
+
+        def name(at: np.ndarray, _: np.ndarray) -> None:
+            """Name LMS stretches by how many differing ones came before; the largest come first."""
+            nonlocal distinct, before
+            at = at[self.small[at] & (at > 0)]
+            at = at[~self.small[at - 1]]
+            if not len(at):
+                return
+            i = np.searchsorted(lms, at)
+            size = lms[i + 1] - at
+            new = np.ones(len(at), bool)
+            previous = np.append(before, at[:-1])
+            size_before = np.append(-1 if before < 0 else lms[np.searchsorted(lms, before) + 1] - before, size[:-1])
+            check = np.flatnonzero((size == size_before) & (previous >= 0))
+            if len(check):
+                a, b, s = previous[check], at[check], size[check]
+                same = self.common(a, b, 0, s + 1)
+                new[check] = ~((same > s) | (same == s) & (self.text[a + s] == 0) & (self.text[b + s] == 0))
+            names[i] = distinct + np.cumsum(new)
+            distinct += int(new.sum())
+            before = int(at[-1])
+
+        self._both(unsorted, False, name)
+        # Names ascend with the stretches; ends are 0.
+        most = 0
+        for part in self.space.chunks(n):
+            own = names[part]
+            inner = self.text[lms[part]] > 0
+            names[part] = np.where(inner, distinct + 1 - own, 0)
+            most += int(inner.sum())
+        out = self._letters_first()
+        for part in self.space.chunks(len(self.end)):
+            out.add(np.zeros(part.stop - part.start, np.int64), self.end[part], np.zeros(part.stop - part.start, np.int64))
+        if distinct == most:
+            place = self.space.array(most + 1, np.int64)
+            for part in self.space.chunks(n):
+                place[names[part]] = lms[part]
+            for part in self.space.chunks(most):
+                at = place[1 + part.start : 1 + part.stop]
+                out.add(self.text[at].astype(np.int64), at, self._with_before(at, place[part.start] if part.start else -1))
+        else:
+            order = Holder(self.space, 1)
+
+            def keep(i: np.ndarray, k: np.ndarray) -> None:
+                order.put(0, i, k)
+                self.space.relieve()
+
+            Sorter(names, self.space, distinct, self.depth + 1).descending(keep)
+            self._put(order, out)
+        return out
+
+    def _with_before(self, at: np.ndarray, before: int) -> np.ndarray:
+        previous = np.r_[before, at[:-1]]
+        out = np.zeros(len(at), np.int64)
+        known = np.flatnonzero(previous >= 0)
+        if len(known):
+            out[known] = self.common(previous[known], at[known])
+        return out
+
+    def _put(self, order: Holder, out: Queue) -> None:
+        """LMS suffixes into ``out``, from places of names, the largest first, with common prefixes in names."""
+        after, before = 0, -1
+        for i, shared in order.take(0, True):
+            if not len(i):
+                continue
+            i, shared, after = i[::-1], np.r_[after, shared[:0:-1]], int(shared[0])
+            at = self.lms[i]
+            # As many names are as many letters as their stretches have; what follows differs within one more.
+            known = self.lms[i + shared] - at
+            lcp = np.zeros(len(at), np.int64)
+            own = np.flatnonzero(np.r_[before, at[:-1]] >= 0)
+            if len(own):
+                lcp[own] = self.common(np.r_[before, at[:-1]][own], at[own], known[own])
+            out.add(self.text[at].astype(np.int64), at, lcp)
+            before = int(at[-1])
+        order.done()
+
+    def descending(self, told: Callable[[np.ndarray, np.ndarray], None]) -> None:
+        """All suffixes but the bare ends, the largest first: ``told`` gets positions and common prefixes with the one before, in order."""
+        self._both(self._sorted_lms(), True, told)
+
+
+def sort_suffixes(text: np.ndarray, limit: int, told: Callable[[np.ndarray, np.ndarray], None], largest: int = 255) -> int:
+    """``told`` gets the suffixes of ``text``, the largest first, with their common prefixes; the bytes that went to files are returned."""
+    space = Space(limit)
+    try:
+        if len(text):
+            Sorter(text, space, largest).descending(told)
+        return space.spilled
+    finally:
+        space.close()
+
+
+def late_places(text: np.ndarray, length: int, space: Space) -> Iterator[np.ndarray]:
+    """Positions whose next ``length`` letters, within their string, also begin at an earlier position, ascending, some at a time.
+
+    Strings that begin alike follow each other in the order of suffixes; of each such run only the least position is
+    kept, and those that were not the least are marked in an array of one byte a letter.
+    """
+    if not len(text):
+        return
+    late = space.array(len(text), bool)
+    least = -1
+
+    def mark(at: np.ndarray, lcp: np.ndarray) -> None:
+        nonlocal least
+        start = np.r_[0, np.flatnonzero(lcp < length)]
+        start = start[1:] if len(start) > 1 and start[1] == 0 else start
+        joined = least >= 0 and lcp[0] >= length
+        run = np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(at)]))
+        first = np.minimum.reduceat(at, start)
+        if joined:
+            late[max(first[0], least)] = True
+            first[0] = min(first[0], least)
+        late[at[at != first[run]]] = True
+        least = int(first[-1])
+
+    Sorter(text, space, 255).descending(mark)
+    for part in space.chunks(len(text)):
+        found = np.flatnonzero(late[part])
+        if len(found):
+            yield found + part.start
 
 
 def repeats(text: np.ndarray, length: int, limit: int = 256 << 20) -> np.ndarray:
-    """Positions whose next ``length`` letters, within their string, also begin at an earlier position."""
-    if not len(text):
-        return np.zeros(0, np.int64)
-    found: list[np.ndarray] = []
-    open_ = np.zeros(0, np.int64)
-    for at, common in Sorter(text, limit).suffixes():
-        at, joined = np.r_[open_, at], np.r_[np.ones(len(open_), bool), common >= length]
-        start = np.flatnonzero(~joined)
-        if len(open_):
-            start = np.r_[0, start]
-        elif not len(start) or start[0]:
-            start = np.r_[0, start]
-        least = np.minimum.reduceat(at, start)
-        done = start[-1]
-        first = np.repeat(least, np.diff(np.r_[start, len(at)]))
-        late = at[:done][at[:done] != first[:done]]
-        if len(late):
-            found.append(late)
-        open_ = at[done:]
-    if len(open_) > 1:
-        found.append(open_[open_ != open_.min()])
-    return np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)
+    """All ``late_places`` of a text at once."""
+    space = Space(limit)
+    try:
+        return np.concatenate([np.zeros(0, np.int64), *late_places(text, length, space)])
+    finally:
+        space.close()
