@@ -9,6 +9,7 @@ their beginnings, learned from labelled documents, then scores the text.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 import zlib
@@ -237,9 +238,7 @@ class Restorer:
         if len(self.known) > self.room:
             self.known.clear()
         odd: list[tuple[str, list[list[Option]]]] = []
-        for t in tokens:
-            if t in self.known:
-                continue
+        for t in tokens.difference(self.known):
             if not t.isalpha() and any(map(str.isspace, t)):
                 self.known[t] = ()
                 odd += [(t, spaced_lattice(t, border)) for border in BORDERS]
@@ -262,12 +261,24 @@ class Restorer:
     def words(self, texts: list[str]) -> list[set[str]]:
         """The distinct restored words of each text."""
         found = [self.tokens(t) for t in texts]
-        self.learn(set().union(*found).difference(self.known) if found else set())
-        return [{w for t in own for w in self.known.get(t) or self._late(t)} for own in found]
+        self.learn(set().union(*found))
+        known = self.known
+        return [{w for t in own for w in known[t]} for own in found]
+
+
+#: The restorer of a Python worker, which serves all of its tasks that have the same model.
+_kept: dict[str, Restorer] = {}
+
+
+def _restorer(name: str, model: np.ndarray) -> Restorer:
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = Restorer(model)
+    return _kept[name]
+
 
-    def _late(self, token: str) -> tuple[str, ...]:
-        self.learn({token})
-        return self.known[token]
+def _name(model: np.ndarray) -> str:
+    return hashlib.sha256(model.tobytes()).hexdigest()
 
 
 BEGINNINGS = (3, 4, 5, 6)
@@ -330,10 +341,10 @@ def fit(labelled: DataFrame, text: str, label: str, model: np.ndarray, unlikely:
     -``unlikely``, which six documents of label 1 and none of label 0 reach where a tenth has label 1, however many
     documents there are. Without rows of both labels the score is their share.
     """
-    shared = labelled.sparkSession.sparkContext.broadcast(model)
+    shared, key = labelled.sparkSession.sparkContext.broadcast(model), _name(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = Restorer(shared.value)
+        restorer = _restorer(key, shared.value)
         for batch in batches:
             for part in steps(batch, text):
                 words = restorer.words([t or "" for t in part.column(part.schema.get_field_index(text)).to_pylist()])
@@ -402,11 +413,11 @@ def score(df: DataFrame, text: str, model: np.ndarray, weights: dict[str, float]
     though most documents that the model has learned from hold several.
     """
     df = df.drop(name, "evidence")
-    shared = df.sparkSession.sparkContext.broadcast((model, weights, alone))
+    shared, key = df.sparkSession.sparkContext.broadcast((model, weights, alone)), _name(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table_, own, single = shared.value
-        restorer = Restorer(table_)
+        restorer = _restorer(key, table_)
         known = {f.rstrip("23456789") for f in (*own, *single)}
         judged: dict[str, bool] = {}
         for batch in batches:
