@@ -37,6 +37,17 @@ def has_dim(vec: Column | str, dim: int) -> Column:
     return F.size(_col(vec)) == dim
 
 
+def require_dim(vec: Column | str, dim: int) -> Column:
+    """The vector; one of another dimension fails the query."""
+    wrong = F.raise_error(F.concat(F.lit("a vector of dimension "), F.size(_col(vec)).cast("string"), F.lit(f" among those of {dim}")))
+    return F.when(has_dim(vec, dim) | _col(vec).isNull(), _col(vec)).otherwise(wrong.cast("array<double>"))
+
+
+def narrow(vec: Column | str) -> Column:
+    """The vector in floats, as it is stored."""
+    return _col(vec).cast("array<float>")
+
+
 def compute_k(n_max: Column | str) -> Column:
     """Projections for at most ``n_max`` points a side: max(1, ceil(4 ln(8 n^2)))."""
     n = _col(n_max).cast("double")

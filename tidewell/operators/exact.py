@@ -166,6 +166,14 @@ class BruteForce:
         return int(names[0]), float(np.sqrt(sq[0]))
 
 
+def require_capacity(df: DataFrame, n_max: int, side: str) -> DataFrame:
+    """``df`` if it has at most ``n_max`` rows; more are an error, as what is built for ``n_max`` would not hold for them."""
+    n = df.count()
+    if n > n_max:
+        raise ValueError(f"{n} rows of {side}, but at most {n_max} are allowed")
+    return df
+
+
 def with_exact_match(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows of ``a`` whose very coordinates are in ``b``."""
     return a.join(b.select("vec").distinct(), "vec", "left_semi")

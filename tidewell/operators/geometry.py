@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidewell.functions.vectors import l2, widen
 
@@ -38,6 +39,27 @@ def reach(points: DataFrame, anchor: DataFrame) -> DataFrame:
     return points.join(F.broadcast(first), F.lit(True)).agg(F.max(l2("vec", "_o")).alias("reach"))
 
 
+def reach_by_step(points: DataFrame, anchor: DataFrame, window: int, every: int) -> DataFrame:
+    """(step, reach): at each query step the largest distance from the anchor of any row that has come so far; it never shrinks.
+
+    ``points``: step, vec; rows that were there before have a negative step. Rows are brought down to one a query step
+    before the running maximum is taken over those few.
+    """
+    first = anchor.limit(1).select(F.col("vec").alias("_o"))
+    due = (F.ceil(F.greatest(F.col("step"), F.lit(window)) / every) * every).cast("long")
+    far = points.join(F.broadcast(first), F.lit(True)).groupBy(due.alias("step")).agg(F.max(l2("vec", "_o")).alias("_far"), F.max("step").alias("_last"))
+    running = Window.partitionBy(F.lit(0)).orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy(F.lit(0))
+    rows = far.withColumn("reach", F.max("_far").over(running)).withColumn("_end", F.max("_last").over(whole))
+    return rows.where(F.col("step") <= F.col("_end")).select("step", "reach")
+
+
+def level_of(reach_, rho: float):
+    """``levels`` of a column."""
+    span = F.greatest(2 * reach_ - F.lit(1e-15), F.lit(rho)) / F.lit(rho)
+    return F.greatest(F.lit(0), F.ceil(F.log2(span))).cast("int")
+
+
 def levels(reach_: float, rho: float) -> int:
     """The least L with rho * 2^L >= 2 * reach - 1e-15."""
     return max(0, math.ceil(math.log2(max(2 * reach_ - 1e-15, rho) / rho)))

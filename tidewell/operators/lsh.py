@@ -5,6 +5,7 @@ Layer i's key follows from the finest one alone: (h + sum of 2^t xi_t for t < i)
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions.vectors import widen
+from tidewell.operators.geometry import levels
 from tidewell.tables import broadcast_if_small, materialize
 
 
@@ -35,12 +37,16 @@ class Projection:
     def starts(self) -> np.ndarray:
         return np.random.default_rng([self.seed, 2]).uniform(0, self.k * self.rho, self.k)
 
+    @cached_property
+    def bits(self) -> np.ndarray:
+        """(top, k): what is added to a layer's key before it is halved; a projection of more layers begins with the same."""
+        return np.random.default_rng([self.seed, 3]).integers(0, 2, (self.top, self.k), dtype=np.int64)
+
     @cached_property
     def carries(self) -> np.ndarray:
         """(top + 1, k): what is added to the finest key before it is shifted."""
-        bits = np.random.default_rng([self.seed, 3]).integers(0, 2, (self.top, self.k), dtype=np.int64)
         out = np.zeros((self.top + 1, self.k), np.int64)
-        out[1:] = np.cumsum(bits << np.arange(self.top)[:, None], axis=0)
+        out[1:] = np.cumsum(self.bits << np.arange(self.top)[:, None], axis=0)
         return out
 
 
@@ -94,6 +100,12 @@ def first_collision(a: DataFrame, b: DataFrame, p: Projection, a_id: str = "a_id
     return rows.join(least, a_id, "left").select(a_id, layer.alias("layer"))
 
 
+def projection_for(n_max: int, dim: int, reach: float, rho: float = 1e-4, seed: int = 7, k: int | None = None) -> Projection:
+    """The projection for at most ``n_max`` points a side within ``reach`` of the first: as many directions and layers as they need."""
+    wanted = max(1, math.ceil(4 * math.log(8 * n_max * n_max)))
+    return Projection(k=k or wanted, dim=dim, rho=rho, top=levels(reach, rho), seed=seed)
+
+
 def scale(layer, p: Projection):
     """The distance a layer stands for; twice the top one for the fallback; 0 for exact matches."""
     return F.when(layer == -2, F.lit(0.0)).otherwise(F.lit(p.rho) * F.pow(F.lit(2.0), layer.cast("double")))

@@ -132,6 +132,12 @@ def step_strata(a: DataFrame, b: DataFrame, buckets: Buckets, p: Projection, ste
     return sized.select("step", "layer", "n", (F.col("n") * scale(F.col("layer"), p)).alias("w"))
 
 
+def capped(layers: DataFrame, tops: DataFrame) -> DataFrame:
+    """``layers`` as they are where at each step only the layers up to ``top`` of (step, top) are open: what meets B beyond it does not meet it."""
+    joined = layers.join(F.broadcast(tops), "step")
+    return joined.select("step", "a_id", F.least("layer", F.col("top") + 1).cast("int").alias("layer"))
+
+
 def _strata(layers: DataFrame, p: Projection) -> DataFrame:
     found = layers.where("layer >= 0").groupBy("step", "layer").agg(F.count(F.lit(1)).alias("n"))
     return found.withColumn("w", F.col("n") * scale(F.col("layer"), p))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.functions import vectors as V
-from tidewell.operators import allocate, evaluate, exact, geometry, lsh, sampling, stepwise, windows
+from tidewell.operators import allocate, evaluate, exact, geometry, lsh, sampling, stepwise, upkeep, windows
 from tidewell.sources import text_and_archives as text_files
 from tidewell.sources import vector_files
 from tidewell.streaming.sliding import sliding_parts
@@ -663,9 +663,26 @@ def error_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("kind", "step", *(F.round(c, 6).alias(c) for c in ("mean", "low", "high")))
 
 
-@_query(f"WITH {_ERR} SELECT kind, round(quantile_cont(err, 0.95), 6) AS p95 FROM e GROUP BY kind")
+@_query(f"WITH {_ERR} SELECT kind, round(quantile_cont(m, 0.95), 6) AS p95 FROM (SELECT kind, step, avg(err) AS m FROM e GROUP BY kind, step) GROUP BY kind")
 def error_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _errors(spark, sf_dir).groupBy("kind").agg(F.round(F.percentile("err", 0.95), 6).alias("p95"))
+    return evaluate.curve_limit(_errors(spark, sf_dir), ["kind"], "step", "err").select("kind", F.round("limit", 6).alias("p95"))
+
+
+@_query(f"""WITH {_ERR}, s AS (SELECT kind, step % 2 AS outlier, seed, count(*) AS n, avg(err) AS ms, avg(abs(err)) AS ma, sqrt(avg(err * err)) AS r, coalesce(var_samp(err), 0) AS v FROM e GROUP BY ALL)
+SELECT kind, outlier, count(*) AS n_seeds, sum(n)::BIGINT AS queries, round(avg(ms), 6) AS mean_signed, round(avg(ma), 6) AS mean_abs, round(avg(r), 6) AS rmse, round(avg(v), 6) AS var, round(coalesce(stddev_samp(ma), 0), 6) AS spread FROM s GROUP BY kind, outlier""")
+def phase_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    errors = evaluate.require_seeds(_errors(spark, sf_dir).withColumn("outlier", F.col("step") % 2), ["kind", "outlier"], "seed", 5)
+    found = evaluate.phase_aggregate(errors, ["kind", "outlier"], "seed", "err")
+    return found.select("kind", "outlier", "n_seeds", "queries", *(F.round(c, 6).alias(c) for c in ("mean_signed", "mean_abs", "rmse", "var", "spread")))
+
+
+@_query(f"WITH {_ERR} SELECT kind, round(avg(m), 6) AS mean_cost, count(*) AS n_seeds FROM (SELECT kind, seed, avg((abs(err) + 2 * step) / (step + 1)) AS m FROM e GROUP BY kind, seed) GROUP BY kind")
+def mean_cost_per_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Milliseconds of an update over runs: updates and queries over the number of updates, the mean of each seed, then over seeds."""
+    e = _errors(spark, sf_dir).withColumns({"update_ms": F.abs("err"), "query_ms": 2 * F.col("step"), "updates": F.col("step") + 1})
+    costs = e.withColumn("cost", evaluate.per_update(e, "update_ms", "query_ms", "updates"))
+    found = evaluate.mean_per(costs, ["kind"], "seed", "cost")
+    return found.select("kind", F.round("mean_cost", 6).alias("mean_cost"), "n_seeds")
 
 
 # Filters, guards, changes
@@ -718,6 +735,58 @@ def insert_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.chamfer(_a(spark, sf_dir).unionByName(more), b).select(F.round("chamfer", 4).alias("chamfer"), "n_a")
 
 
+_FINAL = _LSH.replace("vec_id % 2 = 0)", "vec_id % 2 = 0 AND vec_id % 10 <> 0)").replace("vec_id % 2 = 1)", "vec_id % 2 = 1 AND ((vec_id - 1) // 2) % 5 <> 0)")
+
+
+@_query(f"WITH {_stepped(_FINAL, HASH, _ALL_ONCE)} SELECT layer, n, round(w, 6) AS w FROM st")
+def strata_upkeep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strata after rows of both sides were inserted and deleted, from the counts of buckets and the changes alone."""
+    a, b = _a(spark, sf_dir), _b(spark, sf_dir)
+    state = materialize(upkeep.applied(None, upkeep.change(a.where("a_id % 10 <> 6"), HASH, "a"), upkeep.change(b.where("step % 7 <> 3"), HASH, "b")))
+    state = materialize(upkeep.applied(state, upkeep.change(a.where("a_id % 10 = 6"), HASH, "a"), upkeep.change(b.where("step % 7 = 3"), HASH, "b")))
+    state = upkeep.applied(state, upkeep.change(a.where("a_id % 10 = 0"), HASH, "a", -1), upkeep.change(b.where("step % 5 = 0"), HASH, "b", -1))
+    return upkeep.strata(materialize(state), HASH).select("layer", "n", F.round("w", 6).alias("w"))
+
+
+_COUNTS = "SELECT layer, array_to_string(key, ',') AS key, sum(x)::BIGINT AS a_count, sum(y)::BIGINT AS b_count FROM (SELECT layer, key, 1 AS x, 0 AS y FROM ka UNION ALL SELECT layer, key, 0, 1 FROM kb) GROUP BY layer, key"
+
+
+@_query(f"WITH {_LSH} {_COUNTS}")
+def range_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Buckets of all layers, the upper four opened from the keys of the ninth as the range grows."""
+    small = lsh.Projection(k=HASH.k, dim=HASH.dim, rho=HASH.rho, top=8)
+    state = upkeep.applied(None, upkeep.change(_a(spark, sf_dir), small, "a"), upkeep.change(_b(spark, sf_dir), small, "b"))
+    grown = upkeep.opened(materialize(state), small, HASH).where("layer >= 0")
+    return grown.select("layer", F.array_join(F.col("key").cast("array<string>"), ",").alias("key"), "a_count", "b_count")
+
+
+@_query(f"""WITH {_LSH}, n AS ({_COUNTS.replace("array_to_string(key, ',') AS key", "key")}), h AS (SELECT h0 FROM ha UNION SELECT h0 FROM hb),
+up AS (SELECT DISTINCT layer, {_KEY} AS key, {_KEY.replace("layer", "(layer + 1)")} AS parent FROM h, l, p WHERE layer < {HASH.top})
+SELECT up.layer + 1 AS layer, array_to_string(parent, ',') AS key, count(*) AS n_children, sum(CASE WHEN a_count > 0 AND b_count = 0 THEN 1 ELSE 0 END)::BIGINT AS a_children FROM up JOIN n ON n.layer = up.layer AND n.key = up.key GROUP BY ALL""")
+def bucket_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state = upkeep.applied(None, upkeep.change(_a(spark, sf_dir), HASH, "a"), upkeep.change(_b(spark, sf_dir), HASH, "b"))
+    return upkeep.children(state, HASH).select("layer", F.array_join(F.col("key").cast("array<string>"), ",").alias("key"), "n_children", "a_children")
+
+
+@_query(f"""WITH {_AB}, o AS (SELECT vec AS o FROM a WHERE a_id = 0), r AS (SELECT -1 AS step, max(list_distance(vec, o)) AS r FROM a, o UNION ALL SELECT step, list_distance(vec, o) FROM b, o),
+q AS (SELECT step AS s FROM b WHERE step >= {WINDOW} AND step % {EVERY} = 0)
+SELECT s AS step, round(max(r), 6) AS reach, greatest(0, ceil(log2((2 * max(r) - 1e-15) / 1e-4)))::INTEGER AS top FROM q JOIN r ON r.step <= s GROUP BY s""")
+def growing_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The layers that are open at each query step, by the farthest row that has come so far."""
+    a, b = _a(spark, sf_dir), _b(spark, sf_dir)
+    rows = a.select(F.lit(-1).cast("long").alias("step"), "vec").unionByName(b.select("step", "vec"))
+    found = geometry.reach_by_step(rows, a.where("a_id = 0"), WINDOW, EVERY)
+    return found.select("step", F.round("reach", 6).alias("reach"), geometry.level_of(F.col("reach"), 1e-4).alias("top"))
+
+
+@_query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 5) AS total FROM embeddings")
+def guarded_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that have passed the guards on dimension and number, stored in floats and widened again."""
+    e = exact.require_capacity(table(spark, sf_dir, "embeddings"), 1_100_000, "A")
+    vec = V.widen(V.narrow(V.require_dim(V.widen("embedding"), 64)))
+    return e.select("vec_id", F.round(F.aggregate(vec, F.lit(0.0), lambda m, x: m + x), 5).alias("total"))
+
+
 # Files
 
 
