@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from dataclasses import dataclass
 
 
@@ -25,6 +24,9 @@ class ChamferConfig:
     grid_only: bool = False
     inject_outlier: bool = False
     no_outlier: bool = False
+    exact_cache: str | None = None
+    exact_only: bool = False
+    k: int | None = None
 
     def __post_init__(self) -> None:
         wrong = [
@@ -32,8 +34,9 @@ class ChamferConfig:
             (self.with_importance and not self.hashing_only, "with_importance needs hashing_only"),
             (self.with_importance and self.both_dynamic, "with_importance and both_dynamic exclude each other"),
             (self.inject_outlier and self.no_outlier, "inject_outlier and no_outlier exclude each other"),
+            (self.exact_only and self.exact_cache is not None, "exact_only computes what exact_cache would be read for"),
             (self.n_max < 1 or self.rho <= 0, "n_max and rho must be positive"),
-            (any(x is not None and x < 1 for x in (self.budget, self.window, self.every, self.max_a, self.max_b)), "counts must be positive"),
+            (any(x is not None and x < 1 for x in (self.budget, self.window, self.every, self.max_a, self.max_b, self.k)), "counts must be positive"),
         ]
         for bad, why in wrong:
             if bad:
@@ -41,16 +44,10 @@ class ChamferConfig:
 
     def windows(self, n_b: int) -> tuple[int, int]:
         """(window, interval) for this many rows of B."""
-        return self.window or max(1, n_b // 20), self.every or max(1, n_b // 56)
+        window, every = defaults(n_b)
+        return self.window or window, self.every or every
 
 
-#: File names for each side, best first.
-CANDIDATES = {
-    "a": ("base_with_outlier.f32bin", "base.f32bin", "base.fvecs", "train.f32bin", "train.csv"),
-    "b": ("query.f32bin", "query.fvecs", "test.f32bin", "test.csv"),
-}
-
-
-def first_existing(folder: str, names: tuple[str, ...]) -> str | None:
-    """The first of ``names`` that is in ``folder``."""
-    return next((p for n in names if os.path.exists(p := os.path.join(folder, n))), None)
+def defaults(n_b: int) -> tuple[int, int]:
+    """(window, interval) where none are given."""
+    return max(1, n_b // 20), max(1, n_b // 56)

@@ -20,11 +20,6 @@ def is_query_step(step: Column | str, window: int, every: int) -> Column:
     return (s >= window) & (s % every == 0)
 
 
-def defaults(n_b: int) -> tuple[int, int]:
-    """(window, interval) where none are given."""
-    return max(1, n_b // 20), max(n_b // 56, 1)
-
-
 def _parts(a: DataFrame, b: DataFrame, window: int, every: int, last: int, block: int, summed: bool) -> DataFrame:
     """Nearest live rows of B at each query step, each distance computed once for all windows that hold the pair.
 

@@ -5,7 +5,6 @@ The point sets: A is the embeddings of even vec_id, B those of odd vec_id, in wh
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -791,10 +790,8 @@ def guarded_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    """A fresh path in the shared folder if that is a mounted one, else a temporary one."""
-    base = shared_dir(spark)
-    where = vector_files.local(base) if base.startswith(("file:", "/")) else tempfile.mkdtemp()
-    return f"{where}/files-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder, which must be a mounted one for files that Spark itself can't write."""
+    return f"{vector_files.local(shared_dir(spark))}/files-{uuid.uuid4().hex}"
 
 
 _STEPS = "SELECT vec_id AS step, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 5) AS total, len(embedding)::INTEGER AS dim FROM embeddings"
@@ -817,6 +814,20 @@ def fvecs_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _roundtrip(spark, sf_dir, "fvecs")
 
 
+@_query("SELECT list_sum(list_transform(embedding, lambda x: floor(128 + 100 * x::DOUBLE)))::BIGINT AS total, 64 AS dim FROM embeddings")
+def idx3_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as images of 64 pixels, in files of a column, decoded again."""
+    pixels = F.transform("embedding", lambda x: F.floor(128 + 100 * x.cast("double")).cast("double"))
+    files = materialize(text_files.encoded(table(spark, sf_dir, "embeddings").select(pixels.alias("vec")), "idx3"))
+    return text_files.decoded(files, "idx3", 64).select(F.aggregate(V.widen("vec"), F.lit(0.0), lambda m, x: m + x).cast("long").alias("total"), F.size("vec").alias("dim"))
+
+
+@_query("SELECT round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 5) AS total, len(embedding)::INTEGER AS dim FROM embeddings")
+def npy_zip_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = materialize(text_files.encoded(table(spark, sf_dir, "embeddings").select(F.col("embedding").alias("vec")), "npy"))
+    return text_files.decoded(files, "npy").select(F.round(F.aggregate(V.widen("vec"), F.lit(0.0), lambda m, x: m + x), 5).alias("total"), F.size("vec").alias("dim"))
+
+
 @_query("SELECT round(l_quantity + l_discount, 4) AS total, 2 AS dim FROM lineitem")
 def csv_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
@@ -848,18 +859,20 @@ def stream_sliding_chamfer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(parts.schema).parquet(f"{base}/out").groupBy("step").agg(F.round(F.sum("part"), 4).alias("chamfer"), F.sum("n").alias("n_a"))
 
 
-@_query(f"""WITH {_AB}, la AS (SELECT * FROM a WHERE a_id % 10 <> 0), q AS (SELECT step AS s FROM b WHERE step >= {WINDOW} AND step % {EVERY} = 0 AND step % 7 <> 3),
-m AS (SELECT s, a_id, min(list_distance(la.vec, b.vec)) AS dist FROM q, b, la WHERE b.step > s - {WINDOW} AND b.step <= s AND b.step % 7 <> 3 GROUP BY s, a_id)
+@_query(f"""WITH {_AB}, la AS (SELECT * FROM a WHERE a_id % 10 <> 0), q AS (SELECT step AS s FROM b WHERE step >= {WINDOW} AND step % {EVERY} = 0),
+m AS (SELECT s, a_id, min(list_distance(la.vec, b.vec)) AS dist FROM q, b, la WHERE b.step > s - {WINDOW} AND b.step <= s AND (b.step % 7 <> 3 OR b.step = s) GROUP BY s, a_id)
 SELECT s AS step, round(sum(dist), 4) AS chamfer, count(*) AS n_a FROM m GROUP BY s""")
 def stream_with_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stream after every tenth row of A is deleted and some steps of B never come."""
+    """The stream where every tenth row of A is deleted before B begins, and some rows of B right after they came."""
     source = f"{sf_dir}/embeddings.parquet"
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     odd, step = F.col("vec_id") % 2 == 1, ((F.col("vec_id") - 1) / 2).cast("long")
     rows = spark.read.parquet(source)
-    live = rows.where(~odd | (step % 7 != 3)).select(F.when(odd, "B").otherwise("A").alias("side"), F.when(odd, step).otherwise(F.col("vec_id")).alias("id"), F.col("embedding").alias("vec"))
-    gone = rows.where("vec_id % 10 = 0").select(F.lit("A-").alias("side"), F.col("vec_id").alias("id"), F.lit(None).cast("array<float>").alias("vec"))
-    events = live.unionByName(gone)
+    nothing = F.lit(None).cast("array<float>").alias("vec")
+    live = rows.select(F.when(odd, "B").otherwise("A").alias("side"), F.when(odd, step).otherwise(F.col("vec_id")).alias("id"), F.col("embedding").alias("vec"), F.when(odd, 2 * step).otherwise(-2).alias("seq"))
+    gone = rows.where("vec_id % 10 = 0").select(F.lit("A-").alias("side"), F.col("vec_id").alias("id"), nothing, F.lit(-1).cast("long").alias("seq"))
+    gone_b = rows.where(odd & (step % 7 == 3)).select(F.lit("B-").alias("side"), step.alias("id"), nothing, (2 * step + 1).alias("seq"))
+    events = live.unionByName(gone).unionByName(gone_b)
     events.write.parquet(f"{base}/in")
     parts = sliding_parts(spark.readStream.schema(events.schema).parquet(f"{base}/in"), WINDOW, EVERY)
     parts.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/check").outputMode("append").trigger(availableNow=True).start().awaitTermination()

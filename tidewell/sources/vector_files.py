@@ -2,7 +2,8 @@
 
 f32bin: little-endian uint64 n and d, then n * d float32. fvecs: per row an int32 d and d float32. A path is a file
 or a folder of them; rows are numbered in the order of file names. A reader splits files into row ranges; a writer
-makes a file for each partition, so a sorted table keeps its order.
+makes a file for each partition, so a sorted table keeps its order. Paths are folders that every machine has mounted
+at the same place; other file systems are refused.
 """
 
 from __future__ import annotations
@@ -21,12 +22,14 @@ from pyspark.sql.types import StructType
 
 #: Limits of the formats.
 MAX_DIM, MAX_ROWS = 4096, 5_000_000
-#: Rows of one read task.
-RANGE = 65_536
+#: Rows of one read task, and rows that a writer holds.
+RANGE, HELD = 65_536, 4096
 SCHEMA = "step long, vec array<float>"
 
 
 def local(path: str) -> str:
+    if re.match(r"^(?!file:)[a-z][a-z0-9+.\-]*:", path):
+        raise ValueError(f"{path}: vector files are read and written on mounted folders")
     return re.sub(r"^file:/+", "/", path)
 
 
@@ -90,6 +93,12 @@ class Reader(DataSourceReader):
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(p.step, p.step + len(x))), pa.ListArray.from_arrays(offsets, pa.array(x.reshape(-1)))], names=["step", "vec"])
 
 
+@dataclass
+class Written(WriterCommitMessage):
+    own: str
+    name: str
+
+
 class Writer(DataSourceWriter):
     def __init__(self, path: str, kind: str, column: int):
         self.path, self.kind, self.column = local(path), kind, column
@@ -97,19 +106,46 @@ class Writer(DataSourceWriter):
     def write(self, iterator) -> WriterCommitMessage:
         from pyspark import TaskContext
 
-        rows = [np.asarray(r[self.column], "<f4") for r in iterator]
-        if rows:
-            x = np.stack(rows)
-            os.makedirs(self.path, exist_ok=True)
-            name = os.path.join(self.path, f"part-{TaskContext.get().partitionId():06d}.{self.kind}")
-            with open(name + ".tmp", "wb") as f:
-                if self.kind == "f32bin":
-                    f.write(struct.pack("<QQ", *x.shape))
-                    f.write(x.tobytes())
-                else:
-                    f.write(np.concatenate([np.full((len(x), 1), x.shape[1], "<i4"), x.view("<i4")], axis=1).tobytes())
-            os.replace(name + ".tmp", name)
-        return WriterCommitMessage()
+        os.makedirs(self.path, exist_ok=True)
+        name = os.path.join(self.path, f"part-{TaskContext.get().partitionId():06d}.{self.kind}")
+        own = f"{name}.{TaskContext.get().taskAttemptId()}"
+        n, dim, held = 0, 0, []
+
+        def flush(out) -> None:
+            x = np.stack(held)
+            out.write(x.tobytes() if self.kind == "f32bin" else np.concatenate([np.full((len(x), 1), dim, "<i4"), x.view("<i4")], axis=1).tobytes())
+            held.clear()
+
+        with open(own, "wb") as out:
+            if self.kind == "f32bin":
+                out.write(bytes(16))
+            for r in iterator:
+                vec = np.asarray(r[self.column], "<f4")
+                if n and len(vec) != dim:
+                    raise ValueError(f"a vector of dimension {len(vec)} among those of {dim}")
+                n, dim = n + 1, len(vec)
+                held.append(vec)
+                if len(held) == HELD:
+                    flush(out)
+            if held:
+                flush(out)
+            if self.kind == "f32bin":
+                out.seek(0)
+                out.write(struct.pack("<QQ", n, dim))
+        return Written(own, name if n else "")
+
+    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        """Files get their names when all tasks have ended well."""
+        for m in messages:
+            if m is not None and m.name:
+                os.replace(m.own, m.name)
+            elif m is not None:
+                os.remove(m.own)
+
+    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        for m in messages:
+            if m is not None and os.path.exists(m.own):
+                os.remove(m.own)
 
 
 class F32Bin(DataSource):
