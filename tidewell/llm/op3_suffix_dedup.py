@@ -30,7 +30,7 @@ ANCHOR = 32
 #: Bytes of text that a shard is meant to hold; an anchor with more than that is not dealt into shards.
 SHARD = 4 << 20
 #: Memory of one sort; the rest is in files of the task's machine.
-MEMORY = 48 << 20
+MEMORY = 64 << 20
 #: Different stretches of one anchor among LOCAL of a task that make it heavy, and heavy anchors that are known at most.
 HEAVY, HEAVY_ANCHORS = 32, 100_000
 #: Stretches of one task that are compared with each other before they leave it.

@@ -3,7 +3,8 @@
 The text is many strings, each closed by a 0, which stands for an end of its own: ends are ordered by place and
 share nothing. Suffixes are sorted as in SA-IS. Those at local minima (LMS) come first: their stretches up to the next
 one are sorted by induction and named by rank, and the string of names is sorted by the same method, over and over,
-until all names differ. Then all larger-than-next (L) suffixes are induced from smaller to larger first letter, and
+until all names differ, or the string of names is so short that its suffixes can be ranked within a part of the
+memory limit. Then all larger-than-next (L) suffixes are induced from smaller to larger first letter, and
 all smaller-than-next (S) ones from larger to smaller.
 
 What induction puts forward goes through a priority queue: buckets of letters, first in first out, which are read in
@@ -23,6 +24,8 @@ import numpy as np
 #: Entries that are induced at once, and entries of a queue that wait to be dealt out.
 STRETCH, WAITING = 1 << 16, 1 << 14
 NONE = np.iinfo(np.int64).max
+#: A string of names is ranked at once if so many bytes a name are within the memory limit.
+BASE = 128
 _NOTHING = np.zeros(0, np.int64)
 
 
@@ -140,11 +143,19 @@ class Queue:
         self.store = Holder(space, self.count)
         self.fresh: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.waiting = 0
+        # The bucket that is read, and what has come for it since.
+        self.at, self.now = -1, []
 
     def add(self, key: np.ndarray, at: np.ndarray, lcp: np.ndarray) -> None:
-        if len(key):
-            self.fresh.append((key // self.width, at, lcp))
-            self.waiting += len(key)
+        bucket = key // self.width
+        own = bucket == self.at
+        if own.any():
+            self.now.append((at[own], lcp[own]))
+            rest = ~own
+            bucket, at, lcp = bucket[rest], at[rest], lcp[rest]
+        if len(bucket):
+            self.fresh.append((bucket, at, lcp))
+            self.waiting += len(bucket)
             if self.waiting > WAITING:
                 self.deal()
 
@@ -165,39 +176,46 @@ class Queue:
         self.fresh, self.waiting = [], 0
         self.space.relieve()
 
-    def _claim(self, b: int) -> None:
-        """Move what waits for a bucket into it."""
-        if self.waiting:
-            bucket, at, lcp = self._gather()
-            own = bucket == b
-            if own.any():
-                self.store.put(b, at[own], lcp[own])
-                self.fresh = [(bucket[~own], at[~own], lcp[~own])]
-                self.waiting -= int(own.sum())
+    def open(self, b: int) -> int:
+        """Begin to read a bucket; what waits for it goes there. Tells how many entries it has."""
+        if self.at != b:
+            self.at = b
+            if self.waiting:
+                bucket, at, lcp = self._gather()
+                own = bucket == b
+                if own.any():
+                    self.store.put(b, at[own], lcp[own])
+                    self.fresh = [(bucket[~own], at[~own], lcp[~own])]
+                    self.waiting -= int(own.sum())
+        return self.store.many(b)
 
     def stretches(self, b: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """The entries of a bucket, those too that come in meanwhile, some at a time; small ones are joined; they are gone then."""
-        while True:
-            self._claim(b)
-            got, n = [], 0
-            for part in self.store.take(b):
-                got.append(part)
-                n += len(part[0])
-                if n >= STRETCH:
-                    yield _joined(got)
-                    got, n = [], 0
-            if n:
+        self.open(b)
+        got, n = [], 0
+        for part in self.store.take(b):
+            got.append(part)
+            n += len(part[0])
+            if n >= STRETCH:
                 yield _joined(got)
-            elif not self.waiting or not (self._gather()[0] == b).any():
-                return
-
-    def many(self, b: int) -> int:
-        self._claim(b)
-        return self.store.many(b)
+                got, n = [], 0
+        if n:
+            yield _joined(got)
+        while self.now:
+            at, lcp = _joined(self.now)
+            self.now = []
+            for s in range(0, len(at), STRETCH):
+                yield at[s : s + STRETCH], lcp[s : s + STRETCH]
+
+    def come(self) -> tuple[np.ndarray, np.ndarray]:
+        """What has come for the open bucket since it was read."""
+        got, self.now = self.now, []
+        return _joined(got)
 
     def all_of(self, b: int) -> tuple[np.ndarray, np.ndarray]:
         """A bucket of few entries at once."""
-        return _joined(list(self.stretches(b)))
+        self.open(b)
+        return _joined([*self.store.take(b), *(self.come(),)]) if self.now else _joined(list(self.store.take(b)))
 
 
 def _joined(got: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -376,7 +394,7 @@ class Sorter:
                     source(at, lcp, np.zeros(len(at), bool))
                 for at, lcp in fixed.stretches(b):
                     source(at, lcp, np.ones(len(at), bool))
-            elif queue.many(b) + fixed.many(b) <= STRETCH:
+            elif queue.open(b) + fixed.open(b) <= STRETCH:
                 self._mixed(b, queue, fixed, key_of, up, source)
             else:
                 self._heavy(b, queue, fixed, key_of, source)
@@ -407,7 +425,7 @@ class Sorter:
             if to == len(at) and soon.min() >= end:
                 return
             inner = ~is_fixed[to:]
-            more_at, more_lcp = queue.all_of(b)
+            more_at, more_lcp = queue.come()
             q_at, q_lcp = np.concatenate((at[to:][inner], more_at)), np.concatenate((lcp[to:][inner], more_lcp))
             f_at, f_lcp = at[to:][~inner], lcp[to:][~inner]
 
@@ -417,25 +435,20 @@ class Sorter:
         local = lambda at: key_of(at) - start
         fine = [Queue(self.space, width, 1) for _ in range(2)]
 
-        def refill() -> None:
-            for at, lcp in queue.stretches(b):
-                fine[0].add(local(at), at, lcp)
+        def take(at: np.ndarray, lcp: np.ndarray, is_fixed: bool) -> None:
+            source(at, lcp, np.full(len(at), is_fixed))
+            at, lcp = queue.come()
+            fine[0].add(local(at), at, lcp)
 
-        for at, lcp in fixed.stretches(b):
-            fine[1].add(local(at), at, lcp)
-        refill()
+        for q, own in ((queue, fine[0]), (fixed, fine[1])):
+            for at, lcp in q.stretches(b):
+                own.add(local(at), at, lcp)
+        fine[1].deal()
         for k in range(width):
-            while True:
-                any_ = False
-                for at, lcp in fine[0].stretches(k):
-                    any_ = True
-                    source(at, lcp, np.zeros(len(at), bool))
-                refill()
-                if not any_:
-                    break
+            for at, lcp in fine[0].stretches(k):
+                take(at, lcp, False)
             for at, lcp in fine[1].stretches(k):
-                source(at, lcp, np.ones(len(at), bool))
-                refill()
+                take(at, lcp, True)
         for q in fine:
             q.store.done()
 
@@ -510,6 +523,8 @@ class Sorter:
             for part in self.space.chunks(most):
                 at = place[1 + part.start : 1 + part.stop]
                 out.add(self.text[at].astype(np.int64), at, self._with_before(at, place[part.start] if part.start else -1))
+        elif BASE * n <= self.space.limit:
+            self._put_ranked(names, out)
         else:
             order = Holder(self.space, 1)
 
@@ -547,6 +562,28 @@ class Sorter:
             before = int(at[-1])
         order.done()
 
+    def _put_ranked(self, names: np.ndarray, out: Queue) -> None:
+        """LMS suffixes into ``out`` from a string of names that fits in memory: ranks of twice as many names, over and over."""
+        n = len(names)
+        ends = np.flatnonzero(names == 0)
+        ends = ends[np.searchsorted(ends, np.arange(n))]
+        rank, k = names.copy(), 1
+        longest = int((ends - np.arange(n)).max()) + 1
+        while k <= longest:
+            then = np.arange(n) + k
+            # Behind the end there is nothing; the end itself, 0, comes after that.
+            second = np.where(then <= ends, rank[np.minimum(then, n - 1)] + 1, 0)
+            _, new = np.unique(rank * (n + 2) + second, return_inverse=True)
+            if new.max() == rank.max() and k > 1:
+                break
+            rank, k = new, 2 * k
+        # Suffixes that are alike to their ends are in the order of these.
+        order = np.argsort(rank, kind="stable")
+        order = order[names[order] > 0]
+        for part in self.space.chunks(len(order)):
+            at = self.lms[order[part]]
+            out.add(self.text[at].astype(np.int64), at, self._with_before(at, int(self.lms[order[part.start - 1]]) if part.start else -1))
+
     def descending(self, told: Callable[[np.ndarray, np.ndarray], None]) -> None:
         """All suffixes but the bare ends, the largest first: ``told`` gets positions and common prefixes with the one before, in order."""
         self._both(self._sorted_lms(), True, told)
