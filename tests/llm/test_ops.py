@@ -103,6 +103,12 @@ def test_restored_words():
         assert meant in r.words([written])[0], written
     assert len(max(r.words(["ab1" * 5000])[0], key=len)) >= 200
     assert r.words([""]) == [set()]
+    # Who asks for some words only gets the same ones of these.
+    asked = op1_toxicity.Restorer(r.model, frozenset({"=idiot", "stup"}))
+    for written in ("iddiot", "sttuupidd", "1d10t", "stuupidity"):
+        want = {w for w in r.words([written])[0] if w == "idiot" or w.startswith("stup")}
+        assert want and want <= asked.words([written])[0], written
+    assert asked.words(["hello"])[0] == {"hello"}
 
 
 def test_viterbi_equals_brute_force():
@@ -264,7 +270,8 @@ def held_to_sorting(strings, limit):
 
 def test_suffixes_equal_sorting(monkeypatch):
     rng = np.random.default_rng(5)
-    for stretch in (1 << 16, 50, 3):
+    for stretch, base in ((1 << 16, suffixes.BASE), (1 << 16, 1 << 60), (50, 1 << 60), (3, suffixes.BASE)):
+        monkeypatch.setattr(suffixes, "BASE", base)
         monkeypatch.setattr(suffixes, "STRETCH", stretch)
         monkeypatch.setattr(suffixes, "WAITING", max(2, stretch // 4))
         for limit in (60, 1 << 28):
@@ -288,7 +295,8 @@ def test_common_prefixes_beyond_16_bits():
 
 
 def test_recursion_goes_down_several_times(monkeypatch):
-    """Words in ever new order: names repeat in the reduced strings too."""
+    """Words in ever new order: names repeat in the reduced strings too. Strings that fit in memory are ranked there, so none may."""
+    monkeypatch.setattr(suffixes, "BASE", 1 << 60)
     depths, make = [], suffixes.Sorter.__init__
     monkeypatch.setattr(suffixes.Sorter, "__init__", lambda self, text, space, largest, depth=0: (depths.append(depth), make(self, text, space, largest, depth))[1])
     rng = np.random.default_rng(9)

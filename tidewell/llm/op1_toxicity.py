@@ -45,17 +45,24 @@ SAMPLE = 8000
 ONE, TOTAL = 1 << 20, 64 << 20
 #: Signs of a token that are read together; a longer token is no word, and is read in parts.
 LONG = 256
+BEGINNINGS = (3, 4, 5, 6)
 _SIGN = r"[\w@$!|+(*€£]"
 #: Single characters set apart by up to three spaces: at least three in a row.
 APART = re.compile(rf"(?<!\S){_SIGN}(?:[ \t]{{1,3}}{_SIGN}){{2,}}(?!\S)")
 #: A plain token: letters, with usual punctuation around, nothing twice in a row.
 PLAIN = re.compile(r"[(\"'“«¿¡]*([^\W\d_]+)[.,;:!?)\"'”»]*\Z")
 TWICE = re.compile(r"(.)\1")
+AGAIN = re.compile(r"(.)\1+")
 MARKS = re.compile(r"[^\w@$!|+(<*€£¡]+|_+")
 EDGES = ".,;:?!)\"'”»“«¿*%&#~^/\\[]{}=-_<>"
 WORDS = re.compile(r"[^\W\d_]+")
 
 
+def collapsed(word: str) -> str:
+    """Every letter that stands several times in a row, once."""
+    return AGAIN.sub(r"\1", word)
+
+
 def _mixed(word: str) -> bool:
     """Whether a word has letters of other scripts that look like Latin ones among Latin ones."""
     return not word.isascii() and any(c in READINGS for c in word) and any(c.isascii() for c in word)
@@ -221,9 +228,14 @@ def _decode(group: list[list[list[Option]]], model: np.ndarray, choices: int) ->
 
 @dataclass
 class Restorer:
-    """Restored words of tokens. ``known`` remembers tokens; it starts anew when it is full."""
+    """Restored words of tokens. ``known`` remembers tokens; it starts anew when it is full.
+
+    ``wanted``: collapsed words ("=word") and beginnings that matter to who asks, or None. Letters alone with some of them
+    doubled are decoded only if a spelling of theirs could be or begin with one of these: all of them collapse alike.
+    """
 
     model: np.ndarray
+    wanted: frozenset[str] | None = None
     room: int = 400_000
     known: dict[str, tuple[str, ...]] = field(default_factory=dict)
 
@@ -244,7 +256,7 @@ class Restorer:
                 odd += [(t, spaced_lattice(t, border)) for border in BORDERS]
                 continue
             m = PLAIN.match(t)
-            if m and not TWICE.search(m[1]) and not _mixed(m[1]):
+            if m and not _mixed(m[1]) and not (TWICE.search(m[1]) and self.matters(m[1])):
                 self.known[t] = (m[1],)
                 continue
             words = WORDS.findall(t)
@@ -258,6 +270,12 @@ class Restorer:
                 if len(word) > 2 and word not in self.known[t]:
                     self.known[t] += (word,)
 
+    def matters(self, word: str) -> bool:
+        if self.wanted is None:
+            return True
+        own = collapsed(word)
+        return "=" + own in self.wanted or any(own[:n] in self.wanted for n in range(1, BEGINNINGS[-1] + 1))
+
     def words(self, texts: list[str]) -> list[set[str]]:
         """The distinct restored words of each text."""
         found = [self.tokens(t) for t in texts]
@@ -270,10 +288,10 @@ class Restorer:
 _kept: dict[str, Restorer] = {}
 
 
-def _restorer(name: str, model: np.ndarray) -> Restorer:
+def _restorer(name: str, model: np.ndarray, wanted: frozenset[str] | None = None) -> Restorer:
     if name not in _kept:
         _kept.clear()
-        _kept[name] = Restorer(model)
+        _kept[name] = Restorer(model, wanted)
     return _kept[name]
 
 
@@ -281,7 +299,6 @@ def _name(model: np.ndarray) -> str:
     return hashlib.sha256(model.tobytes()).hexdigest()
 
 
-BEGINNINGS = (3, 4, 5, 6)
 #: A beginning is also told apart by how many words of a text have it, up to so many.
 OFTEN = 3
 
@@ -413,12 +430,12 @@ def score(df: DataFrame, text: str, model: np.ndarray, weights: dict[str, float]
     though most documents that the model has learned from hold several.
     """
     df = df.drop(name, "evidence")
-    shared, key = df.sparkSession.sparkContext.broadcast((model, weights, alone)), _name(model)
+    shared, key = df.sparkSession.sparkContext.broadcast((model, weights, alone)), _name(model) + " ".join(sorted({*weights, *alone}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table_, own, single = shared.value
-        restorer = _restorer(key, table_)
         known = {f.rstrip("23456789") for f in (*own, *single)}
+        restorer = _restorer(key, table_, frozenset("=" + collapsed(f[1:]) if f[0] == "=" else collapsed(f) for f in known))
         judged: dict[str, bool] = {}
         for batch in batches:
             for part in steps(batch, text):
