@@ -8,6 +8,7 @@ whose vector is nearest by cosine.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -43,15 +44,19 @@ def bind(grams: np.ndarray, dim: int = DIM) -> np.ndarray:
     return out.astype(np.float32)
 
 
+@cache
+def _alpha() -> np.ndarray:
+    """Which code points are letters."""
+    return np.array([not 0xD800 <= c < 0xE000 and chr(c).isalpha() for c in range(0x110000)])
+
+
 def trigrams(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Trigrams of all texts and the place in the list of the text of each, some of them at a time. Small letters, and one break for all between words.
 
     A text with a letter has a trigram at least.
     """
     for codes, row in segments([(t or "").lower() for t in texts], PART):
-        own, where = np.unique(codes, return_inverse=True)
-        alpha = np.array([not 0xD800 <= c < 0xE000 and chr(c).isalpha() for c in own])
-        known = np.where(alpha, own, 0).astype(np.uint64)[where]
+        known = np.where(_alpha()[codes], codes, 0).astype(np.uint64)
         keep = known > 0
         keep[0] = True
         keep[1:] |= (known[:-1] > 0) | (row[1:] != row[:-1])
@@ -69,11 +74,12 @@ def bundled(grams: np.ndarray, row: np.ndarray, n: int, dim: int = DIM) -> np.nd
     """
     out = np.zeros((n, dim), np.float32)
     own, where = np.unique(grams, return_inverse=True)
-    order = np.argsort(where, kind="stable")
-    where, row = where[order], row[order]
+    if len(own) > VECTORS:
+        order = np.argsort(where, kind="stable")
+        where, row = where[order], row[order]
     for a in range(0, len(own), VECTORS):
         vectors = bind(own[a : a + VECTORS], dim)
-        part = slice(*np.searchsorted(where, (a, a + len(vectors))))
+        part = slice(*np.searchsorted(where, (a, a + len(vectors)))) if len(own) > VECTORS else slice(None)
         gram, group = where[part] - a, row[part]
         for b in range(0, n, TEXTS):
             inside = (group >= b) & (group < b + TEXTS) if n > TEXTS else slice(None)
