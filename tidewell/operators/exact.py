@@ -10,6 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.functions.vectors import widen
+from tidewell.tables import broadcast_if_small, materialize
+
 #: Rows of one block. A pair of blocks is one unit of work: two matrices of this height and their product.
 BLOCK = 2048
 #: Numbers in the vectors of a side, counted first, up to which it is sent whole to every executor (64 MB in doubles).
@@ -174,14 +177,21 @@ def require_capacity(df: DataFrame, n_max: int, side: str) -> DataFrame:
     return df
 
 
+def _matched(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
+    """Coordinates are compared by 128 bits. Where the cells of ``b`` are few they are broadcast, and no row of ``a`` is moved."""
+    names = [F.xxhash64(widen("vec")), F.xxhash64(F.lit(9), widen("vec"))]
+    cells_ = materialize(b.where("vec IS NOT NULL").select(names[0].alias("_c1"), names[1].alias("_c2")).distinct())
+    return a.join(broadcast_if_small(cells_), a["vec"].isNotNull() & (names[0] == F.col("_c1")) & (names[1] == F.col("_c2")), how)
+
+
 def with_exact_match(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows of ``a`` whose very coordinates are in ``b``."""
-    return a.join(b.select("vec").distinct(), "vec", "left_semi")
+    return _matched(a, b, "left_semi")
 
 
 def without_exact_match(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows of ``a`` at a positive distance from all of ``b``."""
-    return a.join(b.select("vec").distinct(), "vec", "left_anti")
+    return _matched(a, b, "left_anti")
 
 
 def cells(a: DataFrame, b: DataFrame) -> DataFrame:

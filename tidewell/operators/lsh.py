@@ -80,9 +80,12 @@ def bucket_names(df: DataFrame) -> DataFrame:
 
 
 def bucket_counts(a: DataFrame, b: DataFrame, p: Projection) -> DataFrame:
-    """(layer, key, a_count, b_count) of all buckets that hold a point."""
+    """(layer, key, a_count, b_count) of all buckets that hold a point. Buckets are told apart by 128 bits; the key, which is long, goes along once."""
     side = lambda df, x, y: with_layers(with_h0(df, p).select("h0"), p).select("layer", "key", F.lit(x).alias("x"), F.lit(y).alias("y"))
-    return side(a, 1, 0).unionByName(side(b, 0, 1)).groupBy("layer", "key").agg(F.sum("x").alias("a_count"), F.sum("y").alias("b_count"))
+    both = side(a, 1, 0).unionByName(side(b, 0, 1))
+    named = both.withColumn("k1", F.xxhash64("layer", "key")).withColumn("k2", F.xxhash64(F.lit(9), "key", "layer"))
+    summed = named.groupBy("layer", "k1", "k2").agg(F.first("key").alias("key"), F.sum("x").alias("a_count"), F.sum("y").alias("b_count"))
+    return summed.select("layer", "key", "a_count", "b_count")
 
 
 def first_collision(a: DataFrame, b: DataFrame, p: Projection, a_id: str = "a_id") -> DataFrame:
