@@ -205,6 +205,7 @@ def test_evaluation_of_runs(spark):
         evaluate.require_seeds(errors, ["kind"], "seed", 5).collect()
     table = evaluate.markdown_table(errors.groupBy("kind").agg(evaluate.percent(F.avg("err")).alias("error")), ["kind"])
     assert table == ["| kind | error |", "| --- | --- |", "| x | 20.00 |", "| y | 50.00 |"]
+    assert [r[0] for r in spark.range(1).select(evaluate.four_digits(F.lit(0.00032451))).collect()] == ["3.245e-04"]
     layers = spark.createDataFrame([(10, 1, 3), (10, 2, -2), (20, 1, 3)], "step long, a_id long, layer int")
     tops = spark.createDataFrame([(10, 1), (20, 5)], "step long, top int")
     assert sorted(map(tuple, stepwise.capped(layers, tops).collect())) == [(10, 1, 2), (10, 2, -2), (20, 1, 3)]

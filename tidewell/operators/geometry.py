@@ -63,3 +63,15 @@ def level_of(reach_, rho: float):
 def levels(reach_: float, rho: float) -> int:
     """The least L with rho * 2^L >= 2 * reach - 1e-15."""
     return max(0, math.ceil(math.log2(max(2 * reach_ - 1e-15, rho) / rho)))
+
+
+def aspect_ratio(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row: diameter (at most twice too large), the least positive distance between the sides, their ratio, and the depth of a tree of halved cells that tells the two apart."""
+    from tidewell.operators.exact import nearest, without_exact_match
+
+    first = a.orderBy("a_id").limit(1)
+    wide = reach(a.select("vec").unionByName(b.select("vec")), first).select((2 * F.col("reach")).alias("diameter"))
+    # Rows that lie on one of B are left out: what matters to others is not nearer than their nearest.
+    least = nearest(without_exact_match(a, b), b).agg(F.min("dist").alias("least"))
+    rows = wide.join(F.broadcast(least), F.lit(True)).withColumn("ratio", F.col("diameter") / F.col("least"))
+    return rows.withColumn("depth", F.greatest(F.lit(1), F.ceil(F.log2("ratio")) + 1).cast("int"))

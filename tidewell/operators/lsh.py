@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.functions.ranking import rank_by_id
 from tidewell.functions.vectors import widen
 from tidewell.operators.geometry import levels
 from tidewell.tables import broadcast_if_small, materialize
@@ -88,6 +89,23 @@ def bucket_counts(a: DataFrame, b: DataFrame, p: Projection) -> DataFrame:
     return summed.select("layer", "key", "a_count", "b_count")
 
 
+def postings(a: DataFrame, p: Projection, a_id: str = "a_id") -> DataFrame:
+    """(layer, k1, k2, a_id) of every row and layer: the members of buckets. Written by layer, a bucket is read from its layer alone."""
+    return bucket_names(with_layers(with_h0(a.where("vec IS NOT NULL"), p).select(a_id, "h0"), p)).select("layer", "k1", "k2", a_id)
+
+
+def members(posted: DataFrame, buckets: DataFrame) -> DataFrame:
+    """The postings of ``buckets`` (layer, k1, k2), all at once; few buckets are broadcast, so none is gathered."""
+    wanted = materialize(buckets.select("layer", "k1", "k2").distinct())
+    return posted.join(broadcast_if_small(wanted), ["layer", "k1", "k2"], "left_semi")
+
+
+def placed(posted: DataFrame, a_id: str = "a_id") -> DataFrame:
+    """Postings with ``place``: 1, 2, ... in the order of ids within a bucket of any size."""
+    ranked = rank_by_id(posted.withColumn("_g", F.struct("layer", "k1", "k2")), "_g", a_id, "place")
+    return ranked.drop("_g")
+
+
 def first_collision(a: DataFrame, b: DataFrame, p: Projection, a_id: str = "a_id") -> DataFrame:
     """(a_id, layer): -2 where the coordinates are in ``b``, else the finest layer whose bucket holds a row of ``b``, else top + 1."""
     name = lambda df: df.withColumn("_c1", F.xxhash64(widen("vec"))).withColumn("_c2", F.xxhash64(F.lit(9), widen("vec")))

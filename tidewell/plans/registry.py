@@ -734,6 +734,23 @@ def insert_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.chamfer(_a(spark, sf_dir).unionByName(more), b).select(F.round("chamfer", 4).alias("chamfer"), "n_a")
 
 
+@_query(f"WITH {_LSH} SELECT layer, a_id, row_number() OVER (PARTITION BY layer, key ORDER BY a_id) AS place FROM ka WHERE (layer, key) IN (SELECT (layer, key) FROM kb)")
+def bucket_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The members of all buckets that hold a row of B, with their places, from postings written by layer."""
+    path = f"{shared_dir(spark)}/postings-{uuid.uuid4().hex}"
+    lsh.postings(_a(spark, sf_dir), HASH).write.partitionBy("layer").parquet(path)
+    held = lsh.postings(_b(spark, sf_dir), HASH, "b_id")
+    return lsh.placed(lsh.members(spark.read.parquet(path), held)).select("layer", "a_id", "place")
+
+
+@_query(f"""WITH {_AB}, o AS (SELECT vec AS o FROM a ORDER BY a_id LIMIT 1), r AS (SELECT 2 * max(list_distance(vec, o)) AS diameter FROM (SELECT vec FROM a UNION ALL SELECT vec FROM b), o),
+l AS (SELECT min(list_distance(a.vec, b.vec)) AS least FROM a, b WHERE a.vec <> b.vec)
+SELECT round(diameter, 6) AS diameter, round(least, 6) AS least, round(diameter / least, 5) AS ratio, greatest(1, ceil(log2(diameter / least)) + 1)::INTEGER AS depth FROM r, l""")
+def aspect_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = geometry.aspect_ratio(_a(spark, sf_dir), _b(spark, sf_dir))
+    return found.select(F.round("diameter", 6).alias("diameter"), F.round("least", 6).alias("least"), F.round("ratio", 5).alias("ratio"), "depth")
+
+
 _FINAL = _LSH.replace("vec_id % 2 = 0)", "vec_id % 2 = 0 AND vec_id % 10 <> 0)").replace("vec_id % 2 = 1)", "vec_id % 2 = 1 AND ((vec_id - 1) // 2) % 5 <> 0)")
 
 
