@@ -834,6 +834,15 @@ def test_surrogates_against_plain_python(spark):
     assert len(set(values)) == len(values) and not set(values) & set(mapped)
 
 
+def test_names_are_found_again_without_their_title(spark):
+    texts = ["Mr. John F. Kennedy came. Later John F. Kennedy left, and JohnF. Kennedys stayed; Dr Anna Weber-Lang met John F. Kennedy and Anna Weber-Lang.", "John F. Kennedy alone", "Mr Kennedy"]
+    rows = {r["id"]: r for r in op10_surrogates.replace_entities(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), "k").collect()}
+    first, later, third, second, fourth, fifth = re.fullmatch(r"Mr\. (.+) came\. Later (.+) left, and JohnF\. (.+) stayed; Dr (.+) met (.+) and (.+)\.", rows[0]["text"]).groups()
+    assert first == later == fourth and second == fifth and third == "Kennedys" and "Kennedy" not in first and first.count(" ") == 1
+    assert first.split()[0].split("-")[0] in op10_surrogates.GIVEN["m"] and rows[0]["_found"] == ["person"] * 5
+    assert rows[1]["text"] == texts[1] and rows[2]["text"].split()[1] == first.split()[-1]
+
+
 def test_keys_matter(spark):
     df = spark.createDataFrame([(1, "a.b@example.com")], "id long, text string")
     one, two = (op10_surrogates.replace_entities(df, k, found="kinds").first() for k in ("a", "b"))

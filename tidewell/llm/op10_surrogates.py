@@ -4,7 +4,8 @@ Every entity found (mail and network addresses, phone, card, account and social-
 passwords, titled names) gets a replacement drawn by an HMAC of its normal form, so one entity has one surrogate
 in every document, however it is punctuated. Digits become digits, letters letters of the same script and case,
 and the marks between them stay; an entity of marks only becomes letters. A person is a family name with a given
-name; given names keep the gender that the titles of all mentions tell. A surrogate that another entity has too,
+name; given names keep the gender that the titles of all mentions tell. A full name that stands behind a title somewhere in a text is found
+everywhere in that text. A surrogate that another entity has too,
 or that is an entity of the corpus itself, is drawn anew until all are distinct; where short ones run out they
 grow longer.
 """
@@ -114,6 +115,7 @@ def kind_of(entity: Column) -> Column:
         .when(entity.rlike(r"^[A-Z]{2}[0-9]{2}( ?[A-Z0-9]{1,4}){3,8}$"), F.lit("iban"))
         .when(entity.rlike(r"^[0-9][0-9 \-]+$") & digits.between(13, 19), F.lit("card"))
         .when(entity.rlike(r"^[+(0-9][0-9 .()\-]+$"), F.lit("phone"))
+        .when(entity.rlike(rf"^{_PART}{_NAME}$"), F.lit("person"))
         .otherwise(F.lit("secret"))
     )
 
@@ -249,9 +251,22 @@ def render(kind: Column, entity: Column, drawn: Column, given: Column) -> Column
 
 
 def _entities(text: str) -> Column:
-    """All entities of a text in order; a null text has none."""
-    found = F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0))
-    return F.when(F.col(text).rlike(HINT), found).otherwise(F.array().cast("array<string>"))
+    """``all`` entities of a text in order, and the pattern ``by`` which they are found; a null text has none.
+
+    Full names that are told by a title are looked for without one too, in a second pass over texts that have any.
+    """
+
+    def again(found: Column) -> Column:
+        told = F.transform(found, lambda e: F.when(e.rlike(rf"^{_TITLES}{_NAME}"), F.substr(e, F.length(_title(e)) + 1, F.length(e))))
+        names = F.array_distinct(F.filter(told, lambda n: n.contains(" ")))
+        return let(names, lambda n: F.struct(F.when(F.size(n) > 0, F.regexp_extract_all(F.col(text), pattern(n), F.lit(0))).otherwise(found).alias("all"), pattern(n).alias("by")))
+
+    def pattern(names: Column) -> Column:
+        quoted = F.array_join(F.transform(names, lambda n: F.concat(F.lit("\\Q"), n, F.lit("\\E"))), "|")
+        return F.when(F.size(names) > 0, F.concat(F.lit(rf"{ANY}|(?<![\p{{L}}\p{{N}}])(?:"), quoted, F.lit(r")(?![\p{L}\p{N}])"))).otherwise(F.lit(ANY))
+
+    none = F.struct(F.array().cast("array<string>").alias("all"), F.lit(ANY).alias("by"))
+    return F.when(F.col(text).rlike(HINT), let(F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0)), again)).otherwise(none)
 
 
 def attempts(units: DataFrame, key: str) -> DataFrame:
@@ -320,12 +335,12 @@ def replace_entities(docs: DataFrame, key: str, text: str = "text", found: str =
 
         return let(kind_of(e), known)
 
-    def rewrite(all_: Column) -> Column:
+    def rewrite(all_: Column, by: Column) -> Column:
         # Pieces between the matches, with a surrogate after each but the last.
-        filled = F.zip_with(F.split(F.col(text), ANY, -1), all_, lambda p, s: F.concat(p, F.coalesce(s["new"], F.lit(""))))
+        filled = F.zip_with(F.split(F.col(text), by, F.lit(-1)), all_, lambda p, s: F.concat(p, F.coalesce(s["new"], F.lit(""))))
         return F.struct(F.when(F.size(all_) > 0, F.array_join(filled, "")).otherwise(F.col(text)).alias("text"), F.transform(all_, lambda f: f["kind"]).alias("kinds"))
 
-    work = work.withColumn(finished, let(F.transform(_entities(text), mention), rewrite))
+    work = work.withColumn(finished, let(_entities(text), lambda found: let(F.transform(found["all"], mention), lambda own: rewrite(own, found["by"]))))
     order = [F.col(f"{finished}.text").alias(c) if c == text else F.col(c) for c in docs.columns if c != found]
     return work.select(*order, F.col(f"{finished}.kinds").alias(found))
 
@@ -338,7 +353,7 @@ def _units(text: str) -> Column:
         both = lambda k: F.array(own(k), F.when(k == "person", F.struct(F.lit("given").alias("kind"), person_of(e).alias("unit"), gender_of(e).alias("attempt"))))
         return let(kind_of(e), both)
 
-    return F.array_distinct(F.filter(F.flatten(F.transform(_entities(text), of)), lambda u: u["unit"].isNotNull()))
+    return F.array_distinct(F.filter(F.flatten(F.transform(_entities(text)["all"], of)), lambda u: u["unit"].isNotNull()))
 
 
 def _small(df: DataFrame) -> DataFrame:
