@@ -30,9 +30,9 @@ ANCHOR = 32
 #: Bytes of text that a shard is meant to hold; an anchor with more than that is not dealt into shards.
 SHARD = 4 << 20
 #: Memory of one sort; the rest is in files of the task's machine.
-MEMORY = 64 << 20
-#: Different stretches of one anchor among LOCAL of a task that make it heavy, and heavy anchors that are known at most.
-HEAVY, HEAVY_ANCHORS = 32, 100_000
+MEMORY = 96 << 20
+#: So many different stretches of one anchor, among LOCAL of a task, are dealt out by their content.
+HEAVY = 32
 #: Stretches of one task that are compared with each other before they leave it.
 LOCAL = 400_000
 #: Stretches of hot anchors whose strings are hashed at once.
@@ -42,6 +42,9 @@ BROADCAST_ROWS = 200_000
 _FIELDS = ["kind", "anchor", "body", "doc", "tie", "lo", "hi"]
 _SCHEMA = "kind int, anchor long, body long, doc long, tie long, lo long, hi long"
 _TYPES = [pa.int32(), *[pa.int64()] * 6]
+# Kinds of rows: a stretch; starts that repeat; a stretch that shares its anchor with a different one; a stretch of which
+# that is known; an anchor of which that is known.
+STRETCH, REPEATS, SHARED, KNOWN, MIXED = range(5)
 
 
 def _least(key: np.ndarray, width: int) -> np.ndarray:
@@ -88,33 +91,45 @@ def _joined(doc: np.ndarray, tie: np.ndarray, lo: np.ndarray, hi: np.ndarray) ->
     return doc[first], tie[first], lo[first], hi[np.r_[first[1:], len(doc)] - 1] if len(first) else hi
 
 
-def _batch(kind: int, anchor, body, doc, tie, lo, hi) -> pa.RecordBatch:
-    cols = [np.full(len(doc), kind), anchor, body, doc, tie, lo, hi]
+def _batch(kind, anchor, body, doc, tie, lo, hi) -> pa.RecordBatch:
+    cols = [np.broadcast_to(kind, len(doc)), anchor, body, doc, tie, lo, hi]
     return pa.RecordBatch.from_arrays([pa.array(np.asarray(c).astype(np.int64)).cast(t) for c, t in zip(cols, _TYPES)], names=_FIELDS)
 
 
 def _marks(doc, tie, lo, hi) -> pa.RecordBatch:
     doc, tie, lo, hi = _joined(doc, tie, lo, hi)
     spread = mix(doc.astype(np.uint64) * np.uint64(31) + lo.astype(np.uint64)).view(np.int64)
-    return _batch(1, spread, np.zeros(len(doc)), doc, tie, lo, hi)
+    return _batch(REPEATS, spread, np.zeros(len(doc)), doc, tie, lo, hi)
 
 
-def _settled(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-    """Kind 0: of rows with one anchor and content the first, kind 1: ranges of the others' starts."""
+def _settled(held: list[tuple[np.ndarray, ...]], heavy_from: int) -> Iterator[pa.RecordBatch]:
+    """Of rows with one anchor and content the first, and ranges of the others' starts.
+
+    Where one anchor has many contents, these are KNOWN to differ, and the anchor is told to be MIXED.
+    """
     doc, tie, lo, hi, a, b = (np.concatenate([h[i] for h in held]) for i in range(6))
     order = np.lexsort((lo, tie, doc, b, a))
     doc, tie, lo, hi, a, b = doc[order], tie[order], lo[order], hi[order], a[order], b[order]
-    new = np.ones(len(doc), bool)
+    new = np.ones(len(a), bool)
     new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
     first = np.flatnonzero(new)[np.cumsum(new) - 1]
     late = ~new & ((doc != doc[first]) | (tie != tie[first]) | (lo != lo[first]))
-    yield _batch(0, a[new].view(np.int64), b[new].view(np.int64), doc[new], tie[new], lo[new], hi[new])
+    own = a[new].view(np.int64)
+    border = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+    many = np.diff(np.r_[border, len(own)])
+    heavy = np.repeat(many >= heavy_from, many)
+    yield _batch(np.where(heavy, KNOWN, STRETCH), own, b[new].view(np.int64), doc[new], tie[new], lo[new], hi[new])
+    if heavy.any():
+        anchors = own[border[many >= heavy_from]]
+        nothing = np.zeros(len(anchors), np.int64)
+        yield _batch(MIXED, anchors, np.full(len(anchors), np.iinfo(np.int64).min), nothing, nothing, nothing, nothing)
     if late.any():
         yield _marks(doc[late], tie[late], lo[late], hi[late])
 
 
 def find_stretches(docs: DataFrame, length: int, anchor: int) -> DataFrame:
-    """Of ``docs`` (doc, tie, text): stretches, kind 0, and ranges of starts that repeat one of the same task, kind 1."""
+    """Of ``docs`` (doc, tie, text): stretches, and ranges of starts that repeat one of the same task."""
+    heavy = HEAVY
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -124,61 +139,23 @@ def find_stretches(docs: DataFrame, length: int, anchor: int) -> DataFrame:
                 row, lo, hi, a, b = stretches(*buffers(get("text")), length, anchor)
                 held.append((get("doc").to_numpy()[row], get("tie").to_numpy()[row], lo, hi, a, b))
                 if sum(len(h[0]) for h in held) >= LOCAL:
-                    yield from _settled(held)
+                    yield from _settled(held, heavy)
                     held = []
         if held:
-            yield from _settled(held)
+            yield from _settled(held, heavy)
 
     return docs.mapInArrow(run, _SCHEMA)
 
 
-def heavy_anchors(docs: DataFrame, length: int, anchor: int) -> np.ndarray:
-    """Anchors that many different stretches have, the most frequent first to be kept, in order: a bounded number.
+def compare_stretches(rows: DataFrame) -> DataFrame:
+    """REPEATS: starts that repeat an equal stretch, SHARED: stretches that share their anchor with a different one.
 
-    A passage in one document of a hundred or more is heavy in every task. Their stretches differ, as is known then, so
-    they need not meet to show it.
+    Rows are dealt by anchor, but KNOWN ones by content too, so that those of a passage in a large share of all
+    documents meet only their copies; what is left of such an anchor elsewhere is SHARED because it is MIXED. Equal
+    stretches of both kinds do not meet here, but both are SHARED and meet where their strings do. Rows come
+    sorted by anchor, content and place; a task keeps two rows of what it has seen, however long a run is.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def told(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-            a, b = (np.concatenate([h[i] for h in held]) for i in (0, 1))
-            order = np.lexsort((b, a))
-            a, b = a[order], b[order]
-            new = np.ones(len(a), bool)
-            new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-            own, many = np.unique(a[new], return_counts=True)
-            keep = many >= HEAVY
-            return pa.RecordBatch.from_arrays([pa.array(own[keep].view(np.int64)), pa.array(many[keep].astype(np.int64))], names=["anchor", "n"])
-
-        held, n = [], 0
-        for batch in batches:
-            for part in steps(batch, "text"):
-                _, _, _, a, b = stretches(*buffers(part.column(part.schema.get_field_index("text"))), length, anchor)
-                held.append((a, b))
-                n += len(a)
-                if n >= LOCAL:
-                    yield told(held)
-                    held, n = [], 0
-        if held:
-            yield told(held)
-
-    found = docs.mapInArrow(run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
-    return np.sort(np.array([r["anchor"] for r in found.orderBy(F.col("n").desc(), "anchor").limit(HEAVY_ANCHORS).collect()], np.int64))
-
-
-def compare_stretches(rows: DataFrame, heavy: np.ndarray | None = None) -> DataFrame:
-    """Kind 1: starts that repeat an equal stretch, kind 2: stretches that share their anchor with a different one.
-
-    Rows are dealt by anchor, those of ``heavy`` anchors, which are known to have different ones, by content too. They
-    come sorted by anchor, content and place; a task keeps two rows of what it has seen, however long a run is.
-    """
-    known = rows.sparkSession.sparkContext.broadcast(heavy if heavy is not None else np.zeros(0, np.int64))
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            apart = np.isin(batch.column(1).to_numpy(), known.value) & (batch.column(0).to_numpy() == 0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.where(apart, batch.column(2).to_numpy(), 0))], names=[*_FIELDS, "deal"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = None  # the first row of the content last seen
         waiting = None  # that row, while its anchor has shown no other content
@@ -187,9 +164,10 @@ def compare_stretches(rows: DataFrame, heavy: np.ndarray | None = None) -> DataF
             if not batch.num_rows:
                 continue
             kind = batch.column(0).to_numpy()
-            if (kind == 1).any():
-                yield pa.RecordBatch.from_arrays(batch.filter(pa.array(kind == 1)).columns, names=_FIELDS)
-            x = np.stack([batch.column(i).to_numpy()[kind == 0] for i in range(1, 7)])
+            if (kind == REPEATS).any():
+                yield pa.RecordBatch.from_arrays(batch.filter(pa.array(kind == REPEATS)).columns, names=_FIELDS)
+            own_kind = kind[kind != REPEATS]
+            x = np.stack([batch.column(i).to_numpy()[kind != REPEATS] for i in range(1, 7)])
             if not x.shape[1]:
                 continue
             a, b = x[0], x[1]
@@ -199,31 +177,30 @@ def compare_stretches(rows: DataFrame, heavy: np.ndarray | None = None) -> DataF
             firsts = x[:, new] if head is None or new[0] else np.c_[head, x[:, new]]
             of = np.cumsum(new) - 1 + (0 if head is None or new[0] else 1)
             own = firsts[:, of]
-            late = ~new & (x[2:5] != own[2:5]).any(0)
+            stretch = own_kind != MIXED
+            late = ~new & stretch & (x[2:5] != own[2:5]).any(0)
             if late.any():
                 yield _marks(*x[2:, late])
             head = firsts[:, -1]
-            fresh = x[:, new]
+            fresh, known = x[:, new], (own_kind == KNOWN)[new]
+            stretch = stretch[new]
             if waiting is not None:
-                fresh = np.c_[waiting, fresh]
+                fresh, known, stretch = np.c_[waiting, fresh], np.r_[False, known], np.r_[True, stretch]
             waiting = None
             if fresh.shape[1]:
                 f = fresh[0]
-                before = np.r_[told is not None and f[0] == told, f[1:] == f[:-1]]
-                after = np.r_[f[1:] == f[:-1], False]
-                differs = before | after | np.isin(f, known.value)
+                # Of one anchor all rows after the first differ from it, as does the first if another follows.
+                differs = np.r_[told is not None and f[0] == told, f[1:] == f[:-1]] | np.r_[f[1:] == f[:-1], False] | known | ~stretch
                 if not differs[-1]:
                     waiting = fresh[:, -1]
                 else:
                     told = f[-1]
-                if differs.any():
-                    yield _batch(2, *fresh[:, differs])
+                out = differs & stretch
+                if out.any():
+                    yield _batch(SHARED, *fresh[:, out])
 
-    if len(known.value):
-        rows = rows.mapInArrow(deal, f"{_SCHEMA}, deal long").repartition("anchor", "deal").drop("deal")
-    else:
-        rows = rows.repartition("anchor")
-    return rows.sortWithinPartitions("anchor", "body", "doc", "tie", "lo").mapInArrow(run, _SCHEMA)
+    deal = F.when(F.col("kind") == KNOWN, F.col("body")).otherwise(F.lit(0).cast("long"))
+    return rows.repartition("anchor", deal).sortWithinPartitions("anchor", "body", "doc", "tie", "lo").mapInArrow(run, _SCHEMA)
 
 
 def cut_stretches(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -257,6 +234,7 @@ def hash_starts(bodies: DataFrame, length: int) -> DataFrame:
     Equal strings have one anchor and one hash. The hash takes the anchor's place, by which rows are dealt, and the
     anchor that of the content, so however many strings share an anchor, only equal ones meet.
     """
+    heavy = HEAVY
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -271,10 +249,10 @@ def hash_starts(bodies: DataFrame, length: int) -> DataFrame:
                 own = Substrings(data).each(length)[offsets[row] + inside]
                 held.append((doc[row], tie[row], lo[row] + inside, lo[row] + inside, own, anchor.view(np.uint64)[row]))
                 if sum(len(h[0]) for h in held) >= LOCAL:
-                    yield from _settled(held)
+                    yield from _settled(held, heavy)
                     held = []
         if held:
-            yield from _settled(held)
+            yield from _settled(held, heavy)
 
     return bodies.mapInArrow(run, _SCHEMA)
 
@@ -367,9 +345,9 @@ def repeated(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, shard:
 
     Ranges may overlap. Rows with equal doc and tie are one document.
     """
-    compared = materialize(compare_stretches(find_stretches(docs, length, anchor), heavy_anchors(docs, length, anchor)))
-    marks = compared.where("kind = 1").select("doc", "tie", "lo", "hi")
-    open_ = compared.where("kind = 2")
+    compared = materialize(compare_stretches(find_stretches(docs, length, anchor)))
+    marks = compared.where(F.col("kind") == REPEATS).select("doc", "tie", "lo", "hi")
+    open_ = compared.where(F.col("kind") == SHARED)
     total = open_.agg(F.sum(F.col("hi") - F.col("lo") + length)).first()[0] or 0
     if not total:
         return marks
@@ -385,7 +363,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, shard:
     if n_hot:
         hot = F.broadcast(hot) if n_hot <= BROADCAST_ROWS else hot
         single = compare_stretches(hash_starts(bodies(open_.join(hot, "anchor", "left_semi"), F.col("anchor")), length))
-        marks = marks.unionByName(materialize(single.where("kind = 1").select(found)))
+        marks = marks.unionByName(materialize(single.where(F.col("kind") == REPEATS).select(found)))
         open_ = open_.join(hot, "anchor", "left_anti")
     return marks.unionByName(sort_shards(bodies(open_, F.pmod(F.xxhash64("anchor"), F.lit(shards))), length, memory))
 

@@ -25,7 +25,7 @@ import numpy as np
 STRETCH, WAITING = 1 << 16, 1 << 14
 NONE = np.iinfo(np.int64).max
 #: A string of names is ranked at once if so many bytes a name are within the memory limit.
-BASE = 128
+BASE = 96
 _NOTHING = np.zeros(0, np.int64)
 
 
