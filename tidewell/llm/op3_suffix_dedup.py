@@ -28,7 +28,7 @@ from tidewell.tables import materialize, table
 LENGTH = 100
 ANCHOR = 32
 #: Bytes of text that a shard is meant to hold; an anchor with more than that is not dealt into shards.
-SHARD = 4 << 20
+SHARD = 2 << 20
 #: Memory of one sort; the rest is in files of the task's machine.
 MEMORY = 96 << 20
 #: So many different stretches of one anchor, among LOCAL of a task, are dealt out by their content.
