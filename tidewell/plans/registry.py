@@ -807,8 +807,8 @@ def guarded_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    """A fresh path in the shared folder, which must be a mounted one for files that Spark itself can't write."""
-    return f"{vector_files.local(shared_dir(spark))}/files-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder."""
+    return f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
 
 
 _STEPS = "SELECT vec_id AS step, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 5) AS total, len(embedding)::INTEGER AS dim FROM embeddings"

@@ -2,13 +2,12 @@
 
 f32bin: little-endian uint64 n and d, then n * d float32. fvecs: per row an int32 d and d float32. A path is a file
 or a folder of them; rows are numbered in the order of file names. A reader splits files into row ranges; a writer
-makes a file for each partition, so a sorted table keeps its order. Paths are folders that every machine has mounted
-at the same place; other file systems are refused.
+makes files for each partition, so a sorted table keeps its order. Paths may be in any file system that Arrow opens, and
+must be the same for all machines.
 """
 
 from __future__ import annotations
 
-import os
 import re
 import struct
 from collections.abc import Iterator
@@ -16,27 +15,31 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 #: Limits of the formats.
 MAX_DIM, MAX_ROWS = 4096, 5_000_000
-#: Rows of one read task, and rows that a writer holds.
-RANGE, HELD = 65_536, 4096
+#: Rows of one read task, and bytes of one file of a writer, which it holds until they are there.
+RANGE, FILE = 65_536, 64 << 20
 SCHEMA = "step long, vec array<float>"
 
 
-def local(path: str) -> str:
-    if re.match(r"^(?!file:)[a-z][a-z0-9+.\-]*:", path):
-        raise ValueError(f"{path}: vector files are read and written on mounted folders")
-    return re.sub(r"^file:/+", "/", path)
+def store(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI, as Arrow knows it (mounted folders, and stores such as S3, GCS and HDFS), and the path in it."""
+    try:
+        return fs.FileSystem.from_uri(re.sub(r"^file:/+", "/", path))
+    except pa.ArrowInvalid as e:
+        raise ValueError(f"{path}: no file system for vector files: {e}") from e
 
 
 def shape(path: str, kind: str) -> tuple[int, int]:
     """(rows, dimension) of one file, from its header and size; ValueError if they don't fit together."""
-    size = os.path.getsize(path)
-    with open(path, "rb") as f:
+    where, name = store(path)
+    with where.open_input_file(name) as f:
+        size = f.size()
         if kind == "f32bin":
             head = f.read(16)
             if len(head) < 16:
@@ -64,10 +67,14 @@ class Rows(InputPartition):
 
 class Reader(DataSourceReader):
     def __init__(self, path: str, kind: str):
-        self.path, self.kind = local(path), kind
+        self.path, self.kind = path, kind
 
     def partitions(self) -> list[Rows]:
-        files = [self.path] if os.path.isfile(self.path) else sorted(os.path.join(self.path, f) for f in os.listdir(self.path) if f.endswith(self.kind))
+        where, name = store(self.path)
+        files = [self.path]
+        if where.get_file_info(name).type == fs.FileType.Directory:
+            found = (f.base_name for f in where.get_file_info(fs.FileSelector(name)) if f.is_file)
+            files = [f"{self.path.rstrip('/')}/{f}" for f in sorted(found) if f.endswith(f".{self.kind}") and f[0] not in "._"]
         out, step = [], 0
         for f in files:
             n, d = shape(f, self.kind)
@@ -79,73 +86,74 @@ class Reader(DataSourceReader):
         p = partition
         if not p.count:
             return
-        with open(p.path, "rb") as f:
+        where, name = store(p.path)
+        with where.open_input_file(name) as f:
             if p.kind == "f32bin":
-                f.seek(16 + 4 * p.dim * p.first)
-                x = np.fromfile(f, "<f4", p.count * p.dim).reshape(-1, p.dim)
+                raw = f.read_at(4 * p.dim * p.count, 16 + 4 * p.dim * p.first)
+                x = np.frombuffer(raw, "<f4").reshape(-1, p.dim)
             else:
-                f.seek((4 + 4 * p.dim) * p.first)
-                raw = np.fromfile(f, "<i4", p.count * (p.dim + 1)).reshape(-1, p.dim + 1)
-                if (raw[:, 0] != p.dim).any():
+                raw = f.read_at((4 + 4 * p.dim) * p.count, (4 + 4 * p.dim) * p.first)
+                rows = np.frombuffer(raw, "<i4").reshape(-1, p.dim + 1)
+                if (rows[:, 0] != p.dim).any():
                     raise ValueError(f"{p.path}: records of differing dimension")
-                x = np.ascontiguousarray(raw[:, 1:]).view("<f4")
+                x = np.ascontiguousarray(rows[:, 1:]).view("<f4")
         offsets = pa.array(np.arange(len(x) + 1) * p.dim, pa.int32())
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(p.step, p.step + len(x))), pa.ListArray.from_arrays(offsets, pa.array(x.reshape(-1)))], names=["step", "vec"])
 
 
 @dataclass
 class Written(WriterCommitMessage):
-    own: str
-    name: str
+    """Files that a task has written under hidden names, and the names they are to get."""
+
+    files: list[tuple[str, str]]
 
 
 class Writer(DataSourceWriter):
     def __init__(self, path: str, kind: str, column: int):
-        self.path, self.kind, self.column = local(path), kind, column
+        self.path, self.kind, self.column = path, kind, column
 
     def write(self, iterator) -> WriterCommitMessage:
         from pyspark import TaskContext
 
-        os.makedirs(self.path, exist_ok=True)
-        name = os.path.join(self.path, f"part-{TaskContext.get().partitionId():06d}.{self.kind}")
-        own = f"{name}.{TaskContext.get().taskAttemptId()}"
-        n, dim, held = 0, 0, []
+        where, folder = store(self.path)
+        where.create_dir(folder, recursive=True)
+        task, held, dim, done = TaskContext.get(), [], 0, []
 
-        def flush(out) -> None:
+        def flush() -> None:
+            name = f"part-{task.partitionId():06d}-{len(done):06d}.{self.kind}"
+            hidden = f"{folder}/.{name}.{task.taskAttemptId()}"
             x = np.stack(held)
-            out.write(x.tobytes() if self.kind == "f32bin" else np.concatenate([np.full((len(x), 1), dim, "<i4"), x.view("<i4")], axis=1).tobytes())
+            with where.open_output_stream(hidden) as out:
+                if self.kind == "f32bin":
+                    out.write(struct.pack("<QQ", *x.shape))
+                    out.write(x.tobytes())
+                else:
+                    out.write(np.concatenate([np.full((len(x), 1), dim, "<i4"), x.view("<i4")], axis=1).tobytes())
+            done.append((hidden, f"{folder}/{name}"))
             held.clear()
 
-        with open(own, "wb") as out:
-            if self.kind == "f32bin":
-                out.write(bytes(16))
-            for r in iterator:
-                vec = np.asarray(r[self.column], "<f4")
-                if n and len(vec) != dim:
-                    raise ValueError(f"a vector of dimension {len(vec)} among those of {dim}")
-                n, dim = n + 1, len(vec)
-                held.append(vec)
-                if len(held) == HELD:
-                    flush(out)
-            if held:
-                flush(out)
-            if self.kind == "f32bin":
-                out.seek(0)
-                out.write(struct.pack("<QQ", n, dim))
-        return Written(own, name if n else "")
+        for r in iterator:
+            vec = np.asarray(r[self.column], "<f4")
+            if dim and len(vec) != dim:
+                raise ValueError(f"a vector of dimension {len(vec)} among those of {dim}")
+            dim = len(vec)
+            held.append(vec)
+            if 4 * dim * len(held) >= FILE:
+                flush()
+        if held:
+            flush()
+        return Written(done)
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         """Files get their names when all tasks have ended well."""
-        for m in messages:
-            if m is not None and m.name:
-                os.replace(m.own, m.name)
-            elif m is not None:
-                os.remove(m.own)
+        where, _ = store(self.path)
+        for hidden, name in (f for m in messages if m is not None for f in m.files):
+            where.move(hidden, name)
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
-        for m in messages:
-            if m is not None and os.path.exists(m.own):
-                os.remove(m.own)
+        where, _ = store(self.path)
+        for hidden, _ in (f for m in messages if m is not None for f in m.files):
+            where.delete_file(hidden)
 
 
 class F32Bin(DataSource):
