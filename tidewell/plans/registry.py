@@ -431,8 +431,8 @@ class _Sliding:
         self.steps, self.p, self.buckets = _steps(b, WINDOW, EVERY), p, buckets or stepwise.hashed(p)
         self.a, self.b = self.steps.always(_a(spark, sf_dir)), self.steps.live(b, "step")
 
-    def layers(self) -> DataFrame:
-        return materialize(stepwise.step_layers(self.a, self.b, self.buckets, self.p.top, self.steps))
+    def layers(self) -> stepwise.Layers:
+        return stepwise.Layers(self.a, self.b, self.buckets, self.p.top, self.steps)
 
     def stratified(self) -> DataFrame:
         return stepwise.stratified(self.a, self.b, self.layers(), self.p, self.steps, BUDGET, SEED)
@@ -450,7 +450,7 @@ def grid_tree_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stratified estimate over a shifted grid in place of hashing, of both sets whole: one step at which all rows are live."""
     once = stepwise.Steps(0, 1, 0)
     a, b = once.always(_a(spark, sf_dir)), once.always(_b(spark, sf_dir))
-    layers = materialize(stepwise.step_layers(a, b, _grid(), GRID.top, once))
+    layers = stepwise.Layers(a, b, _grid(), GRID.top, once)
     return stepwise.stratified(a, b, layers, GRID, once, BUDGET, SEED).select(F.round("strat_est", 4).alias("estimate"))
 
 
@@ -462,7 +462,8 @@ def windowed_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"WITH {_W_HASH} SELECT s AS step, a_id, layer FROM fc")
 def windowed_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _Sliding(spark, sf_dir).layers()
+    w = _Sliding(spark, sf_dir)
+    return stepwise.step_layers(w.a, w.b, w.buckets, HASH.top, w.steps)
 
 
 @_query(f"WITH {_W_HASH} SELECT s AS step, round(sum(w), 6) AS total FROM st GROUP BY s")
@@ -506,15 +507,15 @@ def windowed_strata_of_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def windowed_invariant(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows in strata, at distance 0, and without any collision, counted from the rows' own layers."""
     a, b, steps = _parts(spark, sf_dir)
-    own = lambda what, name: F.sum(F.when(F.expr(what), 1).otherwise(0)).alias(name)
-    layers = stepwise.step_layers(a, b, stepwise.hashed(PART_HASH), PART_HASH.top, steps)
-    return layers.groupBy("step").agg(own("layer >= 0", "in_strata"), own("layer = -2", "same"), own(f"layer = {PART_HASH.top + 1}", "unmet"))
+    own = lambda what, name: F.sum(F.when(F.expr(what), F.col("n")).otherwise(0)).alias(name)
+    layers = stepwise.Layers(a, b, stepwise.hashed(PART_HASH), PART_HASH.top, steps)
+    return layers.counts().groupBy("step").agg(own("layer >= 0", "in_strata"), own("layer = -2", "same"), own(f"layer = {PART_HASH.top + 1}", "unmet"))
 
 
 @_query(f"WITH {_W_PARTS}, {_STRATIFIED} SELECT step, round(est, 4) AS estimate FROM es")
 def windowed_estimate_of_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b, steps = _parts(spark, sf_dir)
-    layers = materialize(stepwise.step_layers(a, b, stepwise.hashed(PART_HASH), PART_HASH.top, steps))
+    layers = stepwise.Layers(a, b, stepwise.hashed(PART_HASH), PART_HASH.top, steps)
     return stepwise.stratified(a, b, layers, PART_HASH, steps, BUDGET, SEED).select("step", F.round("strat_est", 4).alias("estimate"))
 
 
@@ -605,16 +606,16 @@ la AS (SELECT s, a_id, vec FROM qs, a WHERE a_id > s - 60 AND a_id <= s), lb AS
 _W_DUAL = _stepped(_D_KEYS, HASH, _D_LIVE)
 
 
-def _dual(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, stepwise.Steps, DataFrame]:
+def _dual(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, stepwise.Steps, stepwise.Layers]:
     a, b = _scheduled(spark, sf_dir)
     steps = _steps(a.select("pos").unionByName(b.select("pos")), 60, 20, "pos")
     a, b = steps.live(a.withColumnRenamed("pos", "a_id"), "a_id"), steps.live(b.withColumnRenamed("pos", "b_id"), "b_id")
-    return a, b, steps, materialize(stepwise.step_layers(a, b, stepwise.hashed(HASH), HASH.top, steps))
+    return a, b, steps, stepwise.Layers(a, b, stepwise.hashed(HASH), HASH.top, steps)
 
 
 @_query(f"WITH {_W_DUAL} SELECT s AS step, layer, n FROM st")
 def both_dynamic_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _dual(spark, sf_dir)[3].where("layer >= 0").groupBy("step", "layer").agg(F.count(F.lit(1)).alias("n"))
+    return _dual(spark, sf_dir)[3].counts().where("layer >= 0")
 
 
 @_query(f"WITH {_W_DUAL}, {_STRATIFIED} SELECT step, round(est, 4) AS estimate FROM es")

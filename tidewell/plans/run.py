@@ -64,8 +64,8 @@ def run(spark: SparkSession, config: ChamferConfig) -> DataFrame:
     p = lsh.projection_for(config.n_max, dim, reach, config.rho, config.seed, config.k)
     found: dict[str, DataFrame] = {}
 
-    def layers(buckets: stepwise.Buckets) -> DataFrame:
-        return materialize(stepwise.step_layers(live_a, live_b, buckets, p.top, steps))
+    def layers(buckets: stepwise.Buckets) -> stepwise.Layers:
+        return stepwise.Layers(live_a, live_b, buckets, p.top, steps)
 
     if not config.grid_only:
         met = layers(stepwise.hashed(p))
