@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tidewell.llm.suffixes import Space, late_places
 from tidewell.llm.vec import Substrings, buffers, mix, steps
-from tidewell.tables import materialize, table
+from tidewell.tables import broadcast_if_small, materialize, table
 
 LENGTH = 100
 ANCHOR = 32
@@ -354,18 +354,20 @@ def repeated(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, shard:
     shards = max(1, -(-total // shard))
     found = ["doc", "tie", "lo", "hi"]
 
-    def bodies(rows: DataFrame, name: Column) -> DataFrame:
-        return cut_stretches(docs, rows.groupBy("doc", "tie").agg(F.collect_list(F.struct(name.alias("shard"), "lo", "hi")).alias("own")), length)
+    def wanted(rows: DataFrame, name: Column) -> DataFrame:
+        return rows.groupBy("doc", "tie").agg(F.collect_list(F.struct(name.alias("shard"), "lo", "hi")).alias("own"))
 
     hot = open_.groupBy("anchor").agg(F.sum(F.col("hi") - F.col("lo") + length).alias("n")).where(F.col("n") > shard).select("anchor")
     hot = materialize(hot)
     n_hot = hot.count()
     if n_hot:
         hot = F.broadcast(hot) if n_hot <= BROADCAST_ROWS else hot
-        single = compare_stretches(hash_starts(bodies(open_.join(hot, "anchor", "left_semi"), F.col("anchor")), length))
+        # Few documents hold hot stretches as a rule: where these have proved few, no text is moved for them.
+        some = materialize(wanted(open_.join(hot, "anchor", "left_semi"), F.col("anchor")))
+        single = compare_stretches(hash_starts(cut_stretches(docs, broadcast_if_small(some, 3 * F.size("own")), length), length))
         marks = marks.unionByName(materialize(single.where(F.col("kind") == REPEATS).select(found)))
         open_ = open_.join(hot, "anchor", "left_anti")
-    return marks.unionByName(sort_shards(bodies(open_, F.pmod(F.xxhash64("anchor"), F.lit(shards))), length, memory))
+    return marks.unionByName(sort_shards(cut_stretches(docs, wanted(open_, F.pmod(F.xxhash64("anchor"), F.lit(shards))), length), length, memory))
 
 
 def numbered(df: DataFrame, id_col: str, text: str) -> DataFrame:
